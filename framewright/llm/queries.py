@@ -6,11 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe, line_dedup, token_counts
+from framewright.llm import bpe, decontam, html_extract, language_id, line_dedup, quality, token_counts
 from framewright.scratch import new_path
 from framewright.session import table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.filter(~language_id.held_out()), sample_rows=3000)
+    return language_id.predict(docs.withColumn("held_out", language_id.held_out()), model, ("doc_id", "held_out"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_counts.token_counts(docs, new_path(spark, "token-cache"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
@@ -28,6 +34,19 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), ("page_id", "url"), "html")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
+    return found.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.clean_lines(table(spark, sf_dir, "documents"), quality.Rules(), with_text=False)
+
+
 _LINE_DEDUP_SQL = """
 with lines as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
@@ -45,10 +64,42 @@ from keyed k left join common c on k.key = c.key
 group by k.doc_id
 """
 
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = rf"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+_DECONTAMINATION_SQL = f"""
+with item as (
+  select item_id, {_WORDS} as words from benchmark
+), win as (
+  select item_id, least(len(words), 10) as n, unnest(range(1, len(words) - least(len(words), 10) + 2)) as pos, words from item where len(words) > 0
+), grams as (
+  select distinct item_id, n, array_to_string(words[pos:pos + n - 1], ' ') as gram from win
+), doc as (
+  select doc_id, {_WORDS} as words from documents
+), size as (
+  select distinct n from grams
+), place as (
+  select doc_id, n, words, unnest(range(1, greatest(len(words) - n + 2, 1))) as pos from doc cross join size
+), hit as (
+  select p.doc_id, p.pos, p.n, g.item_id from place p join grams g on p.n = g.n and array_to_string(p.words[p.pos:p.pos + p.n - 1], ' ') = g.gram
+), covered as (
+  select doc_id, count(distinct w) as n_hit from (select doc_id, unnest(range(pos, pos + n)) as w from hit) group by doc_id
+), items as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct doc_id, cast(item_id as varchar) as item from hit) group by doc_id
+)
+select d.doc_id, len(d.words)::bigint as n_words, coalesce(c.n_hit, 0)::bigint as n_hit, coalesce(i.n_items, 0)::bigint as n_items,
+       sha256(coalesce(i.ids, '')) as items_sha256, coalesce(c.n_hit, 0) > 0 as contaminated
+from doc d left join covered c using (doc_id) left join items i using (doc_id)
+"""
+
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
     "op4_bpe": op4_bpe,
     "op5_line_dedup": op5_line_dedup,
+    "op8_html_extraction": op8_html_extraction,
+    "op9_decontamination": op9_decontamination,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES = {"op5_line_dedup": _LINE_DEDUP_SQL}
+ORACLES = {"op5_line_dedup": _LINE_DEDUP_SQL, "op9_decontamination": _DECONTAMINATION_SQL}
