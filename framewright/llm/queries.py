@@ -6,11 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe, decontam, html_extract, language_id, line_dedup, quality, token_counts
+from framewright.llm import bpe, decontam, html_extract, language_id, license_scan, line_dedup, quality, sharding, token_counts
 from framewright.scratch import new_path
 from framewright.session import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("sentence_ids").cast("long").alias("n_sentences"),
+        F.array_join("sentence_ids", ",").alias("sentence_ids"),
+        F.array_join("licenses", ",").alias("licenses"),
+        F.size("licenses").cast("long").alias("n_licenses"),
+    )
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs.filter(~language_id.held_out()), sample_rows=3000)
@@ -34,6 +45,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"), ("page_id", "url"), "html")
 
@@ -93,13 +108,15 @@ from doc d left join covered c using (doc_id) left join items i using (doc_id)
 """
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
     "op4_bpe": op4_bpe,
     "op5_line_dedup": op5_line_dedup,
+    "op7_sharding": op7_sharding,
     "op8_html_extraction": op8_html_extraction,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES = {"op5_line_dedup": _LINE_DEDUP_SQL, "op9_decontamination": _DECONTAMINATION_SQL}
+ORACLES = {"op1_license_scan": license_scan.duckdb_sql(), "op5_line_dedup": _LINE_DEDUP_SQL, "op9_decontamination": _DECONTAMINATION_SQL}
