@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm.drops import without
+
 #: Distinct benchmark windows up to which they are broadcast: at most 1.6 MB of hashes.
 MAX_SENT = 200_000
 
@@ -158,9 +160,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_c
     """
     found = find_hits(docs.select(id_col, text_col), benchmark, n, text_col)
     hits = found.filter(F.size("_dc_covered") > 0).select(F.col(id_col).alias("_dc_id"), "_dc_covered")
-    same = docs[id_col].eqNullSafe(hits["_dc_id"])
     if not spans:
-        return docs.join(hits.select("_dc_id").distinct(), same, "left_anti")
+        return without(docs, hits.select("_dc_id"), id_col)
     hits = hits.groupBy("_dc_id").agg(F.array_distinct(F.flatten(F.collect_list("_dc_covered"))).alias("_dc_covered"))
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(_PIECE), F.lit(0))
     left = F.array_join(F.filter(pieces, lambda p, i: ~F.array_contains("_dc_covered", i)), "")

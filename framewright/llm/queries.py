@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe, decontam, html_extract, language_id, license_scan, line_dedup, quality, sharding, token_counts
+from framewright.llm import bpe, decontam, html_extract, language_id, license_scan, line_dedup, near_dedup, quality, sharding, token_counts
 from framewright.scratch import new_path
 from framewright.session import table
 
@@ -45,6 +45,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), least=0.8)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
@@ -113,6 +117,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_bpe": op4_bpe,
     "op5_line_dedup": op5_line_dedup,
+    "op6_near_dedup": op6_near_dedup,
     "op7_sharding": op7_sharding,
     "op8_html_extraction": op8_html_extraction,
     "op9_decontamination": op9_decontamination,
