@@ -1,20 +1,55 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
+
+1. language ID: documents without a recognisable language go;
+2. line dedup: lines that at least ten documents share are cut;
+3. near-dedup: one document of each class of near-duplicates stays, the one of the
+   lowest id;
+4. benchmark decontamination: documents that hold a ten-word window of a benchmark
+   item go;
+5. BPE: what is left is encoded, and decoded again from its ids.
+
+Every stage works on all documents that the one before it kept. Null and empty
+texts have no language and end at the first stage.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from framewright.llm import bpe, line_dedup
+from framewright.llm import bpe, decontam, language_id, line_dedup, near_dedup
 from framewright.scratch import write_table
 from framewright.session import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: A document stays if its best language has at least this probability.
+LEAST_SCORE = 0.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in one of the languages that the labelled ones are in."""
+    docs = docs.select(COLUMNS)
+    model = language_id.train(docs)
+    told = language_id.predict(docs, model, tuple(COLUMNS))
+    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(COLUMNS)
+
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines that at least 10 documents share."""
-    return line_dedup.dedup_lines(docs.select(COLUMNS), min_docs=10, min_chars=1).select(COLUMNS)
+    """Drop lines that at least ten documents share; n_chars follows the text."""
+    done = line_dedup.dedup_lines(docs.select(COLUMNS), min_docs=10, min_chars=1)
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each near-duplicate class."""
+    return near_dedup.keep_one(docs.select(COLUMNS), least=0.8)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove documents that hold a window of a benchmark item."""
+    return decontam.remove_contaminated(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"), n=10)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +57,15 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("line_dedup", line_stage), ("bpe", bpe_stage)]
+STAGES = [
+    ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("near_dedup", near_stage),
+    ("decontamination", benchmark_stage),
+    ("bpe", bpe_stage),
+]
 
+#: Learned languages and signatures have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
