@@ -3,7 +3,9 @@
 The cache is a Parquet table (content_sha256, tokenizer_sha256, n_bytes,
 n_tokens). A run joins the digests of its contents to the cache, encodes each
 distinct missing content once, appends the new counts and reads every count from
-the cache. A second run over the same contents encodes nothing.
+the cache. A second run over the same contents encodes nothing. A run that fails
+appends nothing, since Spark commits a job's files together; a cache has one writer
+at a time.
 
 Defined cases: a null text counts as the empty text (0 tokens, 0 bytes). Equal
 texts are encoded once and each row gets its count, repeated rows included. An
@@ -146,11 +148,7 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer_path: str, limit: i
     fill_cache(docs, cache_path, tokenizer_path, text_col)
     digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     rows = docs.select(F.col(id_col), digest.alias("content_sha256"))
-    # A run that was cut short may have appended a count twice.
-    counts = (
-        read_cache(docs.sparkSession, cache_path)
-        .filter(F.col("tokenizer_sha256") == F.lit(tokenizer_digest(tokenizer_path)))
-        .groupBy("content_sha256")
-        .agg(F.max("n_bytes").alias("n_bytes"), F.max("n_tokens").alias("n_tokens"))
-    )
+    # No aggregate below the join: the side of a hot content can then be split.
+    known = read_cache(docs.sparkSession, cache_path).filter(F.col("tokenizer_sha256") == F.lit(tokenizer_digest(tokenizer_path)))
+    counts = known.select("content_sha256", "n_bytes", "n_tokens")
     return rows.join(counts, "content_sha256", "left").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
