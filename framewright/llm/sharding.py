@@ -51,9 +51,11 @@ def balanced_shards(nodes: DataFrame, shards: int = 8, rounds: int = 5) -> DataF
     """nodes (id, group, other columns) with shard, slot: each shard's rows numbered from 0; counts at most one apart."""
     keep = nodes.columns
     sizes = nodes.groupBy("group").agg(F.count(F.lit(1)).alias("_n"))
-    sized = nodes.join(sizes.filter("_n > 1"), "group", "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    sizes, sizes_path = write_table(sizes.filter("_n > 1"), "shard-groups")  # written, so that the join can split a hot group
+    sized = nodes.join(sizes, "group", "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
     rows = sized.withColumn("_salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / SALT_ROWS))).withColumn("_shard", F.pmod(F.xxhash64("id", F.lit("start")), F.lit(shards)).cast("int"))
-    rows, first_path = write_table(rows, "shard-rows")
+    rows, _ = write_table(rows, "shard-rows")
+    drop_path(nodes.sparkSession, sizes_path)
     total = rows.count()
     quota = {s: total // shards + (s < total % shards) for s in range(shards)}
 
