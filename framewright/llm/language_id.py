@@ -202,24 +202,24 @@ def _document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, i
     return df, int(found.get(-1, 0) or 0)
 
 
-def _sample(docs: DataFrame, rows: int, id_col: str, text_col: str, label_col: str) -> list[tuple[np.ndarray, np.ndarray, str]]:
+def _sample(docs: DataFrame, share: float, id_col: str, text_col: str, label_col: str) -> list[tuple[np.ndarray, np.ndarray, str]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sparse_features(x) for x in batch.column(0).to_pylist()]
             at = pa.array([x.astype(np.int32) for x, _ in found], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([at, pa.array([v for _, v in found], pa.list_(pa.float64())), batch.column(1)], ["at", "shares", "label"])
+            yield pa.RecordBatch.from_arrays([at, pa.array([v for _, v in found], pa.list_(pa.float64())), batch.column(1), batch.column(2).cast(pa.string())], ["at", "shares", "label", "id"])
 
-    order = F.xxhash64(F.col(id_col), F.lit("sample"))
-    chosen = docs.select(text_col, label_col, order.alias("_order"), F.col(id_col).alias("_id")).orderBy("_order", "_id").limit(rows)
-    made = chosen.select(text_col, label_col).mapInArrow(run, "at array<int>, shares array<double>, label string")
-    return [(np.array(r["at"], np.int64), np.array(r["shares"]), r["label"]) for r in made.toLocalIterator() if r["at"]]
+    place = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
+    made = docs.filter(place < share).select(text_col, label_col, F.col(id_col).alias("_id")).mapInArrow(run, "at array<int>, shares array<double>, label string, id string")
+    rows = sorted(made.collect(), key=lambda r: (len(r["id"] or ""), r["id"] or ""))
+    return [(np.array(r["at"], np.int64), np.array(r["shares"]), r["label"]) for r in rows if r["at"]]
 
 
 def train(docs: DataFrame, sample_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
     """Learn from the labelled rows of docs."""
     labelled = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     df, n = _document_frequencies(labelled, text_col)
-    rows = _sample(labelled, sample_rows, id_col, text_col, label_col)
+    rows = _sample(labelled, sample_rows / max(n, 1), id_col, text_col, label_col)
     languages = sorted({r[2] for r in rows})
     if not languages:
         return Model([], np.zeros((0, SIZE)), np.zeros(0))
