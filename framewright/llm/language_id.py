@@ -160,14 +160,21 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, alpha: fl
 
 
 def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature with the least log loss, by golden-section search."""
+    """The temperature with the least log loss, by golden-section search.
+
+    Labels are smoothed by one row in all, so that a sample without errors does not
+    give boundless confidence.
+    """
     if not len(labels):
         return 1.0
 
+    smooth = 1 / (len(labels) + 2)
+
     def loss(log_t: float) -> float:
         z = logits / np.exp(log_t)
         z = z - z.max(1, keepdims=True)
-        return float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(len(labels)), labels]))
+        told = (1 - smooth) * z[np.arange(len(labels)), labels] + smooth * z.mean(1)
+        return float(np.mean(np.log(np.exp(z).sum(1)) - told))
 
     low, high, golden = np.log(0.05), np.log(20.0), (np.sqrt(5) - 1) / 2
     for _ in range(60):
