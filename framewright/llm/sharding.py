@@ -5,16 +5,17 @@ written out as pairs: a document's neighbours in a shard are the group's count
 there. Each round
 
 1. counts every group's documents per shard (a map-side combined aggregate),
-2. picks for every group the shard with room where most of it is, and lets the
-   documents of its smaller cells ask to move there,
-3. grants moves by hash, up to the share of the asks that each shard's quota has
-   room for (small groups move whole, large ones in part), with a Spark join.
+2. picks for every group the shard where most of it is, and lets the documents of
+   its smaller cells ask to move there,
+3. grants moves by hash, with a Spark join, up to the share of the asks at which no
+   shard takes more than its quota has room for and what leaves it in exchange
+   (small groups move whole, large ones in part).
 
 A last step makes the counts exact (they differ by one at most): every shard's
 documents are numbered without gaps, linked ones first, and what is beyond the
 shard's quota takes the free numbers of the others. Numbering goes by blocks, so
 no task sees a whole shard. Groups larger than ``SALT_ROWS`` are salted in every
-join and window. The driver sees k numbers a round, k the number of shards.
+join and window. The driver sees k * k numbers a round, k the number of shards.
 
 Only DataFrame functions are used.
 
@@ -74,20 +75,42 @@ def balanced_shards(nodes: DataFrame, shards: int = 8, rounds: int = 5) -> DataF
     return _numbered(linked.unionByName(rows.filter("_n = 1")), quota, total).select(*keep, "shard", "slot")
 
 
+def grants(flows: dict[tuple[int, int], int], room: dict[int, int]) -> dict[tuple[int, int], float]:
+    """The share of each flow (from, to) to grant, so that no shard takes more than its room and what leaves it.
+
+    All is granted at first; flows into shards that would overflow are scaled down
+    until none does. Shares only fall, so this ends; it takes k * k numbers.
+    """
+    share = dict.fromkeys(flows, 1.0)
+    for _ in range(200):
+        worst = 0.0
+        for s in room:
+            taken = sum(n * share[f] for f, n in flows.items() if f[1] == s)
+            left = sum(n * share[f] for f, n in flows.items() if f[0] == s)
+            if taken and taken - left - room[s] > 0.5:
+                worst = max(worst, taken - left - room[s])
+                less = max(0.0, (left + room[s]) / taken)
+                share |= {f: x * less for f, x in share.items() if f[1] == s}
+        if not worst:
+            break
+    return share
+
+
 def _asks(linked: DataFrame, quota: dict[int, int], k: int) -> DataFrame | None:
     """group, _shard, _n, _to, _grant: the cells that ask to move and the share of asks to grant; None if none does."""
     cells, _ = write_table(linked.groupBy("group", "_shard").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n")), "shard-cells")
     load = {r[0]: r[1] for r in cells.groupBy("_shard").agg(F.sum("_c")).collect()}
-    room = {s: max(0, q - (load.get(s) or 0)) for s, q in quota.items()}
-    weight = F.struct("_c", F.xxhash64("group", "_shard").alias("h"), F.col("_shard").alias("s"))
+    room = {s: q - (load.get(s) or 0) for s, q in quota.items()}
+    weight = F.struct("_c", F.xxhash64("group", "_shard", F.lit(k)).alias("h"), F.col("_shard").alias("s"))
     weighed = cells.withColumn("_w", weight)
-    best = weighed.filter(_by_shard(room, "_shard") > 0).groupBy("group").agg(F.max("_w").alias("_best"))
+    best = weighed.groupBy("group").agg(F.max("_w").alias("_best"))
     asks = weighed.join(best, "group").filter(F.col("_best") > F.col("_w")).select("group", "_shard", "_n", "_c", F.col("_best.s").alias("_to"))
-    demand = {r[0]: r[1] for r in asks.groupBy("_to").agg(F.sum("_c")).collect()}
-    if not demand:
+    flows = {(r[0], r[1]): r[2] for r in asks.groupBy("_shard", "_to").agg(F.sum("_c")).collect()}
+    share = {f: x for f, x in grants(flows, room).items() if x > 0}
+    if not share:
         return None
-    grant = {s: min(1.0, room[s] / d) for s, d in demand.items()}
-    return asks.select("group", "_shard", "_n", "_to", _by_shard(grant, "_to").alias("_grant"))
+    told = F.create_map(*[F.lit(x) for (s, t), g in share.items() for x in (s * len(quota) + t, g)])
+    return asks.select("group", "_shard", "_n", "_to", F.coalesce(F.try_element_at(told, F.col("_shard") * len(quota) + F.col("_to")), F.lit(0.0)).alias("_grant"))
 
 
 def _numbered(rows: DataFrame, quota: dict[int, int], total: int) -> DataFrame:
