@@ -1,6 +1,9 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences; each is normalised (lower case, runs of other
+A text is freed of comment marks at the start of lines and cut into sentences, in
+two ways: lines are joined where the next one starts in lower case, or wherever a
+line ends without a stop; the way that finds more known sentences counts, the first
+if both find as many. Each sentence is normalised (lower case, runs of other
 characters than a-z and 0-9 as one blank) and looked up among known licence
 sentences. The identifiers found, in text order, are matched against ordered
 rules: a rule holds if its identifiers occur in this order, other known sentences
@@ -93,7 +96,9 @@ RULES = {
 #: Every known sentence holds one of these.
 KEYS = "licen|copyright|permission|redistribut|warrant|rights reserved|copy of the|free software|general public"
 
+_MARKED = r"(^|\n)[ \t]*[#*/;]+[ \t]*"
 _WRAPPED = r"([^.!?:;\n])\n([a-z(])"
+_ANY_WRAPPED = r"([^.!?:;\n])\n([^\n])"
 _ENDED = r"([.!?:;])[ \t\r]+"
 
 
@@ -128,8 +133,9 @@ def pattern(rule: list[str]) -> str:
     return "%" + "%".join(f" {x} " for x in rule) + "%"
 
 
-def _sentences(text: Column) -> Column:
-    cut = F.split(F.regexp_replace(F.regexp_replace(text, _WRAPPED, "$1 $2"), _ENDED, "$1\n"), "\n")
+def _sentences(text: Column, wrapped: str) -> Column:
+    bare = F.regexp_replace(text, _MARKED, "$1")
+    cut = F.split(F.regexp_replace(F.regexp_replace(bare, wrapped, "$1 $2"), _ENDED, "$1\n"), "\n")
     return F.transform(cut, lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " ")))
 
 
@@ -137,10 +143,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Per row: its id, sentence_ids and licenses (arrays, the first in text order, the second sorted)."""
     table = F.create_map(*[F.lit(x) for pair in known().items() for x in pair])
     text = F.col(text_col)
-    cut = F.when(F.lower(text).rlike(KEYS), _sentences(text)).otherwise(F.array().cast("array<string>"))
-    ids = F.array_compact(F.transform(cut, lambda x: F.try_element_at(table, x)))
-    named = docs.select(F.col(id_col), F.coalesce(ids, F.array().cast("array<string>")).alias("sentence_ids"))
-    line = named.withColumn("_ls_line", F.concat(F.lit(" "), F.array_join("sentence_ids", "  "), F.lit(" ")))
+    none = F.array().cast("array<string>")
+
+    def found_in(wrapped: str) -> Column:
+        ids = F.array_compact(F.transform(_sentences(text, wrapped), lambda x: F.try_element_at(table, x)))
+        return F.when(F.lower(text).rlike(KEYS), ids).otherwise(none)
+
+    both = docs.select(F.col(id_col), F.coalesce(found_in(_WRAPPED), none).alias("_ls_a"), F.coalesce(found_in(_ANY_WRAPPED), none).alias("_ls_b"))
+    ids = F.when(F.size("_ls_b") > F.size("_ls_a"), F.col("_ls_b")).otherwise(F.col("_ls_a"))
+    line = both.select(id_col, ids.alias("sentence_ids")).withColumn("_ls_line", F.concat(F.lit(" "), F.array_join("sentence_ids", "  "), F.lit(" ")))
     held = {name: F.col("_ls_line").like(pattern(rule)) for name, rule in RULES.items()}
     wider = included()
     found = []
@@ -166,16 +177,21 @@ def duckdb_sql(documents: str = "documents") -> str:
         cases.append(f"case when {' and '.join(tests)} then {quoted(name)} end")
     return rf"""
 with known(sentence, id) as (values {rows}),
-cut as (
-  select doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([^.!?:;\n])\n([a-z(])', '\1 \2', 'g'), '([.!?:;])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)) as parts
-  from {documents}
+bare as (
+  select doc_id, regexp_replace(coalesce(text, ''), '{_MARKED}', '\1', 'g') as text from {documents}
+), cut as (
+  select doc_id, way, string_split(regexp_replace(joined, '{_ENDED}', '\1' || chr(10), 'g'), chr(10)) as parts
+  from (select doc_id, 0 as way, regexp_replace(text, '{_WRAPPED}', '\1 \2', 'g') as joined from bare
+        union all select doc_id, 1, regexp_replace(text, '{_ANY_WRAPPED}', '\1 \2', 'g') from bare)
 ), each as (
-  select doc_id, unnest(parts) as part, generate_subscripts(parts, 1) as pos from cut
+  select doc_id, way, unnest(parts) as part, generate_subscripts(parts, 1) as pos from cut
 ), ids as (
-  select e.doc_id, e.pos, k.id from each e join known k on trim(regexp_replace(lower(e.part), '[^a-z0-9]+', ' ', 'g')) = k.sentence
+  select e.doc_id, e.way, e.pos, k.id from each e join known k on trim(regexp_replace(lower(e.part), '[^a-z0-9]+', ' ', 'g')) = k.sentence
+), ways as (
+  select doc_id, way, count(*) as n, string_agg(id, ',' order by pos) as ids, ' ' || string_agg(id, '  ' order by pos) || ' ' as line from ids group by doc_id, way
 ), seq as (
-  select d.doc_id, count(i.id) as n, coalesce(string_agg(i.id, ',' order by i.pos), '') as ids, ' ' || coalesce(string_agg(i.id, '  ' order by i.pos), '') || ' ' as line
-  from {documents} d left join ids i on d.doc_id = i.doc_id group by d.doc_id
+  select d.doc_id, coalesce(w.n, 0) as n, coalesce(w.ids, '') as ids, coalesce(w.line, '  ') as line
+  from {documents} d left join (select * from ways qualify row_number() over (partition by doc_id order by n desc, way) = 1) w on d.doc_id = w.doc_id
 ), ruled as (
   select *, list_filter([{', '.join(cases)}], lambda x: x is not null) as found from seq
 )
