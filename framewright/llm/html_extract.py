@@ -42,6 +42,9 @@ NAMES = frozenset(
     "recommended related replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 
+# Words that make up the names of a page's own header.
+HEADER = frozenset("header site page top main global wrapper container".split())
+
 WINDOW, THRESHOLD = 3, 80
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
@@ -57,7 +60,8 @@ def _is_noise(tag: str, attributes: str, in_article: bool) -> bool:
         return False
     if _HIDDEN.search(attributes):
         return True
-    return any(not NAMES.isdisjoint(_WORD.findall(x.lower())) for x in _NAMED.findall(attributes))
+    named = [set(_WORD.findall(x.lower())) for x in _NAMED.findall(attributes)]
+    return any(not NAMES.isdisjoint(x) or ("header" in x and x <= HEADER and not in_article) for x in named)
 
 
 def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
