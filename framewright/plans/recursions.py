@@ -1 +1,164 @@
-"""To come."""
+"""Queries of recursions: smoothing, filters, envelopes, gates, predictors, spectra."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from framewright.operators import recursions
+from framewright.operators.ordered import neighbours
+from framewright.plans.registry import query
+from framewright.plans.views import Views
+
+_c = F.col
+
+
+def _recursive(first: str, step: str, state: str, out: str) -> str:
+    """A recursion over usig in SQL; r is the row before, u the row at hand."""
+    return f"""recursive u as materialized (select channel, frame, x from usig ), r as (
+      select channel, frame, x, {first} from u where frame = 0
+      union all select u.channel, u.frame, u.x, {step} from r join u on u.channel = r.channel and u.frame = r.frame + 1)
+    select channel, frame, {out} from r"""
+
+
+@query("ema", _recursive("0.25::double * x as y", "0.75::double * r.y + 0.25::double * u.x", "y", "round(y, 3) as y"))
+def _(v: Views):
+    return recursions.scan(v.usig, "channel", "frame", "x", recursions.smoothing(0.75)).select("channel", "frame", F.round("y", 3).alias("y"))
+
+
+@query("envelope_follow", _recursive("abs(x)::double as y", "greatest(abs(u.x)::double, 0.875::double * r.y)", "y", "round(y, 3) as y"))
+def _(v: Views):
+    return recursions.scan(v.usig, "channel", "frame", "x", recursions.envelope(0.875)).select("channel", "frame", F.round("y", 3).alias("y"))
+
+
+_B = recursions.low_pass(0.1)
+_b0, _b1, _b2, _a1, _a2 = (f"({x!r}::double)" for x in _B)
+
+
+@query(
+    "biquad_lpf",
+    _recursive(
+        f"{_b0} * x as y, {_b1} * x - {_a1} * ({_b0} * x) as z1, {_b2} * x - {_a2} * ({_b0} * x) as z2",
+        f"{_b0} * u.x + r.z1, {_b1} * u.x - {_a1} * ({_b0} * u.x + r.z1) + r.z2, {_b2} * u.x - {_a2} * ({_b0} * u.x + r.z1)",
+        "y",
+        "round(y, 2) as y",
+    ),
+)
+def _(v: Views):
+    return recursions.scan(v.usig, "channel", "frame", "x", recursions.biquad(*_B)).select("channel", "frame", F.round("y", 2).alias("y"))
+
+
+@query(
+    "gate_fsm",
+    _recursive(
+        "case when abs(x) > 4000000 then 4 else 0 end as level, 0 as was",
+        "case when abs(u.x) > 4000000 then least(8, r.level + 4) else greatest(0, r.level - 1) end, r.level",
+        "level",
+        "level::bigint as level, case when level = 0 then 'closed' when level = 8 then 'open' when abs(x) > 4000000 then 'opening' else 'closing' end as state",
+    ),
+)
+def _(v: Views):
+    """Fast opening, slow closing."""
+    done = recursions.scan(v.usig, "channel", "frame", "x", recursions.gate(4_000_000, 4, 1, 8), "level")
+    state = F.when(_c("level") == 0, "closed").when(_c("level") == 8, "open").when(F.abs("x") > 4_000_000, "opening").otherwise("closing")
+    return done.select("channel", "frame", _c("level").cast("long").alias("level"), state.alias("state"))
+
+
+@query(
+    "limit_gain",
+    """recursive p as (select a.frame // 32 as blk, max(abs(a.x + b.x))::bigint as peak from sig a join sig b on a.frame = b.frame and b.channel = 'click' where a.channel = 'view' group by 1),
+    r as (select blk, peak, least(1.0::double, least(1.0::double, 8000000.0::double / peak)) as gain from p where blk = 0
+      union all select p.blk, p.peak, least(least(1.0::double, 8000000.0::double / p.peak), 0.75::double * r.gain + 0.25::double) from r join p on p.blk = r.blk + 1)
+    select blk, peak, round(gain, 9) as gain from r""",
+)
+def _(v: Views):
+    """The gain that keeps the sum of two sources below a ceiling, by block, with smooth release."""
+    one = lambda ch, n: v.sig.filter(_c("channel") == ch).select("frame", _c("x").alias(n))
+    peaks = one("view", "a").join(one("click", "b"), "frame").groupBy(F.floor(_c("frame") / 32).cast("long").alias("blk")).agg(F.max(F.abs(_c("a") + _c("b"))).alias("peak"))
+    target = peaks.select(F.lit("sum").alias("pair"), "blk", "peak", F.least(F.lit(1.0), F.lit(8000000.0) / F.nullif(_c("peak"), F.lit(0).cast("long"))).alias("target"))
+    gains = recursions.scan(target.drop("peak"), "pair", "blk", "target", recursions.released_gain(0.75), "gain")
+    return peaks.join(gains.select("blk", "gain"), "blk").select("blk", "peak", F.round("gain", 9).alias("gain"))
+
+
+_TAPS = [7, -5, 2]  # predictor in quarters
+
+
+def _predicted(x: np.ndarray) -> np.ndarray:
+    """Samples from residuals: each adds the prediction from the three samples before it."""
+    out = [0, 0, 0]
+    for r in x.tolist():
+        out.append(r + ((_TAPS[0] * out[-1] + _TAPS[1] * out[-2] + _TAPS[2] * out[-3]) >> 2))
+    return np.array(out[3:], np.int64)
+
+
+@query(
+    "lpc_predict",
+    "select channel, frame, x - ((7 * coalesce(lag(x, 1) over w, 0) - 5 * coalesce(lag(x, 2) over w, 0) + 2 * coalesce(lag(x, 3) over w, 0)) >> 2) as residual, x from usig window w as (partition by channel order by frame)",
+)
+def _(v: Views):
+    """Residuals of a linear predictor, and the samples that the decoder gets back from them."""
+    zero = F.lit(0).cast("long")
+    guess = lambda w: sum((F.lit(t).cast("long") * F.lag("x", k + 1, 0).over(w) for k, t in enumerate(_TAPS)), zero)
+    coded = neighbours(v.usig, ["channel"], "frame", {"_guess": guess}, before=3).select("channel", "frame", (_c("x") - F.shiftright("_guess", 2)).alias("residual"))
+    decoded = recursions.decode_units(coded, ["channel"], "frame", {"residual": "long", "x": "long"}, lambda p: {"residual": p["residual"], "x": _predicted(p["residual"].to_numpy())})
+    return decoded.select("channel", "frame", "residual", "x")
+
+
+def _unmixed(pdf) -> dict:
+    """Even rows predict a, odd rows b, by twice the last value less the one before; the other is what the carrier leaves."""
+    a, b, a1, a2, b1, b2 = [], [], 0, 0, 0, 0
+    for frame, carrier, r in zip(pdf["frame"].tolist(), pdf["carrier"].tolist(), pdf["residual"].tolist(), strict=True):
+        x = r + 2 * a1 - a2 if frame % 2 == 0 else carrier - (r + 2 * b1 - b2)
+        a1, a2, b1, b2 = x, a1, carrier - x, b1
+        a.append(a1)
+        b.append(b1)
+    return {"a": np.array(a, np.int64), "b": np.array(b, np.int64), "carrier": pdf["carrier"], "complete": np.array(a, np.int64) + np.array(b, np.int64) == pdf["carrier"].to_numpy()}
+
+
+@query("unmix_roundtrip", "select a.frame, a.x as a, b.x as b, a.x + b.x as carrier, true as complete from sig a join sig b on a.frame = b.frame and b.channel = 'click' where a.channel = 'view'")
+def _(v: Views):
+    """Two sources in one carrier and a residual, taken apart again; units of 832 frames start anew."""
+    one = lambda ch, n: v.sig.filter(_c("channel") == ch).select("frame", _c("x").alias(n))
+    both = one("view", "a").join(one("click", "b"), "frame").withColumn("unit", F.floor(_c("frame") / 832).cast("long"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("unit").orderBy("frame")
+    residual = lambda n: _c(n) - 2 * F.lag(n, 1, 0).over(w) + F.lag(n, 2, 0).over(w)
+    coded = both.select("unit", "frame", (_c("a") + _c("b")).alias("carrier"), F.when(_c("frame") % 2 == 0, residual("a")).otherwise(residual("b")).alias("residual"))
+    return recursions.decode_units(coded, ["unit"], "frame", {"a": "long", "b": "long", "carrier": "long", "complete": "boolean"}, _unmixed).drop("unit")
+
+
+@query(
+    "fft_energy",
+    """b as (select channel, frame // 32 as blk, frame % 32 as n, x from sig ), whole as (select channel, blk from b group by 1, 2 having count(*) = 32)
+    select channel, blk, k::bigint as bin, round((power(sum(x * cos(2 * pi() * k * n / 32)), 2) + power(sum(x * sin(2 * pi() * k * n / 32)), 2)) / 70368744177664.0, 6) as energy
+    from b join whole using (channel, blk), range(0, 17) t(k) group by 1, 2, 3""",
+)
+def _(v: Views):
+    done = recursions.spectrum(v.sig, ["channel"], "frame", "x")
+    return done.select("channel", "blk", _c("bin").cast("long").alias("bin"), F.round(_c("energy") / 70368744177664.0, 6).alias("energy"))
+
+
+_COS, _SIN = math.cos(0.5), math.sin(0.5)
+_MIXED = ["click", "error", "purchase", "view"]
+
+
+@query(
+    "butterfly_mix",
+    f"""w as (select frame, max(x) filter (where channel = 'click') as a, max(x) filter (where channel = 'error') as b, max(x) filter (where channel = 'purchase') as c, max(x) filter (where channel = 'view') as d from sig group by frame),
+    one as (select frame, {_COS!r}::double * a - {_SIN!r}::double * b as a, {_SIN!r}::double * a + {_COS!r}::double * b as b, {_COS!r}::double * c - {_SIN!r}::double * d as c, {_SIN!r}::double * c + {_COS!r}::double * d as d from w where a is not null and b is not null and c is not null and d is not null),
+    two as (select frame, {_COS!r}::double * a - {_SIN!r}::double * c as a, {_COS!r}::double * b - {_SIN!r}::double * d as b, {_SIN!r}::double * a + {_COS!r}::double * c as c, {_SIN!r}::double * b + {_COS!r}::double * d as d from one)
+    select frame, round(a, 3) as a, round(b, 3) as b, round(c, 3) as c, round(d, 3) as d from two""",
+)
+def _(v: Views):
+    """Plane rotations in two levels, as in a Walsh-Hadamard transform; map-side combined pivot, then plain columns."""
+    names = ["a", "b", "c", "d"]
+    wide = v.sig.filter(_c("channel").isin(_MIXED)).groupBy("frame").agg(*[F.max(F.when(_c("channel") == ch, _c("x"))).alias(n) for n, ch in zip(names, _MIXED, strict=True)]).dropna()
+    for pairs in ((("a", "b"), ("c", "d")), (("a", "c"), ("b", "d"))):
+        turned = {}
+        for p, q in pairs:
+            turned |= {p: F.lit(_COS) * _c(p) - F.lit(_SIN) * _c(q), q: F.lit(_SIN) * _c(p) + F.lit(_COS) * _c(q)}
+        wide = wide.select("frame", *[turned[n].alias(n) for n in names])
+    return wide.select("frame", *[F.round(n, 3).alias(n) for n in names])
