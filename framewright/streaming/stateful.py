@@ -1,7 +1,8 @@
 """Structured Streaming forms of the stateful operators.
 
 State is bounded per key: a re-blocker holds less than one unit, a lock one number,
-and both leave state behind only until ``timeout_ms`` without input. Input order within
+and with ``timeout_ms`` both drop a key's state after so long without input (such
+streams need a running trigger: one that ends with its input would wait). Input order within
 a key is restored inside a micro-batch; rows of a later batch must come later.
 Empty batches change nothing.
 """
@@ -22,7 +23,11 @@ def _gathered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(batches), ignore_index=True).sort_values("frame")
 
 
-def reblock(stream: DataFrame, size: int = 1024, timeout_ms: int = 600_000) -> DataFrame:
+def _timeout(timeout_ms: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
+
+
+def reblock(stream: DataFrame, size: int = 1024, timeout_ms: int | None = None) -> DataFrame:
     """channel, start, n, total of each whole unit of size rows; a shorter one when a channel falls silent for timeout_ms."""
 
     def run(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
@@ -38,16 +43,17 @@ def reblock(stream: DataFrame, size: int = 1024, timeout_ms: int = 600_000) -> D
         yield pd.DataFrame({"channel": key[0], "start": [frames[k] for k in units], "n": size, "total": [sum(samples[k : k + size]) for k in units]})
         if whole < len(frames):
             state.update((frames[whole:], samples[whole:]))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
         elif state.exists:
             state.remove()
 
     return stream.groupBy("channel").applyInPandasWithState(
-        run, "channel string, start long, n long, total long", "frames array<long>, samples array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        run, "channel string, start long, n long, total long", "frames array<long>, samples array<long>", "append", _timeout(timeout_ms)
     )
 
 
-def lock(stream: DataFrame, length: int = 5, divisor: int = 5, timeout_ms: int = 600_000) -> DataFrame:
+def lock(stream: DataFrame, length: int = 5, divisor: int = 5, timeout_ms: int | None = None) -> DataFrame:
     """channel, frame of each packet's last row: a packet starts at a sync sample and has length rows; the lock is lost after timeout_ms."""
 
     def run(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
@@ -60,10 +66,11 @@ def lock(stream: DataFrame, length: int = 5, divisor: int = 5, timeout_ms: int =
             if at == length - 1:
                 ends.append(frame)
         state.update((at,))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame({"channel": key[0], "frame": ends})
 
-    return stream.groupBy("channel").applyInPandasWithState(run, "channel string, frame long", "place int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("channel").applyInPandasWithState(run, "channel string, frame long", "place int", "append", _timeout(timeout_ms))
 
 
 def windowed(stream: DataFrame, time: str, key: str, value: str, width: str, late: str) -> DataFrame:
