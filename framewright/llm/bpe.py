@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from framewright.llm import charsets
 
 #: Words whose encodings a Python worker keeps, and the longest word kept; longer ones stream through the transducer each time.
-WORDS_KEPT, WORD_LENGTH_KEPT = 600_000, 64
+WORDS_KEPT, WORD_LENGTH_KEPT = 400_000, 64
 #: Pairs of tokens whose compatibility a worker keeps.
-PAIRS_KEPT = 600_000
+PAIRS_KEPT = 200_000
 
 _L, _D, _W = charsets.LETTERS, charsets.DIGITS, charsets.WHITE
 _tails = "'s|'t|'re|'ve|'m|'ll|'d"

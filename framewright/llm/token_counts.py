@@ -29,7 +29,7 @@ from framewright.llm import charsets
 CACHE_SCHEMA = "content_sha256 binary, tokenizer_sha256 binary, n_bytes long, n_tokens long"
 
 #: Pieces whose counts a Python worker keeps; the store is emptied when full.
-PIECES_KEPT = 1_000_000
+PIECES_KEPT = 500_000
 
 _L, _D, _W = charsets.LETTERS, charsets.DIGITS, charsets.WHITE
 _tails = "'s|'t|'re|'ve|'m|'ll|'d"
