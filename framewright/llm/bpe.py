@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm import charsets
+from framewright.llm import charsets, worker
 
 #: Words whose encodings a Python worker keeps, and the longest word kept; longer ones stream through the transducer each time.
 WORDS_KEPT, WORD_LENGTH_KEPT = 400_000, 64
@@ -261,14 +261,12 @@ class Decoder:
         return "".join([*map(self.feed, ids), self.finish()])
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """This process's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    kept = worker.store("bpe")
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def _encoding(path: str, id_col: str, as_text: bool):

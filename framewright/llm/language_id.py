@@ -29,23 +29,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm import worker
+
 BITS, MAX_N, SCALE = 15, 3, 100.0
 SIZE = 1 << BITS
 #: Characters of text handled at a time in one task.
 CHUNK = 1 << 20
 
-_letters: np.ndarray | None = None
-
-
 def _codes() -> np.ndarray:
     """A code for each code point: 0 for all that is not a letter."""
-    global _letters
-    if _letters is None:
+    kept = worker.store("language_id")
+    if "letters" not in kept:
         points = np.arange(0x110000, dtype=np.uint32)
         known = np.fromiter((0xD800 <= p < 0xE000 or chr(p).isalpha() for p in range(0x110000)), bool, 0x110000)
         known[0xD800:0xE000] = False
-        _letters = np.where(known, points * np.uint32(2654435761) | np.uint32(1), 0).astype(np.uint32)
-    return _letters
+        kept["letters"] = np.where(known, points * np.uint32(2654435761) | np.uint32(1), 0).astype(np.uint32)
+    return kept["letters"]
 
 
 def text_codes(text: str) -> np.ndarray:

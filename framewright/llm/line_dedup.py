@@ -38,6 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright.llm import worker
 from framewright.scratch import drop_path, new_path
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -169,15 +170,13 @@ def _probing(filters, exceptions, shards: int):
     return test
 
 
-_tests: dict[int, object] = {}
-
-
 def _tester(sent):
     """The probe of a broadcast value, unpacked once in each worker."""
-    if sent.value["id"] not in _tests:
-        _tests.clear()
-        _tests[sent.value["id"]] = _probing(sent.value["filters"], sent.value["exceptions"], sent.value["shards"])
-    return _tests[sent.value["id"]]
+    kept = worker.store("line_dedup")
+    if sent.value["id"] not in kept:
+        kept.clear()
+        kept[sent.value["id"]] = _probing(sent.value["filters"], sent.value["exceptions"], sent.value["shards"])
+    return kept[sent.value["id"]]
 
 
 def _kept(lines: list[str], drop: np.ndarray) -> str:

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import charsets
+from framewright.llm import charsets, worker
 
 CACHE_SCHEMA = "content_sha256 binary, tokenizer_sha256 binary, n_bytes long, n_tokens long"
 
@@ -79,14 +79,12 @@ class PieceCounter(dict):
         return sum(map(self.__getitem__, pieces))
 
 
-_counters: dict[str, PieceCounter] = {}
-
-
 def counter(path: str) -> PieceCounter:
     """This process's counter for a tokenizer file."""
-    if path not in _counters:
-        _counters[path] = PieceCounter(path)
-    return _counters[path]
+    kept = worker.store("token_counts")
+    if path not in kept:
+        kept[path] = PieceCounter(path)
+    return kept[path]
 
 
 class PieceModelCounter:
