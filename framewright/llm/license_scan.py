@@ -5,7 +5,8 @@ two ways: lines are joined where the next one starts in lower case, or wherever
 line ends without a stop; the way that finds more known sentences counts, the first
 if both find as many. Each sentence is normalised (lower case, runs of other
 characters than a-z and 0-9 as one blank) and looked up among known licence
-sentences. The identifiers found, in text order, are matched against ordered
+sentences. The stops of "SPDX-License-Identifier: MIT" and "v. 2.0" end no sentence,
+and a line with an SPDX identifier is joined with no other. The identifiers found, in text order, are matched against ordered
 rules: a rule holds if its identifiers occur in this order, other known sentences
 in between allowed. A rule that another held rule includes is not reported.
 
@@ -100,6 +101,8 @@ _MARKED = r"(^|\n)[ \t]*[#*/;]+[ \t]*"
 _WRAPPED = r"([^.!?:;\n])\n([a-z(])"
 _ANY_WRAPPED = r"([^.!?:;\n])\n([^\n])"
 _ENDED = r"([.!?:;])[ \t\r]+"
+_INNER = r"(?i)(spdx-license-identifier(?=:)|\bv(?=\.[ \t\r\n]+[0-9]))[:.][ \t\r\n]*"
+_TAGGED = r"(?i)([^\n]*spdx-license-identifier [^\n]*)"
 
 
 def sentences_in(text: str) -> list[str]:
@@ -108,8 +111,23 @@ def sentences_in(text: str) -> list[str]:
     return [x for x in (re.sub("[^a-z0-9]+", " ", y.lower()).strip() for y in text.split("\n")) if x]
 
 
+def whole() -> dict[str, str]:
+    """Normalised sentence -> identifier; each sentence as one piece."""
+    out = {}
+    for name, texts in SENTENCES.items():
+        for text in texts:
+            (key,) = sentences_in(re.sub(_INNER, r"\1 ", text))
+            if out.setdefault(key, name) != name:
+                raise ValueError(f"{name} and {out[key]} share the sentence {text!r}")
+    return out
+
+
 def known() -> dict[str, str]:
-    """Normalised sentence -> identifier. A sentence with an inner stop is known by its last part that has a key."""
+    """Normalised sentence -> identifier, for the SQL only.
+
+    A sentence with an inner stop is known by its last part that has a key, so the
+    SQL is wrong for SPDX lines and for other versions of the MPL, where ``scan`` is not.
+    """
     out = {}
     for name, texts in SENTENCES.items():
         for text in texts:
@@ -135,13 +153,14 @@ def pattern(rule: list[str]) -> str:
 
 def _sentences(text: Column, wrapped: str) -> Column:
     bare = F.regexp_replace(text, _MARKED, "$1")
+    bare = F.regexp_replace(F.regexp_replace(bare, _INNER, "$1 "), _TAGGED, "\n$1\n")
     cut = F.split(F.regexp_replace(F.regexp_replace(bare, wrapped, "$1 $2"), _ENDED, "$1\n"), "\n")
     return F.transform(cut, lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " ")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: its id, sentence_ids and licenses (arrays, the first in text order, the second sorted)."""
-    table = F.create_map(*[F.lit(x) for pair in known().items() for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in whole().items() for x in pair])
     text = F.col(text_col)
     none = F.array().cast("array<string>")
 

@@ -241,3 +241,35 @@ def test_licences(spark, odd, nothing):
 
 def test_every_known_sentence_has_a_key():
     assert all(re.search(license_scan.KEYS, x) for x in license_scan.known())
+
+
+def scanned(spark, texts):
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r["sentence_ids"], r["licenses"]) for r in sorted(license_scan.scan(made).collect(), key=lambda r: r["doc_id"])]
+
+
+def test_every_sentence_alone_gives_its_own_identifier(spark):
+    want = [(name, text) for name, texts in license_scan.SENTENCES.items() for text in texts]
+    assert [ids for ids, _ in scanned(spark, [text for _, text in want])] == [[name] for name, _ in want]
+
+
+def test_sentences_with_inner_stops(spark):
+    mpl = license_scan.SENTENCES["mpl2-terms"][0]
+    texts = {
+        "// SPDX-License-Identifier: MIT\nimport x": ["mit-named"],
+        "/* Copyright A\n * SPDX-License-Identifier:\tApache-2.0 */\nint x": ["apache-2.0-named"],
+        "# spdx-license-identifier:MIT\r\n\nAll rights reserved.": ["all-rights-reserved", "mit-named"],
+        "SPDX-License-Identifier: GPL-3.0-only": ["gpl-3.0-named"],
+        "SPDX-License-Identifier: ISC": [],
+        "SPDX-License-Identifier: BSD-3-Clause\nmore": [],
+        mpl + " Other words.": ["mpl-2.0"],
+        mpl.replace("v. 2.0", "v.\n2.0"): ["mpl-2.0"],
+        mpl.replace("2.0", "1.1"): [],
+    }
+    assert [found for _, found in scanned(spark, list(texts))] == list(texts.values())
+
+
+def test_no_two_identifiers_share_a_sentence(monkeypatch):
+    monkeypatch.setitem(license_scan.SENTENCES, "again", ["released under the MIT license"])
+    with pytest.raises(ValueError, match="share the sentence"):
+        license_scan.whole()
