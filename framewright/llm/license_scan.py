@@ -94,15 +94,15 @@ RULES = {
     "all-rights-reserved": ["reserved"],
 }
 
-#: Every known sentence holds one of these.
-KEYS = "licen|copyright|permission|redistribut|warrant|rights reserved|copy of the|free software|general public"
+#: Every known sentence holds one of these: single words, which no line break or other blank can part.
+KEYS = "licen|copy|permission|redistribut|warrant|reserved|software"
 
 _MARKED = r"(^|\n)[ \t]*[#*/;]+[ \t]*"
 _WRAPPED = r"([^.!?:;\n])\n([a-z(])"
 _ANY_WRAPPED = r"([^.!?:;\n])\n([^\n])"
 _ENDED = r"([.!?:;])[ \t\r]+"
 _INNER = r"(?i)(spdx-license-identifier(?=:)|\bv(?=\.[ \t\r\n]+[0-9]))[:.][ \t\r\n]*"
-_TAGGED = r"(?i)([^\n]*spdx-license-identifier [^\n]*)"
+_TAGGED = r"(?i)(?:^|\n)([^\n]*spdx-license-identifier [^\n]*)"  # from a line's start, so that long lines are searched once
 
 
 def sentences_in(text: str) -> list[str]:
@@ -153,7 +153,7 @@ def pattern(rule: list[str]) -> str:
 
 def _sentences(text: Column, wrapped: str) -> Column:
     bare = F.regexp_replace(text, _MARKED, "$1")
-    bare = F.regexp_replace(F.regexp_replace(bare, _INNER, "$1 "), _TAGGED, "\n$1\n")
+    bare = F.regexp_replace(F.regexp_replace(bare, _INNER, "$1 "), _TAGGED, "\n\n$1\n")
     cut = F.split(F.regexp_replace(F.regexp_replace(bare, wrapped, "$1 $2"), _ENDED, "$1\n"), "\n")
     return F.transform(cut, lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " ")))
 

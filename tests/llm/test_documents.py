@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -273,3 +274,12 @@ def test_no_two_identifiers_share_a_sentence(monkeypatch):
     monkeypatch.setitem(license_scan.SENTENCES, "again", ["released under the MIT license"])
     with pytest.raises(ValueError, match="share the sentence"):
         license_scan.whole()
+
+
+def test_spellings_that_normalise_alike(spark):
+    duck = duckdb.connect()
+    duck.execute("create table documents (doc_id bigint, text varchar)")
+    texts = ["All rights\nreserved.", "All  rights \t reserved.", "All rights-reserved", "This program is free\nsoftware:", "This program is free  software;", "If a copy\nof the MPL was not distributed with this file, You can obtain one at"]
+    duck.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    told = duck.execute(f"select sentence_ids from ({license_scan.duckdb_sql()}) order by doc_id").fetchall()
+    assert [ids for ids, _ in scanned(spark, texts)] == [[ids] for (ids,) in told] == [[x] for x in ["reserved"] * 3 + ["gpl-free"] * 2 + ["mpl2-copy"]]
