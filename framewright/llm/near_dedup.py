@@ -13,15 +13,16 @@ Two documents agree on a coordinate with the probability of their weighted Jacca
 similarity.
 
 Joining. ``BANDS`` bands of ``ROWS`` coordinates are hashed to buckets. Documents
-with the same words are one node. Within a bucket every node is paired with four
-leaders only (see ``candidates``), so pairs stay linear in the bucket. Pairs are
-verified by the exact weighted Jaccard similarity of their shingles, and those of
-``least`` or more are links. Classes are the connected components of the links,
-found by label propagation over written tables.
+with the same words are one node. Pairs are verified by the exact weighted Jaccard
+similarity of their shingles, and those of ``least`` or more are links. First every
+node of a bucket is paired with four leaders (see ``candidates``), linear in the
+bucket. Then all pairs of a bucket that the links found so far leave in different
+components are verified too (see ``left_open``), so no pair that meets in a bucket is
+missed. Classes are the connected components of the links, found by label propagation
+over written tables.
 
-Figures: a pair of similarity 0.8 meets in a bucket with probability 0.9999. A pair
-inside a bucket of which neither is a leader is linked through the leaders; the
-README gives the classes found and lost against brute force.
+Figures: a pair of similarity 0.8 meets in a bucket with probability 0.9999. Links
+inside a component are not all looked for: ``n_links`` counts the verified ones.
 
 Defined cases: texts that are null or have no word are never linked and each is a
 class by itself. Equal texts are always in one class, as are repeated rows. A class
@@ -49,6 +50,8 @@ SHINGLE, BANDS, ROWS = 5, 25, 5
 K = BANDS * ROWS
 #: Parts of a bucket, each led by its most central node.
 PARTS = 3
+#: Nodes of a bucket that one block of pairs takes from either side, about.
+BLOCK = 1024
 #: Bytes of text handled at a time in one task.
 CHUNK = 1 << 20
 
@@ -210,7 +213,7 @@ def _banding(id_col: str):
                 signed = band_hashes(signatures(doc, own, weights, int(mask.sum()))) if mask.any() else np.zeros((0, BANDS), np.int64)
                 rows = {digests[k]: j for j, k in enumerate(np.flatnonzero(mask))}
                 bands = pa.array([signed[rows[d]] if d and mask[k] else None for k, d in enumerate(digests)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _binary(digests), bands], ["id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _binary(digests), bands, pa.array(counts, pa.int64())], ["id", "node", "bands", "size"])
 
     return run
 
@@ -254,15 +257,17 @@ def _verifying(least: float):
     return run
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of nodes to verify, a below b: every node of a bucket with the bucket's leaders.
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b) of nodes to verify first, a below b: every node of a bucket with the bucket's leaders.
+
+    Beside them the nodes of all buckets of two or more: node, size, band, bucket, n.
 
     A node is the more central the more nodes its buckets hold: what copies were made
     from meets more of them than they meet of each other. By hash, a bucket's nodes
     are dealt to ``PARTS``, anew in each band; the most central node of each part
     leads, and the one that is first by hash.
     """
-    slots = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    slots = nodes.select("node", "size", F.posexplode("bands").alias("band", "bucket"))
     sizes, _ = write_table(slots.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-buckets")
     met, _ = write_table(slots.join(sizes, ["band", "bucket"]), "near-met")
     mark = F.xxhash64("node", "band")
@@ -273,7 +278,36 @@ def candidates(nodes: DataFrame) -> DataFrame:
     leaders, _ = write_table(leaders.select("band", "bucket", named.alias("leaders")), "near-leaders")
     others = F.array_except("leaders", F.array("node"))
     pairs = met.select("node", "band", "bucket").join(leaders, ["band", "bucket"]).select("node", F.explode(others).alias("leader"))
-    return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), met
+
+
+def left_open(met: DataFrame, labels: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs (a, b) that share a bucket, are in different components and not among pairs.
+
+    Every node outside a bucket's largest component is paired with the bucket's nodes of
+    other components, in salted blocks. Left out is only what cannot be a link: the
+    similarity is at most the quotient of the numbers of shingles.
+    """
+    key = ["band", "bucket"]
+    told = met.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    told, _ = write_table(told, "near-told")
+    per = told.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("m"))
+    per = per.groupBy(*key).agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all")).filter("all > top.m")
+    blocks = [F.ceil(x / BLOCK).cast("int").alias(n) for n, x in (("rest_blocks", F.col("all") - F.col("top.m")), ("all_blocks", F.col("all")))]
+    told = told.drop("n").join(per.select(*key, F.col("top.label").alias("top"), *blocks), key)
+
+    def every(blocks: str):
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+    def own(blocks: str):
+        return F.pmod(F.xxhash64("node", "band"), F.col(blocks)).cast("int")
+
+    rest = told.filter("label <> top").select(*key, F.col("node").alias("x"), F.col("label").alias("x_label"), F.col("size").alias("x_size"), own("rest_blocks").alias("i"), every("all_blocks").alias("j"))
+    full = told.select(*key, F.col("node").alias("y"), F.col("label").alias("y_label"), F.col("size").alias("y_size"), own("all_blocks").alias("j"), every("rest_blocks").alias("i"))
+    near = F.least("x_size", "y_size") / F.greatest("x_size", "y_size") >= least
+    found = rest.join(full.hint("merge"), [*key, "i", "j"]).filter((F.col("x_label") != F.col("y_label")) & near)
+    found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return found.join(pairs.hint("merge"), ["a", "b"], "left_anti")
 
 
 def components(links: DataFrame) -> tuple[DataFrame, str]:
@@ -302,22 +336,37 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
 def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: its id, class_id (the lowest id of its class), class_size and n_links (verified links of its text)."""
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    made = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_banding(id_col), f"id {kind}, node binary, bands array<long>")
+    made = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_banding(id_col), f"id {kind}, node binary, bands array<long>, size long")
     rows, rows_path = write_table(made, "near-rows")
     # Equal texts of other chunks were signed again, to the same bands.
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"), F.max("bands").alias("bands"))
+    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"), F.max("bands").alias("bands"), F.max("size").alias("size"))
     nodes, nodes_path = write_table(nodes, "near-nodes")
-    pairs, _ = write_table(candidates(nodes), "near-pairs")
+    pairs, met = candidates(nodes)
+    pairs, _ = write_table(pairs, "near-pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     # Merge joins at every size: the shingles move alike, however few pairs there are.
     texts = docs.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull()).mapInArrow(_shingling, "node binary, shingles binary")
     held, _ = write_table(texts.filter("node is not null").join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "near-shingles")
     left, right = held.toDF("a", "left_shingles"), held.toDF("b", "right_shingles")
-    checked = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "left_shingles", "right_shingles")
-    links, _ = write_table(checked.mapInArrow(_verifying(least), "a binary, b binary"), "near-links")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        checked = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "left_shingles", "right_shingles")
+        return write_table(checked.mapInArrow(_verifying(least), "a binary, b binary"), "near-links")[0]
+
+    links = linked(pairs)
     labels, _ = components(links)
+    more, _ = write_table(left_open(met, labels, pairs, least), "near-open")
+    more = linked(more)
+    if more.limit(1).count():
+        ends = [labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label")) for x in ("a", "b")]
+        between = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).distinct()
+        joined, _ = components(between)
+        # A node that had no link is its own label; those of the links so far take the label of theirs.
+        own = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("low")), "label", "left").select("node", F.coalesce("low", "label").alias("label"))
+        labels, _ = write_table(own.union(joined.join(labels.select("node"), "node", "left_anti").select("node", "label")), "near-labels")
+        links = links.union(more)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    joined = nodes.drop("bands").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    joined = nodes.drop("bands", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = joined.groupBy("label").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"))
     named = joined.join(classes, "label").join(degree, "node", "left").select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     named, _ = write_table(named, "near-classes")

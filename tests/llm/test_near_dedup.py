@@ -55,6 +55,21 @@ def test_near_copies_of_one_text(spark):
     assert got == exact_classes(rows)
 
 
+def test_every_pair_of_a_bucket_counts(spark, monkeypatch):
+    """Many small classes in the same buckets, more than its leaders are linked to."""
+    monkeypatch.setattr(near_dedup, "band_hashes", lambda signature: np.zeros((len(signature), near_dedup.BANDS), np.int64))
+    monkeypatch.setattr(near_dedup, "BLOCK", 50)
+    draw = np.random.default_rng(7)
+    rows = []
+    for k in range(150):
+        words = [f"w{x}" for x in draw.integers(0, 10**6, 60)]
+        rows += [(10 * k + j, " ".join([*words[:57], *(f"v{k}x{j}x{x}" for x in range(3))])) for j in range(2 + k % 2)]
+    got = {r["doc_id"]: r for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = exact_classes(rows)
+    assert {i: r["class_id"] for i, r in got.items()} == want
+    assert all(r["class_size"] == 2 + i // 10 % 2 and r["n_links"] >= 1 for i, r in got.items())
+
+
 def test_signatures_agree_as_often_as_weights_do():
     draw = np.random.default_rng(1)
     hashes = draw.integers(0, 2**63, 400).astype(np.uint64)
