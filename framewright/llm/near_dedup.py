@@ -24,8 +24,8 @@ over written tables.
 Figures: a pair of similarity 0.8 meets in a bucket with probability 0.9999. Links
 inside a component are not all looked for: ``n_links`` counts the verified ones.
 
-Defined cases: texts that are null or have no word are never linked and each is a
-class by itself. Equal texts are always in one class, as are repeated rows. A class
+Defined cases: null texts are never linked and each is a class by itself; texts
+without a word are in one class with equal ones only. Equal texts are always in one class, as are repeated rows. A class
 is named by the lowest id in it; a null id is higher than any other, and a class of
 null ids only has a null name. An empty table gives an empty result. Only the id
 and text columns are read.
@@ -201,7 +201,8 @@ def _binary(values: list[bytes]) -> pa.Array:
 def _banding(id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
+            given = batch.column(1).to_pylist()
+            texts = [x or "" for x in given]
             for a, b in _chunks(texts):
                 hashes, counts, digests = shingles(texts[a:b])
                 mask, seen = np.zeros(len(digests), bool), {b""}  # equal documents of a chunk are signed once
@@ -213,7 +214,9 @@ def _banding(id_col: str):
                 signed = band_hashes(signatures(doc, own, weights, int(mask.sum()))) if mask.any() else np.zeros((0, BANDS), np.int64)
                 rows = {digests[k]: j for j, k in enumerate(np.flatnonzero(mask))}
                 bands = pa.array([signed[rows[d]] if d and mask[k] else None for k, d in enumerate(digests)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _binary(digests), bands, pa.array(counts, pa.int64())], ["id", "node", "bands", "size"])
+                # Texts without a word have no bands, and are one node if they are equal.
+                named = [d or (b"" if x is None else xxhash.xxh3_128_digest(x.encode(), 1)) for d, x in zip(digests, given[a:b], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _binary(named), bands, pa.array(counts, pa.int64())], ["id", "node", "bands", "size"])
 
     return run
 

@@ -37,3 +37,11 @@ def test_stages_take_empty_tables_and_odd_rows(spark, sf_dir, odd, nothing):
             made = stage(spark, docs, sf_dir)
             assert name == "bpe" or made.columns == corpus_pipeline.COLUMNS
             made.count()
+
+
+def test_one_row_stays_of_exact_copies(spark, sf_dir):
+    rows = [(k, f"copies of {n}", "en", "s", 1) for n, first in ((10, 0), (1000, 100)) for k in range(first, first + n)]
+    rows += [(5000, "another text of its own", "en", "s", 1), (5001, "\n", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_stage(spark, corpus_pipeline.line_stage(spark, docs, sf_dir), sf_dir).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(0, ""), (5000, "another text of its own"), (5001, "\n")]
