@@ -9,6 +9,10 @@ summed. Text starts at a surge, where the sum first passes the threshold, and
 ends at the dive, where it falls back to zero; the lines in between are kept.
 Inside an article the threshold is zero, so short paragraphs stay.
 
+A form, or an element with a telling class, id or role, is no noise where it wraps
+the page: where the page has no article text outside of it and more text is found
+with it (it encloses an article) or no text without it (it holds most of the text).
+
 Character references are decoded, white space inside a block becomes one space,
 blocks are trimmed and joined by an empty line.
 
@@ -64,8 +68,11 @@ def _is_noise(tag: str, attributes: str, in_article: bool) -> bool:
     return any(not NAMES.isdisjoint(x) or ("header" in x and x <= HEADER and not in_article) for x in named)
 
 
-def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """Text, link characters and whether inside an article, of each line; and whether the page has an article.
+def lines_of(html: str, wrappers: frozenset[int] = frozenset()) -> tuple[list[tuple[str, int, bool]], bool, list[list[int]]]:
+    """Text, link characters and whether inside an article, of each line; whether the page has an article; what was skipped.
+
+    Skipped are forms and elements noise by name: place, articles inside and characters
+    of text. Those at the places in wrappers are read like any other element.
 
     Noise leaves ``WINDOW`` empty lines behind, so no window reaches across it.
     """
@@ -73,6 +80,8 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
     parts: list[str] = []
     links = in_link = in_article = articles = 0
     noise, depth = "", 0
+    skipped: list[list[int]] = []
+    skip = [0, 0, 0]
     gap = [("", 0, False)] * WINDOW
 
     def end_line() -> None:
@@ -90,6 +99,8 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if text and not noise:
             parts.append(text)
             links += len(text.strip()) if in_link else 0
+        elif text:
+            skip[2] += len(text.strip())
         if not found:
             break
         at = found.end()
@@ -104,6 +115,7 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
             at = done.end() if done else n
             continue
         if noise:
+            skip[1] += tag in ("article", "main") and not closing
             if tag == noise:
                 depth += -1 if closing else 1 if tag not in ("p", "li") else 0
             if depth == 0 or (noise in ("p", "li") and tag == noise and not closing):
@@ -121,17 +133,35 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if tag in ("article", "main"):
             in_article = max(0, in_article + (-1 if closing else 1))
             articles += not closing
-        if not closing and tag not in VOID and not attributes.rstrip().endswith("/") and _is_noise(tag, attributes, in_article > 0):
+        if not closing and tag not in VOID and not attributes.rstrip().endswith("/") and at not in wrappers and _is_noise(tag, attributes, in_article > 0):
             end_line()
+            skip = [at, 0, 0]
+            if tag == "form" or (tag not in NEVER_TEXT and tag != "header" and not _HIDDEN.search(attributes)):
+                skipped.append(skip)
             lines += gap
             noise, depth = tag, 1
     end_line()
-    return lines, articles > 0
+    return lines, articles > 0, skipped
 
 
 def main_text(html: str | None) -> str:
     """The main text of a page."""
-    lines, has_article = lines_of(html or "")
+    lines, has_article, skipped = lines_of(html or "")
+    text, wrappers = _chosen(lines, has_article), frozenset()
+    while skipped and not any(x[2] for x in lines):
+        size = sum(len(x[0]) for x in lines) + sum(x[2] for x in skipped)
+        around = [at for at, articles, held in skipped if articles or (not text and 2 * held > size)]
+        wrappers |= frozenset(around)
+        lines, has_article, skipped = lines_of(html or "", wrappers)
+        more = _chosen(lines, has_article)
+        if not around or (text and len(more) <= len(text)):
+            break
+        text = more
+    return text
+
+
+def _chosen(lines: list[tuple[str, int, bool]], has_article: bool) -> str:
+    """The lines that the windows choose, as one text."""
     if has_article and any(x[2] for x in lines):
         sizes = [len(t) if inside else 0 for t, _, inside in lines]
         threshold = 0

@@ -219,6 +219,17 @@ def test_html():
         assert isinstance(html_extract.main_text(text), str)
 
 
+def test_html_wrappers_are_no_noise():
+    body = "Words of an article that go on for a while, long enough to be text. " * 3
+    article = f"<article><p>{body}</p><div class='ad'>no advert</div><p>Short.</p></article><section id=comments><article>no comment</article></section>"
+    want = f"{body.strip()}\n\nShort."
+    for name in ("content with-sidebar", "no-sidebar", "has-banner", "social-enabled"):
+        assert html_extract.main_text(f"<body><div class='{name}'><div class=widget-area>{article}</div></div></body>") == want
+        assert html_extract.main_text(f"<body><div class='{name}'><p>{body}</p></div></body>") == body.strip()
+    assert html_extract.main_text(f"<body><form action=x>{article}</form><footer>no</footer></body>") == want
+    assert html_extract.main_text(f"<body><div><p>{body}</p></div><section id=comments><article>no comment</article></section></body>") == body.strip()
+
+
 def test_html_odd_rows(spark, odd, nothing):
     pages = odd.withColumnRenamed("doc_id", "page_id").withColumn("url", F.lit(None).cast("string")).withColumnRenamed("text", "html")
     rows = html_extract.extract(pages).collect()
