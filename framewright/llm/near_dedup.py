@@ -13,16 +13,19 @@ Two documents agree on a coordinate with the probability of their weighted Jacca
 similarity.
 
 Joining. ``BANDS`` bands of ``ROWS`` coordinates are hashed to buckets. Documents
-with the same words are one node. Pairs are verified by the exact weighted Jaccard
-similarity of their shingles, and those of ``least`` or more are links. First every
-node of a bucket is paired with four leaders (see ``candidates``), linear in the
-bucket. Then all pairs of a bucket that the links found so far leave in different
-components are verified too (see ``left_open``), so no pair that meets in a bucket is
-missed. Classes are the connected components of the links, found by label propagation
-over written tables.
-
-Figures: a pair of similarity 0.8 meets in a bucket with probability 0.9999. Links
-inside a component are not all looked for: ``n_links`` counts the verified ones.
+with the same words are one node. Pairs are verified by the weighted Jaccard
+similarity of their shingles (hashes of 48 bits), and those of ``least`` or more are
+links. First every node of a bucket is paired with four leaders (see ``candidates``),
+linear in the bucket. Nodes that still share a bucket with another component go on to
+``left_open``, which finds every pair of different components that can be a link by a
+prefix filter on rare shingles; these are verified too. So no pair that meets in a
+bucket is missed, and a bucket's pairs are not all made. Classes are the connected
+components of the links, found by label propagation over written tables.
+
+Figures: a pair of similarity 0.8 meets in a bucket with probability 0.9999. Two
+different shingles have the same hash with probability 2^-48. Pairs left open grow
+with the square of a bucket only where many texts are within ``least`` of one text
+that is not there itself, and not of each other.
 
 Defined cases: null texts are never linked and each is a class by itself; texts
 without a word are in one class with equal ones only. Equal texts are always in one class, as are repeated rows. A class
@@ -33,6 +36,7 @@ and text columns are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,14 +48,14 @@ from pyspark.sql import functions as F
 
 from framewright.llm import worker
 from framewright.llm.drops import without
-from framewright.scratch import drop_path, write_table
+from framewright.scratch import Tables, drop_path, write_table
 
 SHINGLE, BANDS, ROWS = 5, 25, 5
 K = BANDS * ROWS
 #: Parts of a bucket, each led by its most central node.
 PARTS = 3
-#: Nodes of a bucket that one block of pairs takes from either side, about.
-BLOCK = 1024
+#: Ratio of the sizes in one band of sizes.
+STEP = 1.08
 #: Bytes of text handled at a time in one task.
 CHUNK = 1 << 20
 
@@ -89,10 +93,8 @@ def _power(n: int) -> np.ndarray:
     return _table("powers", int(_BASE), n)[:n]
 
 
-def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Shingle hashes of all texts in order, how many each text has, and a digest of each text's words (empty: no word)."""
-    datas = [x.lower().encode() for x in texts]
-    data = np.frombuffer(b" ".join([*datas, b""]), np.uint8)
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of UTF-8 bytes, and where it starts."""
     is_word, code = _tables()
     inside = is_word[data]
     edges = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
@@ -101,7 +103,29 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     running = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(code[data] * _power(len(data))[::-1], out=running[1:])
     words = (running[end] - running[start]) * _inverse(len(data) - end)
-    words = mix(words ^ ((end - start).astype(np.uint64) * _GOLD))
+    return mix(words ^ ((end - start).astype(np.uint64) * _GOLD)), start
+
+
+def _pieces(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cuts of about CHUNK bytes, never inside a word."""
+    is_word, _ = _tables()
+    at = 0
+    while at < len(data):
+        end = min(at + CHUNK, len(data))
+        while end < len(data) and is_word[data[end]]:
+            rest = np.flatnonzero(~is_word[data[end : end + CHUNK]])
+            end = end + int(rest[0]) if len(rest) else min(end + CHUNK, len(data))
+        yield at, end
+        at = end
+
+
+def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Shingle hashes of all texts in order, how many each text has, and a digest of each text's words (empty: no word)."""
+    datas = [x.lower().encode() for x in texts]
+    data = np.frombuffer(b" ".join([*datas, b""]), np.uint8)
+    found = [(w, s + at) for at, end in _pieces(data) for w, s in [_words(data[at:end])]]
+    words = np.concatenate([np.zeros(0, np.uint64), *(w for w, _ in found)])
+    start = np.concatenate([np.zeros(0, np.int64), *(s for _, s in found)])
     sizes = np.array([len(d) + 1 for d in datas], np.int64)
     first = np.searchsorted(start, np.concatenate([[0], np.cumsum(sizes)]))
     counts = np.diff(first)
@@ -198,54 +222,66 @@ def _binary(values: list[bytes]) -> pa.Array:
     return pa.array([v or None for v in values], pa.binary())
 
 
-def _banding(id_col: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            given = batch.column(1).to_pylist()
-            texts = [x or "" for x in given]
-            for a, b in _chunks(texts):
-                hashes, counts, digests = shingles(texts[a:b])
-                mask, seen = np.zeros(len(digests), bool), {b""}  # equal documents of a chunk are signed once
-                for k, d in enumerate(digests):
-                    mask[k] = d not in seen
-                    seen.add(d)
-                chosen = hashes[np.repeat(mask, counts)]
-                doc, own, weights = weighted(chosen, counts[mask])
-                signed = band_hashes(signatures(doc, own, weights, int(mask.sum()))) if mask.any() else np.zeros((0, BANDS), np.int64)
-                rows = {digests[k]: j for j, k in enumerate(np.flatnonzero(mask))}
-                bands = pa.array([signed[rows[d]] if d and mask[k] else None for k, d in enumerate(digests)], pa.list_(pa.int64()))
-                # Texts without a word have no bands, and are one node if they are equal.
-                named = [d or (b"" if x is None else xxhash.xxh3_128_digest(x.encode(), 1)) for d, x in zip(digests, given[a:b], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _binary(named), bands, pa.array(counts, pa.int64())], ["id", "node", "bands", "size"])
+def _banding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        given = batch.column(1).to_pylist()
+        texts = [x or "" for x in given]
+        for a, b in _chunks(texts):
+            hashes, counts, digests = shingles(texts[a:b])
+            mask, seen = np.zeros(len(digests), bool), {b""}  # equal documents of a chunk are signed once
+            for k, d in enumerate(digests):
+                mask[k] = d not in seen
+                seen.add(d)
+            chosen = hashes[np.repeat(mask, counts)]
+            doc, own, weights = weighted(chosen, counts[mask])
+            signed = band_hashes(signatures(doc, own, weights, int(mask.sum()))) if mask.any() else np.zeros((0, BANDS), np.int64)
+            rows = {digests[k]: j for j, k in enumerate(np.flatnonzero(mask))}
+            bands = pa.array([signed[rows[d]] if d and mask[k] else None for k, d in enumerate(digests)], pa.list_(pa.int64()))
+            # Texts without a word have no bands, and are one node if they are equal.
+            named = [d or (b"" if x is None else xxhash.xxh3_128_digest(x.encode(), 1)) for d, x in zip(digests, given[a:b], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _binary(named), bands, pa.array(counts, pa.int64())], ["id", "node", "bands", "size"])
+
+
+def _distinct(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """48 bits of each shingle, sorted per text; the k-th of equal shingles of a text gets a number of its own."""
+    doc = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((hashes, doc))
+    doc, hashes = doc[order], hashes[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
+    nth = np.arange(len(doc)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    again = nth > 0
+    hashes[again] = mix(hashes[again] + nth[again].astype(np.uint64) * _GOLD)
+    hashes >>= np.uint64(16)
+    return hashes[np.lexsort((hashes, doc))]
 
-    return run
+
+def packed(tokens: np.ndarray) -> bytes:
+    """Numbers of 48 bits in six bytes each."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
 
 
 def _shingling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted 32-bit shingle hashes (repeats kept) of each text."""
+    """The packed shingles of each text."""
     for batch in batches:
         texts = batch.column(0).to_pylist()
         for a, b in _chunks(texts):
             hashes, counts, digests = shingles(texts[a:b])
-            short = (hashes >> np.uint64(32)).astype(np.uint32)
-            doc = np.repeat(np.arange(len(counts)), counts)
-            short = short[np.lexsort((short, doc))]
-            ends = np.cumsum(counts)
-            packed = [short[e - n : e].tobytes() for e, n in zip(ends, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays([_binary(digests), pa.array(packed, pa.binary())], ["node", "shingles"])
+            own = np.split(_distinct(hashes, counts), np.cumsum(counts)[:-1])
+            yield pa.RecordBatch.from_arrays([_binary(digests), pa.array(map(packed, own), pa.binary())], ["node", "shingles"])
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two sorted lists of shingles with repeats."""
+    """Jaccard similarity of two sorted lists of distinct numbers; of shingles with repeats if repeats are numbered."""
     both = np.concatenate([a, b])
     both.sort(kind="stable")
-    if len(a) == len(np.unique(a)) and len(b) == len(np.unique(b)):
-        common = int((both[1:] == both[:-1]).sum())
-    else:
-        ua, na = np.unique(a, return_counts=True)
-        ub, nb = np.unique(b, return_counts=True)
-        _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-        common = int(np.minimum(na[ia], nb[ib]).sum())
+    common = int((both[1:] == both[:-1]).sum())
     return common / max(1, len(a) + len(b) - common)
 
 
@@ -254,14 +290,14 @@ def _verifying(least: float):
         worker.store("near_dedup")
         for batch in batches:
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = [similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= least for x, y in zip(left, right, strict=True)]
+            ok = [similarity(unpacked(x), unpacked(y)) >= least for x, y in zip(left, right, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a, b) of nodes to verify first, a below b: every node of a bucket with the bucket's leaders.
+def candidates(nodes: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b) to verify first: every node a of a bucket with the bucket's leaders b.
 
     Beside them the nodes of all buckets of two or more: node, size, band, bucket, n.
 
@@ -271,46 +307,74 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     leads, and the one that is first by hash.
     """
     slots = nodes.select("node", "size", F.posexplode("bands").alias("band", "bucket"))
-    sizes, _ = write_table(slots.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-buckets")
-    met, _ = write_table(slots.join(sizes, ["band", "bucket"]), "near-met")
+    sizes = tables.write(slots.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-buckets")
+    met = tables.write(slots.join(sizes, ["band", "bucket"]), "near-met")
     mark = F.xxhash64("node", "band")
     ranked = met.join(met.groupBy("node").agg(F.sum("n").alias("central")), "node").withColumn("mark", mark).withColumn("part", F.pmod(mark, F.lit(PARTS)))
     most = [F.max(F.when(F.col("part") == k, F.struct("central", "node"))).alias(f"m{k}") for k in range(PARTS)]
     leaders = ranked.groupBy("band", "bucket").agg(F.min(F.struct("mark", "node")).alias("first"), *most)
     named = F.array_distinct(F.array_compact(F.array("first.node", *[f"m{k}.node" for k in range(PARTS)])))
-    leaders, _ = write_table(leaders.select("band", "bucket", named.alias("leaders")), "near-leaders")
+    leaders = tables.write(leaders.select("band", "bucket", named.alias("leaders")), "near-leaders")
     others = F.array_except("leaders", F.array("node"))
-    pairs = met.select("node", "band", "bucket").join(leaders, ["band", "bucket"]).select("node", F.explode(others).alias("leader"))
-    return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), met
+    pairs = met.select("node", "band", "bucket").join(leaders, ["band", "bucket"]).select(F.col("node").alias("a"), F.explode(others).alias("b"))
+    return pairs.distinct(), met
 
 
-def left_open(met: DataFrame, labels: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """Distinct pairs (a, b) that share a bucket, are in different components and not among pairs.
-
-    Every node outside a bucket's largest component is paired with the bucket's nodes of
-    other components, in salted blocks. Left out is only what cannot be a link: the
-    similarity is at most the quotient of the numbers of shingles.
-    """
-    key = ["band", "bucket"]
-    told = met.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    told, _ = write_table(told, "near-told")
-    per = told.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("m"))
-    per = per.groupBy(*key).agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all")).filter("all > top.m")
-    blocks = [F.ceil(x / BLOCK).cast("int").alias(n) for n, x in (("rest_blocks", F.col("all") - F.col("top.m")), ("all_blocks", F.col("all")))]
-    told = told.drop("n").join(per.select(*key, F.col("top.label").alias("top"), *blocks), key)
+def _unpacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, token: one row for each packed shingle."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            tokens = unpacked(batch.column(1)[k].as_py()).view(np.int64)
+            for at in range(0, len(tokens), 1 << 16):
+                part = tokens[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(part), pa.binary()), pa.array(part)], ["node", "token"])
 
-    def every(blocks: str):
-        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
 
-    def own(blocks: str):
-        return F.pmod(F.xxhash64("node", "band"), F.col(blocks)).cast("int")
+def left_open(met: DataFrame, labels: DataFrame, held: DataFrame, least: float, tables: Tables) -> DataFrame:
+    """Distinct pairs (a, b) of nodes that share no component and may be links; no link is left out.
 
-    rest = told.filter("label <> top").select(*key, F.col("node").alias("x"), F.col("label").alias("x_label"), F.col("size").alias("x_size"), own("rest_blocks").alias("i"), every("all_blocks").alias("j"))
-    full = told.select(*key, F.col("node").alias("y"), F.col("label").alias("y_label"), F.col("size").alias("y_size"), own("all_blocks").alias("j"), every("rest_blocks").alias("i"))
-    near = F.least("x_size", "y_size") / F.greatest("x_size", "y_size") >= least
-    found = rest.join(full.hint("merge"), [*key, "i", "j"]).filter((F.col("x_label") != F.col("y_label")) & near)
-    found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return found.join(pairs.hint("merge"), ["a", "b"], "left_anti")
+    Only nodes that share a bucket with another component are looked at. A link shares
+    at least ``least / (1 + least)`` of the shingles of both, so in one order of all
+    shingles, the rarest first, the first shared one stands early in both: at place
+    n - that number or before. Nodes are joined on such shingles, by bands of their
+    sizes; of each group's largest component no pairs are made.
+    """
+    told = met.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    told = tables.write(told.select("node", "size", "label", "band", "bucket"), "near-told")
+    mixed = told.groupBy("band", "bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    some = told.join(mixed.select("band", "bucket").hint("merge"), ["band", "bucket"], "left_semi").select("node", "size", "label").distinct()
+    some = tables.write(some, "near-some")
+    tokens = held.join(some.select("node").hint("merge"), "node", "left_semi").select("node", "shingles").mapInArrow(_unpacking, "node binary, token long")
+    tokens = tables.write(tokens, "near-tokens")
+    shared = tables.write(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "near-df")
+    ordered = tokens.join(shared.hint("merge"), "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    t, share = F.lit(least), least / (1 + least)
+    n = F.col("size")
+    alone = n - F.size("shared")
+    early = F.greatest(n - F.ceil(n * t - 1e-6) + 1 - alone, F.lit(0)).cast("int")
+    rows = ordered.join(some.hint("merge"), "node").select("node", "label", "size", alone.alias("alone"), F.slice("shared", 1, early).alias("early"))
+    rows = rows.select("node", "label", "size", "alone", F.posexplode("early").alias("at", "pair"))
+    place = F.col("alone") + F.col("at")
+    band = lambda x: F.floor(F.log(x) / math.log(STEP)).cast("int")
+    top = F.least(n / t, (n - place) / share - n) + 1e-6
+    rows = rows.select("node", "label", "size", place.alias("place"), F.col("pair.token").alias("token"), band(n).alias("own"), band(n * t - 1e-6).alias("from"), F.when(top >= n * t - 1e-6, band(top)).alias("to"))
+    rows = rows.filter("to is not null").withColumn("other", F.explode(F.sequence("from", "to"))).drop("from", "to")
+    rows = tables.write(rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")), "near-early")
+    key = ["token", "low", "high"]
+    per = rows.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("m")).groupBy(*key).agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all")).filter("all > top.m")
+    rows = tables.write(rows.join(per.select(*key, F.col("top.label").alias("top")).hint("merge"), key), "near-groups")
+    one = rows.filter("label <> top").select("token", "own", "other", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "size", "place")])
+    two = rows.select("token", F.col("own").alias("other"), F.col("other").alias("own"), *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "size", "place")])
+    need = (F.col("x_size") + F.col("y_size")) * share - 1e-6
+    fits = (F.col("x_place") <= F.col("x_size") - need) & (F.col("y_place") <= F.col("y_size") - need)
+    found = one.join(two.hint("merge"), ["token", "own", "other"]).filter((F.col("x_label") != F.col("y_label")) & fits)
+    return found.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+
+
+def stars(links: DataFrame) -> DataFrame:
+    """Fewer links of the same components: each a keeps its link to the highest b, to which its others are linked instead."""
+    top = links.groupBy("a").agg(F.max("b").alias("top"), F.collect_set("b").alias("all"))  # at most BANDS * (PARTS + 1) leaders each
+    return top.select("top", F.explode(F.array_union("all", F.array("a"))).alias("node")).filter("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> tuple[DataFrame, str]:
@@ -337,51 +401,48 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: its id, class_id (the lowest id of its class), class_size and n_links (verified links of its text)."""
+    """Per row: its id, class_id (the lowest id of its class) and class_size."""
+    tables = Tables(docs.sparkSession)
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    made = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_banding(id_col), f"id {kind}, node binary, bands array<long>, size long")
-    rows, rows_path = write_table(made, "near-rows")
+    made = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_banding, f"id {kind}, node binary, bands array<long>, size long")
+    rows = tables.keep(made, "near-rows")
     # Equal texts of other chunks were signed again, to the same bands.
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"), F.max("bands").alias("bands"), F.max("size").alias("size"))
-    nodes, nodes_path = write_table(nodes, "near-nodes")
-    pairs, met = candidates(nodes)
-    pairs, _ = write_table(pairs, "near-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    nodes = tables.write(nodes, "near-nodes")
+    pairs, met = candidates(nodes, tables)
+    pairs = tables.write(pairs, "near-pairs")
+    wanted = met.select("node").distinct()
     # Merge joins at every size: the shingles move alike, however few pairs there are.
     texts = docs.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull()).mapInArrow(_shingling, "node binary, shingles binary")
-    held, _ = write_table(texts.filter("node is not null").join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "near-shingles")
+    held = tables.write(texts.filter("node is not null").join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "near-shingles")
     left, right = held.toDF("a", "left_shingles"), held.toDF("b", "right_shingles")
 
     def linked(pairs: DataFrame) -> DataFrame:
         checked = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "left_shingles", "right_shingles")
-        return write_table(checked.mapInArrow(_verifying(least), "a binary, b binary"), "near-links")[0]
+        return tables.write(checked.mapInArrow(_verifying(least), "a binary, b binary"), "near-links")
 
-    links = linked(pairs)
-    labels, _ = components(links)
-    more, _ = write_table(left_open(met, labels, pairs, least), "near-open")
-    more = linked(more)
+    labels, path = components(stars(linked(pairs)))
+    tables.paths.append(path)
+    more = linked(tables.write(left_open(met, labels, held, least, tables), "near-open"))
     if more.limit(1).count():
         ends = [labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label")) for x in ("a", "b")]
         between = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).distinct()
-        joined, _ = components(between)
+        joined, path = components(between)
+        tables.paths.append(path)
         # A node that had no link is its own label; those of the links so far take the label of theirs.
         own = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("low")), "label", "left").select("node", F.coalesce("low", "label").alias("label"))
-        labels, _ = write_table(own.union(joined.join(labels.select("node"), "node", "left_anti").select("node", "label")), "near-labels")
-        links = links.union(more)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    joined = nodes.drop("bands", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    classes = joined.groupBy("label").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"))
-    named = joined.join(classes, "label").join(degree, "node", "left").select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    named, _ = write_table(named, "near-classes")
+        labels = tables.write(own.union(joined.join(labels.select("node"), "node", "left_anti").select("node", "label")), "near-labels")
+    # Only linked nodes meet their class; every other node is a class by itself.
+    joined = tables.write(nodes.select("node", "low", "n").join(labels, "node"), "near-joined")
+    classes = tables.write(joined.groupBy("label").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size")), "near-sums")
+    named = joined.select("node", "label").join(classes, "label").select("node", "class_id", "class_size")
+    lone = nodes.filter("n > 1").join(labels.select("node"), "node", "left_anti").select("node", F.col("low").alias("class_id"), F.col("n").alias("class_size"))
+    named = tables.keep(named.union(lone), "near-classes")
+    tables.close()
     return (
         rows.select("id", "node")
         .join(named, "node", "left")
-        .select(
-            F.col("id").alias(id_col),
-            F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-            F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        )
+        .select(F.col("id").alias(id_col), F.when(F.col("class_size").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
     )
 
 
