@@ -1,17 +1,25 @@
 """Main-text extraction by line-block distribution.
 
-Markup is stripped into lines, one per block element. What sits in elements that
-never hold article text (menus, footers, side bars, forms, scripts, adverts,
-comments, by tag or by class, id or role) becomes empty lines; so does, on pages
-with an ``article`` or ``main`` element, everything outside it, and elsewhere a
-line made mostly of links. The text lengths of ``WINDOW`` following lines are
-summed. Text starts at a surge, where the sum first passes the threshold, and
-ends at the dive, where it falls back to zero; the lines in between are kept.
-Inside an article the threshold is zero, so short paragraphs stay.
-
-A form, or an element with a telling class, id or role, is no noise where it wraps
-the page: where the page has no article text outside of it and more text is found
-with it (it encloses an article) or no text without it (it holds most of the text).
+Markup is stripped into lines, one per block element, and every line gets a size: the
+length of its text. Lines that are not the article by their looks weigh nothing:
+
+* lines made mostly of links, and, outside an article, short list items without a
+  closing mark;
+* lines inside a menu, footer, side bar, header, form or advert, by tag or by a word
+  of class, id or role;
+* lines outside ``article`` (else ``main``), if what is inside has at least a quarter
+  of the text that is left.
+
+The sizes of ``WINDOW`` following lines are summed. Text starts at a surge, the first
+line with a size whose sum passes the threshold, and ends at the dive, where a whole
+window has no size; all lines in between stay, with lines of links among them, but not
+lines of the second kind, or outside the article. Inside an article the threshold is
+zero, so short paragraphs stay. Where no sum passes the threshold it is zero as well.
+
+The second kind has limits of size, as names deceive. Where no article text is outside
+of such elements, one that holds more than half of the page's text is read like any
+other; a menu, footer or side bar only if it encloses an article. If that leaves no
+text, all that enclose an article are read.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are trimmed and joined by an empty line.
@@ -24,7 +32,9 @@ independent. An empty table gives an empty table. Only the columns named are rea
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html import unescape
 
 import pyarrow as pa
@@ -36,71 +46,127 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td "
     "tfoot th thead title tr ul".split()
 )
-NEVER_TEXT = frozenset("nav footer aside form head menu button select textarea dialog noscript template iframe svg object canvas audio video map".split())
+ITEMS = frozenset("li dt dd td th".split())
+BESIDE = frozenset("nav footer aside form header menu dialog".split())
+FIRM = frozenset("nav footer aside menu".split())
+NEVER_TEXT = frozenset("button select noscript template iframe svg object canvas audio video map".split())
 RAW = frozenset("script style textarea title xmp noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Words of class, id and role that mark what is not the article.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments contentinfo cookie cookies "
-    "copyright disqus footer masthead menu modal nav navbar navigation navbar newsletter notice notices notification popup promo promoted "
+    "copyright disqus footer masthead menu modal nav navbar navigation newsletter notice notices notification popup promo promoted "
     "recommended related replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
-
+# Words that a name may have behind one of those, and words before one that deny it.
+HOLDERS = frozenset("area bar block body box buttons container content form group holder inner item items links list menu panel posts row section slot unit widget widgets wrap wrapper".split())
+DENIED = frozenset("with without no has have is not hide".split())
 # Words that make up the names of a page's own header.
 HEADER = frozenset("header site page top main global wrapper container".split())
 
 WINDOW, THRESHOLD = 3, 80
+#: Length up to which a list item without a closing mark weighs nothing.
+SHORT_ITEM = 30
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
-_WORD = re.compile(r"[a-z]+")
+_VALUE = r"\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|={_VALUE})*+)(?:>|\Z)", re.DOTALL)
+_ATTRIBUTE = re.compile(rf"([^\s=\"'/]+)(?:\s*=({_VALUE}))?")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_CLOSED = tuple(".!?…:;,\"')]”’»。！？")
 
 
-def _is_noise(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in NEVER_TEXT or (tag == "header" and not in_article):
-        return True
-    if tag in ("html", "body", "article", "main") or not attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    named = [set(_WORD.findall(x.lower())) for x in _NAMED.findall(attributes)]
-    return any(not NAMES.isdisjoint(x) or ("header" in x and x <= HEADER and not in_article) for x in named)
+def is_noise_name(name: str) -> bool:
+    """Whether one class, id or role, taken whole, says that an element is not the article.
 
+    The last word that is no mere holder decides, as in site-footer or ad-slot; so
+    social-policy and share-enabled are no such names, and neither is with-sidebar.
+    """
+    parts = [x.lower() for x in _PART.findall(name)]
+    while len(parts) > 1 and parts[-1] in HOLDERS and not (parts[-1] in NAMES and parts[-2] not in NAMES):
+        parts.pop()
+    return bool(parts) and parts[-1] in NAMES and DENIED.isdisjoint(parts[:-1])
 
-def lines_of(html: str, wrappers: frozenset[int] = frozenset()) -> tuple[list[tuple[str, int, bool]], bool, list[list[int]]]:
-    """Text, link characters and whether inside an article, of each line; whether the page has an article; what was skipped.
 
-    Skipped are forms and elements noise by name: place, articles inside and characters
-    of text. Those at the places in wrappers are read like any other element.
+def attributes_of(text: str) -> dict[str, str]:
+    """Attribute names in lower case, with their values without quotes."""
+    found = {}
+    for name, value in _ATTRIBUTE.findall(text):
+        value = value.strip()
+        found.setdefault(name.lower(), value[1:].removesuffix(value[0]) if value[:1] in ("'", '"') else value)
+    return found
 
-    Noise leaves ``WINDOW`` empty lines behind, so no window reaches across it.
-    """
-    lines: list[tuple[str, int, bool]] = []
+
+def _looks(tag: str, text: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is not the article by its looks, and whether it is hidden."""
+    beside = tag in BESIDE and not (tag == "header" and in_article)
+    if not text or tag in ("html", "body", "article", "main"):
+        return beside, False
+    attributes = attributes_of(text)
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or _NO_DISPLAY.search(attributes.get("style", "")):
+        return True, True
+    names = [x for k in ("class", "id", "role") for x in attributes.get(k, "").split()]
+    own_header = any("header" in x and x <= HEADER for x in (set(map(str.lower, _PART.findall(n))) for n in names))
+    return beside or (own_header and not in_article) or any(map(is_noise_name, names)), False
+
+
+@dataclass
+class Aside:
+    """An element that is not the article by its looks."""
+
+    tag: str
+    level: int  # how many elements of this tag were open with it
+    lists: int
+    parent: int  # its place among all asides, or -1
+    hidden: bool
+    size: int = 0
+    holds_article: bool = False
+
+
+@dataclass
+class Page:
+    """lines: text, characters in links, 2 in an article or 1 in main, whether a list item, and the innermost aside or -1."""
+
+    lines: list[tuple[str, int, int, bool, int]] = field(default_factory=list)
+    asides: list[Aside] = field(default_factory=list)
+
+
+def parse(html: str) -> Page:
+    """The lines of a page, in order, and the asides they are in."""
+    page = Page()
     parts: list[str] = []
-    links = in_link = in_article = articles = 0
-    noise, depth = "", 0
-    skipped: list[list[int]] = []
-    skip = [0, 0, 0]
-    gap = [("", 0, False)] * WINDOW
+    open_asides: list[int] = []
+    levels: dict[str, list[int]] = defaultdict(list)  # the open asides of each tag
+    count: dict[str, int] = defaultdict(int)
+    links = in_link = 0
+    item = False
 
     def end_line() -> None:
         nonlocal links
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            lines.append((text, links, in_article > 0))
+            page.lines.append((text, links, 2 if count["article"] else 1 if count["main"] else 0, item, open_asides[-1] if open_asides else -1))
         parts.clear()
         links = 0
 
+    def close(tag: str) -> None:
+        """One element of a tag ends, and with it the asides that it was."""
+        count[tag] = max(0, count[tag] - 1)
+        if levels[tag] and page.asides[levels[tag][-1]].level > count[tag]:
+            last = levels[tag][-1]
+            while open_asides:
+                inner = open_asides.pop()
+                levels[page.asides[inner].tag].pop()
+                if inner == last:
+                    break
+
     at, n = 0, len(html)
     while at < n:
         found = _TOKEN.search(html, at)
         text = html[at : found.start()] if found else html[at:]
-        if text and not noise:
+        if text:
             parts.append(text)
-            links += len(text.strip()) if in_link else 0
-        elif text:
-            skip[2] += len(text.strip())
+            links += len(" ".join(text.split())) if in_link else 0
         if not found:
             break
         at = found.end()
@@ -108,87 +174,124 @@ def lines_of(html: str, wrappers: frozenset[int] = frozenset()) -> tuple[list[tu
         if not tag:
             continue
         closing, attributes = bool(found[1]), found[3] or ""
-        if not closing and tag in RAW:
-            done = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(html, at)
-            if tag not in ("script", "style") and not noise:
+        if not closing and (tag in RAW or tag in NEVER_TEXT):
+            if tag not in ("script", "style"):
                 end_line()
-            at = done.end() if done else n
+            at = _skip(html, tag, at)
             continue
-        if noise:
-            skip[1] += tag in ("article", "main") and not closing
-            if tag == noise:
-                depth += -1 if closing else 1 if tag not in ("p", "li") else 0
-            if depth == 0 or (noise in ("p", "li") and tag == noise and not closing):
-                noise = ""
-                if closing or tag in VOID:
-                    continue
-            else:
-                continue
         if tag == "br":
             parts.append(" ")
         elif tag == "a":
             in_link = 0 if closing else 1
         if tag in BLOCKS:
             end_line()
-        if tag in ("article", "main"):
-            in_article = max(0, in_article + (-1 if closing else 1))
-            articles += not closing
-        if not closing and tag not in VOID and not attributes.rstrip().endswith("/") and at not in wrappers and _is_noise(tag, attributes, in_article > 0):
+            item = tag in ITEMS and not closing
+        if tag in VOID:
+            continue
+        if closing:
+            close(tag)
+            if tag in ("ul", "ol") and open_asides:
+                last = page.asides[open_asides[-1]]
+                if last.tag == "li" and last.lists > count["ul"] + count["ol"]:
+                    close("li")
+            continue
+        if tag in BLOCKS and count["p"]:
+            close("p")
+        if tag == "li" and open_asides and page.asides[open_asides[-1]].tag == "li" and page.asides[open_asides[-1]].lists == count["ul"] + count["ol"]:
+            close("li")
+        if attributes.rstrip().endswith("/") and tag not in BLOCKS:
+            continue
+        count[tag] += 1
+        aside, hidden = _looks(tag, attributes, count["article"] > 0)
+        if aside:
             end_line()
-            skip = [at, 0, 0]
-            if tag == "form" or (tag not in NEVER_TEXT and tag != "header" and not _HIDDEN.search(attributes)):
-                skipped.append(skip)
-            lines += gap
-            noise, depth = tag, 1
+            levels[tag].append(len(page.asides))
+            page.asides.append(Aside(tag, count[tag], count["ul"] + count["ol"], open_asides[-1] if open_asides else -1, hidden))
+            open_asides.append(len(page.asides) - 1)
     end_line()
-    return lines, articles > 0, skipped
+    for text, _, article, _, inner in page.lines:
+        if inner >= 0:
+            page.asides[inner].size += len(text)
+            page.asides[inner].holds_article |= article > 0
+    for aside in reversed(page.asides):  # an aside comes after the one that it is in
+        if aside.parent >= 0:
+            page.asides[aside.parent].size += aside.size
+            page.asides[aside.parent].holds_article |= aside.holds_article
+    return page
 
 
-def main_text(html: str | None) -> str:
-    """The main text of a page."""
-    lines, has_article, skipped = lines_of(html or "")
-    text, wrappers = _chosen(lines, has_article), frozenset()
-    while skipped and not any(x[2] for x in lines):
-        size = sum(len(x[0]) for x in lines) + sum(x[2] for x in skipped)
-        around = [at for at, articles, held in skipped if articles or (not text and 2 * held > size)]
-        wrappers |= frozenset(around)
-        lines, has_article, skipped = lines_of(html or "", wrappers)
-        more = _chosen(lines, has_article)
-        if not around or (text and len(more) <= len(text)):
-            break
-        text = more
-    return text
+def _skip(html: str, tag: str, at: int) -> int:
+    """Where an element ends whose content is no text."""
+    if tag in RAW:
+        done = re.compile(rf"</{tag}\b[^>]*+(?:>|\Z)", re.IGNORECASE).search(html, at)
+        return done.end() if done else len(html)
+    depth = 1
+    for found in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.IGNORECASE).finditer(html, at):
+        depth += -1 if found[1] else 0 if found[0].endswith("/>") else 1
+        if not depth:
+            return found.end()
+    return len(html)
+
 
+def _read(page: Page) -> list[bool]:
+    """For each aside, whether it is read after all; the last entry stands for no aside."""
 
-def _chosen(lines: list[tuple[str, int, bool]], has_article: bool) -> str:
-    """The lines that the windows choose, as one text."""
-    if has_article and any(x[2] for x in lines):
-        sizes = [len(t) if inside else 0 for t, _, inside in lines]
-        threshold = 0
-    else:
-        sizes = [0 if 2 * links > len(t) else len(t) for t, links, _ in lines]
-        threshold = THRESHOLD
-    kept = between(sizes, threshold)
-    if not kept and any(sizes):
-        kept = between(sizes, 0)
-    return "\n\n".join(lines[k][0] for k in kept if sizes[k])
+    def shown(chosen: list[bool]) -> list[bool]:
+        out: list[bool] = []
+        for own, aside in zip(chosen, page.asides, strict=True):
+            out.append(own and (aside.parent < 0 or out[aside.parent]))
+        return [*out, True]
+
+    none = shown([False] * len(page.asides))
+    if not page.asides or any(article and none[inner] for _, _, article, _, inner in page.lines):
+        return none
+    total = sum(len(x[0]) for x in page.lines)
+    large = [not x.hidden and 2 * x.size > total and (x.holds_article or x.tag not in FIRM) for x in page.asides]
+    told = shown(large)
+    if not any(told[x[4]] for x in page.lines):
+        told = shown([not x.hidden and (y or x.holds_article) for x, y in zip(page.asides, large, strict=True)])
+    return told
+
+
+def weighed(page: Page) -> tuple[list[int], list[bool], int]:
+    """The size of each line, whether it may be text at all, and the threshold."""
+    read = _read(page)
+    alive = [read[inner] for _, _, _, _, inner in page.lines]
+    plain = [0 if not live or 2 * links > len(text) else len(text) for (text, links, _, _, _), live in zip(page.lines, alive, strict=True)]
+    kinds = [article for _, _, article, _, _ in page.lines]
+    prior = max((k for k, size in zip(kinds, plain, strict=True) if size), default=0)
+    inside = sum(size for k, size in zip(kinds, plain, strict=True) if k >= prior)
+    if prior and 4 * inside >= sum(plain):
+        alive = [live and k >= prior for k, live in zip(kinds, alive, strict=True)]
+        return [size if live else 0 for size, live in zip(plain, alive, strict=True)], alive, 0
+    sizes = [0 if item and size <= SHORT_ITEM and not text.endswith(_CLOSED) else size for size, (text, _, _, item, _) in zip(plain, page.lines, strict=True)]
+    return sizes, alive, THRESHOLD
 
 
 def between(sizes: list[int], threshold: int) -> list[int]:
-    """Places of the lines between each surge of the windows' sums and the dive after it."""
+    """Places of the lines from each surge of the windows' sums to the last sized line before the dive."""
     sums = [sum(sizes[k : k + WINDOW]) for k in range(len(sizes))]
-    kept, start = [], None
+    kept, start, last = [], None, 0
     for k, total in enumerate([*sums, 0]):
-        if start is None and total and sizes[k]:
-            start, top = k, 0
-        if start is not None:
-            top = max(top, total)
-            if total == 0:
-                kept += range(start, k) if top > threshold else []
-                start = None
+        if start is None:
+            if total > threshold and sizes[k]:
+                start = k
+        elif total == 0:
+            kept += range(start, last + 1)
+            start = None
+        if k < len(sizes) and sizes[k]:
+            last = k
     return kept
 
 
+def main_text(html: str | None) -> str:
+    """The main text of a page."""
+    page = parse(html or "")
+    sizes, alive, threshold = weighed(page)
+    kept = between(sizes, threshold) or between(sizes, 0)
+    return "\n\n".join(page.lines[k][0] for k in kept if alive[k])
+
+
 def _extracting(keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
