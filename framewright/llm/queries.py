@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe, decontam, html_extract, language_id, license_scan, line_dedup, near_dedup, quality, sharding, token_counts
+from framewright.llm import bpe, decontam, html_extract, language_id, license_scan, license_sql, line_dedup, near_dedup, quality, sharding, token_counts
 from framewright.scratch import new_path
 from framewright.session import table
 
@@ -124,4 +124,4 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES = {"op1_license_scan": license_scan.duckdb_sql(), "op5_line_dedup": _LINE_DEDUP_SQL, "op9_decontamination": _DECONTAMINATION_SQL}
+ORACLES = {"op1_license_scan": license_sql.duckdb_sql(), "op5_line_dedup": _LINE_DEDUP_SQL, "op9_decontamination": _DECONTAMINATION_SQL}

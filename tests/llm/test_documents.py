@@ -4,12 +4,11 @@ import re
 import zlib
 from collections import Counter
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.llm import decontam, html_extract, language_id, license_scan, line_dedup, quality, sharding
+from framewright.llm import decontam, html_extract, language_id, line_dedup, quality, sharding
 from framewright.llm.queries import QUERIES
 from framewright.session import table
 
@@ -235,62 +234,3 @@ def test_html_odd_rows(spark, odd, nothing):
     rows = html_extract.extract(pages).collect()
     assert len(rows) == odd.count() and all(r["n_chars"] == len(r["text"]) for r in rows)
     assert html_extract.extract(nothing.selectExpr("doc_id as page_id", "source as url", "text as html")).count() == 0
-
-
-# Licences
-
-
-def test_licences(spark, odd, nothing):
-    rows = {r["doc_id"]: r for r in license_scan.scan(odd).collect()}
-    assert rows[-14]["licenses"] == ["all-rights-reserved", "mit-named"] and rows[1]["licenses"] == [] and rows[4]["sentence_ids"] == []
-    assert license_scan.scan(nothing).count() == 0
-    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by the Free Software\nFoundation, either version 3 of the License, or (at your option) any later version."
-    bsd = "\n".join(license_scan.SENTENCES[k][0] for k in ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-names"))
-    made = spark.createDataFrame([(1, gpl), (2, bsd), (3, bsd.rsplit("\n", 1)[0]), (4, "\n".join(bsd.split("\n")[::-1]))], "doc_id long, text string")
-    told = {r["doc_id"]: r["licenses"] for r in license_scan.scan(made).collect()}
-    assert told == {1: ["gpl-3.0"], 2: ["bsd-3-clause"], 3: ["bsd-2-clause"], 4: []}
-
-
-def test_every_known_sentence_has_a_key():
-    assert all(re.search(license_scan.KEYS, x) for x in license_scan.known())
-
-
-def scanned(spark, texts):
-    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return [(r["sentence_ids"], r["licenses"]) for r in sorted(license_scan.scan(made).collect(), key=lambda r: r["doc_id"])]
-
-
-def test_every_sentence_alone_gives_its_own_identifier(spark):
-    want = [(name, text) for name, texts in license_scan.SENTENCES.items() for text in texts]
-    assert [ids for ids, _ in scanned(spark, [text for _, text in want])] == [[name] for name, _ in want]
-
-
-def test_sentences_with_inner_stops(spark):
-    mpl = license_scan.SENTENCES["mpl2-terms"][0]
-    texts = {
-        "// SPDX-License-Identifier: MIT\nimport x": ["mit-named"],
-        "/* Copyright A\n * SPDX-License-Identifier:\tApache-2.0 */\nint x": ["apache-2.0-named"],
-        "# spdx-license-identifier:MIT\r\n\nAll rights reserved.": ["all-rights-reserved", "mit-named"],
-        "SPDX-License-Identifier: GPL-3.0-only": ["gpl-3.0-named"],
-        "SPDX-License-Identifier: ISC": [],
-        "SPDX-License-Identifier: BSD-3-Clause\nmore": [],
-        mpl + " Other words.": ["mpl-2.0"],
-        mpl.replace("v. 2.0", "v.\n2.0"): ["mpl-2.0"],
-        mpl.replace("2.0", "1.1"): [],
-    }
-    assert [found for _, found in scanned(spark, list(texts))] == list(texts.values())
-
-
-def test_no_two_identifiers_share_a_sentence(monkeypatch):
-    monkeypatch.setitem(license_scan.SENTENCES, "again", ["released under the MIT license"])
-    with pytest.raises(ValueError, match="share the sentence"):
-        license_scan.whole()
-
-
-def test_spellings_that_normalise_alike(spark):
-    duck = duckdb.connect()
-    duck.execute("create table documents (doc_id bigint, text varchar)")
-    texts = ["All rights\nreserved.", "All  rights \t reserved.", "All rights-reserved", "This program is free\nsoftware:", "This program is free  software;", "If a copy\nof the MPL was not distributed with this file, You can obtain one at"]
-    duck.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
-    told = duck.execute(f"select sentence_ids from ({license_scan.duckdb_sql()}) order by doc_id").fetchall()
-    assert [ids for ids, _ in scanned(spark, texts)] == [[ids] for (ids,) in told] == [[x] for x in ["reserved"] * 3 + ["gpl-free"] * 2 + ["mpl2-copy"]]
