@@ -1,6 +1,7 @@
 """Token counts and BPE against the libraries."""
 
 import hashlib
+import json
 import random
 
 import public_tokenizers
@@ -35,21 +36,59 @@ def strange(seed, n=300):
         yield "".join(parts)
 
 
-def test_encoding_equals_the_library():
-    own, lib = bpe.Encoder(WORD), library(WORD)
-    for text in strange(1, 3000):
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_encoding_equals_the_library(path):
+    own, lib = bpe.Encoder(path), library(path)
+    decoder = bpe.Decoder(own.table)
+    for text in [*strange(1, 2000), "Hello World, it's 1234 fine", "  two  blanks \n\n and tabs\t"]:
         want = lib.encode(text, add_special_tokens=False).ids
-        assert list(map(int, own.ids_text(text).split())) == want, ascii(text)
-        assert bpe.Decoder(own.table).decode(want) == lib.decode(want, skip_special_tokens=False)
+        pieces = list(own.pieces(text))
+        assert list(map(int, " ".join(pieces).split())) == want, ascii(text)
+        assert decoder.decode(pieces) == lib.decode(want, skip_special_tokens=False), ascii(text)
 
 
-def test_byte_level_decoder():
-    lib, table = library(BYTE), bpe.BpeTable(BYTE)
-    for text in strange(2, 500):
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_decoding_in_any_pieces(path):
+    lib, decoder = library(path), bpe.Decoder(bpe.BpeTable(path))
+    for text in strange(2, 400):
         ids = lib.encode(text, add_special_tokens=False).ids
         draw = random.Random(len(ids))
         for seq in (ids, ids[1:], draw.sample(ids, len(ids))):
-            assert bpe.Decoder(table).decode(seq) == lib.decode(seq, skip_special_tokens=False), ascii(text)
+            cuts = sorted(draw.randint(0, len(seq)) for _ in range(3))
+            pieces = [" ".join(map(str, seq[a:b])) for a, b in zip([0, *cuts], [*cuts, len(seq)])]
+            assert decoder.decode(pieces) == lib.decode(seq, skip_special_tokens=False), ascii(text)
+
+
+def test_files_of_another_make_are_refused(tmp_path):
+    made = json.loads(open(WORD).read())
+    for change in ({"normalizer": {"type": "StripAccents"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"decoder": {"type": "WordPiece"}}, {"model": made["model"] | {"unk_token": "x"}}):
+        path = tmp_path / "t.json"
+        path.write_text(json.dumps(made | change))
+        with pytest.raises(ValueError, match="known"):
+            bpe.Encoder(str(path))
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_tokens_leave_within_the_lookahead(path):
+    """Every token is emitted once its end is lookahead + STEP letters back or earlier, and most long before the word's end."""
+    table, lib = bpe.BpeTable(path), library(path)
+    draw, early = random.Random(5), 0
+    words = ["".join(draw.choice("abcdeinorst") for _ in range(n)) for n in (30, 60, 64, 200, 5000)]
+    words += ["a" * 3000, "ab" * 1500, "the" * 1000, "ha" * 700 + "x", "international" * 100]
+    for word in words:
+        own, out, sent = bpe.Transducer(table), [], 0
+        for k, letter in enumerate(word[:-1]):
+            for token in own.feed(letter):
+                out.append(token)
+                sent += len(token)
+            assert k + 1 - sent <= own.bound
+            assert len(own.letters) == k + 1 - sent
+        early += len(out)
+        out += own.finish(word[-1])
+        assert [table.vocab[t] for t in out] == lib.encode(word, add_special_tokens=False).ids
+    assert early > 1000
+    short = bpe.Transducer(table)
+    assert short.feed("thequickbrownfoxjumpsoverthelazydogandrunsaway")  # within one word of a usual length
 
 
 def test_streaming_keeps_a_bounded_window_and_any_cut_gives_the_same():
@@ -65,7 +104,7 @@ def test_streaming_keeps_a_bounded_window_and_any_cut_gives_the_same():
             at += step
         got += own.finish(word[-1])
         assert [table.vocab[t] for t in got] == lib.encode(word, add_special_tokens=False).ids
-        assert most <= 3 * own.window
+        assert most <= own.bound
 
 
 def test_counting_equals_the_library():
