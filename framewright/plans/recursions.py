@@ -85,12 +85,15 @@ def _(v: Views):
 _TAPS = [7, -5, 2]  # predictor in quarters
 
 
-def _predicted(x: np.ndarray) -> np.ndarray:
-    """Samples from residuals: each adds the prediction from the three samples before it."""
-    out = [0, 0, 0]
-    for r in x.tolist():
-        out.append(r + ((_TAPS[0] * out[-1] + _TAPS[1] * out[-2] + _TAPS[2] * out[-3]) >> 2))
-    return np.array(out[3:], np.int64)
+def _predicted(grids: dict, live: np.ndarray) -> dict:
+    """Samples from residuals: each adds the prediction from the three samples before it; a unit's first row brings its own."""
+    out = np.zeros_like(grids["residual"])
+    past = [grids[f"back{k}"][0].copy() for k in (1, 2, 3)]
+    for k, m in enumerate(live):
+        guess = sum(t * p[:m] for t, p in zip(_TAPS, past, strict=True)) >> 2
+        out[k, :m] = grids["residual"][k, :m] + guess
+        past = [np.concatenate([out[k, :m], past[0][m:]]), past[0], past[1]]
+    return {"residual": grids["residual"], "x": out}
 
 
 @query(
@@ -98,23 +101,25 @@ def _predicted(x: np.ndarray) -> np.ndarray:
     "select channel, frame, x - ((7 * coalesce(lag(x, 1) over w, 0) - 5 * coalesce(lag(x, 2) over w, 0) + 2 * coalesce(lag(x, 3) over w, 0)) >> 2) as residual, x from usig window w as (partition by channel order by frame)",
 )
 def _(v: Views):
-    """Residuals of a linear predictor, and the samples that the decoder gets back from them."""
+    """Residuals of a linear predictor, and the samples that the decoder gets back from them; units of 4096 frames carry the three samples before them."""
     zero = F.lit(0).cast("long")
     guess = lambda w: sum((F.lit(t).cast("long") * F.lag("x", k + 1, 0).over(w) for k, t in enumerate(_TAPS)), zero)
-    coded = neighbours(v.usig, ["channel"], "frame", {"_guess": guess}, before=3).select("channel", "frame", (_c("x") - F.shiftright("_guess", 2)).alias("residual"))
-    decoded = recursions.decode_units(coded, ["channel"], "frame", {"residual": "long", "x": "long"}, lambda p: {"residual": p["residual"], "x": _predicted(p["residual"].to_numpy())})
-    return decoded.select("channel", "frame", "residual", "x")
+    back = {f"back{k}": (lambda w, k=k: F.lag("x", k, 0).over(w)) for k in (1, 2, 3)}
+    coded = neighbours(v.usig, ["channel"], "frame", {"_guess": guess, **back}, before=3).select("channel", "frame", (_c("x") - F.shiftright("_guess", 2)).alias("residual"), *back)
+    coded = coded.withColumn("unit", F.floor(_c("frame") / 4096).cast("long"))
+    return recursions.decode_units(coded, ["channel", "unit"], "frame", {"residual": "long", "x": "long"}, _predicted).drop("unit")
 
 
-def _unmixed(pdf) -> dict:
+def _unmixed(grids: dict, live: np.ndarray) -> dict:
     """Even rows predict a, odd rows b, by twice the last value less the one before; the other is what the carrier leaves."""
-    a, b, a1, a2, b1, b2 = [], [], 0, 0, 0, 0
-    for frame, carrier, r in zip(pdf["frame"].tolist(), pdf["carrier"].tolist(), pdf["residual"].tolist(), strict=True):
-        x = r + 2 * a1 - a2 if frame % 2 == 0 else carrier - (r + 2 * b1 - b2)
-        a1, a2, b1, b2 = x, a1, carrier - x, b1
-        a.append(a1)
-        b.append(b1)
-    return {"a": np.array(a, np.int64), "b": np.array(b, np.int64), "carrier": pdf["carrier"], "complete": np.array(a, np.int64) + np.array(b, np.int64) == pdf["carrier"].to_numpy()}
+    carrier, residual, frame = grids["carrier"], grids["residual"], grids["frame"]
+    a, b = np.zeros_like(carrier), np.zeros_like(carrier)
+    for k, m in enumerate(live):
+        guess = [2 * x[k - 1, :m] - x[k - 2, :m] if k > 1 else 2 * x[0, :m] if k else np.zeros(m, np.int64) for x in (a, b)]
+        even = frame[k, :m] % 2 == 0
+        a[k, :m] = np.where(even, residual[k, :m] + guess[0], carrier[k, :m] - residual[k, :m] - guess[1])
+        b[k, :m] = carrier[k, :m] - a[k, :m]
+    return {"a": a, "b": b, "carrier": carrier, "complete": a + b == carrier}
 
 
 @query("unmix_roundtrip", "select a.frame, a.x as a, b.x as b, a.x + b.x as carrier, true as complete from sig a join sig b on a.frame = b.frame and b.channel = 'click' where a.channel = 'view'")

@@ -37,14 +37,11 @@ def _(v: Views):
     return blocks_plan.scheduled(v.sig, "channel", "frame").groupBy("channel", "block", "size").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"))
 
 
-def _locked(pdf) -> dict:
-    """Unlocked until a sync sample; then five frames, the last of which ends the packet."""
-    states, places, at = [], [], -1
-    for x in pdf["x"].tolist():
-        at = at + 1 if 0 <= at < 4 else 0 if x % 5 == 0 else -1
-        states.append("unlocked" if at < 0 else "done" if at == 4 else "locked")
-        places.append(at)
-    return {"place": np.array(places, np.int64), "state": states}
+def _lock_step(x: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unlocked until a sync sample; then five frames, the last of which ends the packet. State k + 1 is place k."""
+    at = s[:, 0] - 1
+    new = np.where((at >= 0) & (at < 4), at + 1, np.where(x % 5 == 0, 0, -1))
+    return new, (new + 1)[:, None]
 
 
 @query(
@@ -54,8 +51,10 @@ def _locked(pdf) -> dict:
     select channel, frame, place::bigint as place, case when place < 0 then 'unlocked' when place = 4 then 'done' else 'locked' end as state from r""",
 )
 def _(v: Views):
-    """One user's stream is a bounded unit; the streaming form keeps one number per key."""
-    return recursions.decode_units(v.usig, ["channel"], "frame", {"place": "long", "state": "string"}, _locked)
+    """A machine of six states, run by blocks; the streaming form keeps one number per key."""
+    done = recursions.scan(v.usig, "channel", "frame", "x", recursions.machine(6, 0, _lock_step), "place")
+    state = F.when(_c("place") < 0, "unlocked").when(_c("place") == 4, "done").otherwise("locked")
+    return done.select("channel", "frame", _c("place").cast("long").alias("place"), state.alias("state"))
 
 
 @query(
