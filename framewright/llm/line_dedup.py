@@ -1,13 +1,18 @@
 """Reversible line dedup: sharded cuckoo filters over exact reference-count tables.
 
-State of a ``LineIndex``, a folder of Parquet tables, one generation per change:
+State of a ``LineIndex``, a folder of Parquet tables, one generation per change. A
+manifest, written last, names the generation; a folder that has one is opened where it
+was left, by any session. A change that was cut off leaves no manifest and is done
+again. Older generations stay, as results may still read them, until ``vacuum``.
 
 * ``counts``: line key digest -> number of indexed documents that hold the line.
   Adding documents adds to it, deleting them subtracts, so any order of additions
   and deletions ends in the same table.
 * ``filters``: one cuckoo filter per shard of the digest space over the *dropped*
   lines, those found in at least ``min_docs`` documents. When a count crosses the
-  threshold the key is inserted into, or deleted from, its shard's filter.
+  threshold the key is inserted into, or deleted from, its shard's filter. Shards are
+  doubled, and their filters built anew, when they would hold more than
+  ``keys_per_shard`` keys on average.
 
 ``apply`` broadcasts the filters while they are below ``max_broadcast_mb`` and
 tests each line on the spot, without a shuffle of texts. A filter may also accept
@@ -22,12 +27,15 @@ bits.
 Defined cases: a null or empty text is one empty line, its text comes back as the
 empty text. A line repeated within a document counts once. A repeated row counts
 as another document. An empty table gives empty tables and results. Ids may be
-null or repeated: each row is treated by itself. Only the id and text columns are
-read.
+null or repeated: each row is treated by itself. All columns are passed on. The
+counts that are added are named ``_n_lines`` and ``_n_dropped``, or, where docs has a
+column of that name (in any case), the same with underscores appended until it is free.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -183,7 +191,15 @@ def _kept(lines: list[str], drop: np.ndarray) -> str:
     return "\n".join(x for x, d in zip(lines, drop, strict=True) if not d)
 
 
-def _dropping(sent, min_chars: int, names: list[str], text_col: str):
+def free_name(columns: list[str], name: str) -> str:
+    """name, with underscores appended until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _dropping(sent, min_chars: int, names: list[str], text_col: str, added: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = _tester(sent)
         for batch in batches:
@@ -201,7 +217,7 @@ def _dropping(sent, min_chars: int, names: list[str], text_col: str):
                 columns = [part.column(n) if n != text_col else pa.array(kept, pa.string()) for n in names]
                 n_lines = pa.array([len(x) for x in keys], pa.int64())
                 n_dropped = pa.array([int(d.sum()) for d in drops], pa.int64())
-                yield pa.RecordBatch.from_arrays([*columns, n_lines, n_dropped], [*names, "_n_lines", "_n_dropped"])
+                yield pa.RecordBatch.from_arrays([*columns, n_lines, n_dropped], [*names, *added])
 
     return run
 
@@ -226,12 +242,47 @@ def _updating(min_docs: int):
 
 
 class LineIndex:
-    """Reference counts and filters of lines, kept in a folder that the cluster shares."""
+    """Reference counts and filters of lines, kept in a folder that the cluster shares; opened if the folder holds one."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, min_docs: int = 10, min_chars: int = 1, keys_per_shard: int = 20_000, max_broadcast_mb: float = 64):
         self.spark, self.path = spark, path or new_path(spark, "line-index")
         self.min_docs, self.min_chars, self.keys_per_shard, self.max_broadcast_mb = min_docs, min_chars, keys_per_shard, max_broadcast_mb
         self.generation, self.shards = 0, 0
+        for name in self._names():
+            if (found := re.fullmatch(r"manifest-(\d+)\.json", name)) and int(found[1]) > self.generation:
+                self.generation = int(found[1])
+        if self.generation:
+            told = json.loads(spark.read.text(f"{self.path}/manifest-{self.generation}.json").first()[0])
+            if (told["min_docs"], told["min_chars"]) != (min_docs, min_chars):
+                raise ValueError(f"the index at {self.path} is for min_docs {told['min_docs']} and min_chars {told['min_chars']}")
+            self.shards = told["shards"]
+
+    def _store(self):
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(self.path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self) -> list[str]:
+        where, store = self._store()
+        return [x.getPath().getName() for x in store.listStatus(where)] if store.exists(where) else []
+
+    def _publish(self, generation: int, shards: int) -> None:
+        """The manifest of a generation whose tables are complete: written aside, then renamed."""
+        _, store = self._store()
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        aside, final = at(f"{self.path}/.manifest-{generation}.json"), at(f"{self.path}/manifest-{generation}.json")
+        out = store.create(aside, True)
+        out.write(bytearray(json.dumps({"shards": shards, "min_docs": self.min_docs, "min_chars": self.min_chars}).encode()))
+        out.close()
+        if not store.rename(aside, final):
+            raise RuntimeError(f"generation {generation} is there already: another session has changed {self.path}")
+        self.generation, self.shards = generation, shards
+
+    def vacuum(self) -> None:
+        """Delete all but the present generation; nothing may read older ones any more."""
+        for name in self._names():
+            if (found := re.fullmatch(r"(?:counts|filters|change)-(\d+)|manifest-(\d+)\.json", name)) and int(found[1] or found[2]) != self.generation:
+                drop_path(self.spark, f"{self.path}/{name}")
 
     def counts(self) -> DataFrame:
         """hi, lo, n: the two halves of each line's digest and its number of documents."""
@@ -260,26 +311,23 @@ class LineIndex:
             old = self.counts().select("hi", "lo", F.lit(0).cast("long").alias("n"), F.col("n").alias("n_old"))
             change = change.unionByName(old).groupBy("hi", "lo").agg(F.sum("n").alias("n"), F.sum("n_old").alias("n_old"))
         new = self.generation + 1
-        change.select("hi", "lo", (F.col("n_old") + sign * F.col("n")).alias("n"), "n_old").write.parquet(f"{self.path}/change-{new}")
-        changed = self.spark.read.schema(f"{COUNTS_SCHEMA}, n_old long").parquet(f"{self.path}/change-{new}")
-        changed.filter("n > 0").select("hi", "lo", "n").write.parquet(f"{self.path}/counts-{new}")
+        table = f"{self.path}/%s-{new}"
+        change.select("hi", "lo", (F.col("n_old") + sign * F.col("n")).alias("n"), "n_old").write.mode("overwrite").parquet(table % "change")
+        changed = self.spark.read.schema(f"{COUNTS_SCHEMA}, n_old long").parquet(table % "change")
+        changed.filter("n > 0").select("hi", "lo", "n").write.mode("overwrite").parquet(table % "counts")
         touched = changed.filter((F.col("n") >= self.min_docs) | (F.col("n_old") >= self.min_docs))
-        filters = self.filters()
-        if not self.generation:
-            need = touched.count() // self.keys_per_shard + 1
-            self.shards = 1 << (need - 1).bit_length()
-        shard = F.col("hi").bitwiseAND(F.lit(self.shards - 1))
+        need = touched.filter(F.col("n") >= self.min_docs).count() // self.keys_per_shard + 1
+        shards = max(self.shards, 1 << (need - 1).bit_length())
+        filters = self.filters() if shards == self.shards else self.filters().limit(0)
+        shard = F.col("hi").bitwiseAND(F.lit(shards - 1))
         made = (
             filters.groupBy("shard")
             .cogroup(touched.withColumn("shard", shard).groupBy("shard"))
             .applyInPandas(_updating(self.min_docs), FILTER_SCHEMA)
         )
-        made.write.parquet(f"{self.path}/filters-{new}")
-        drop_path(self.spark, f"{self.path}/change-{new}")
-        if self.generation:
-            drop_path(self.spark, f"{self.path}/counts-{self.generation}")
-            drop_path(self.spark, f"{self.path}/filters-{self.generation}")
-        self.generation = new
+        made.write.mode("overwrite").parquet(table % "filters")
+        drop_path(self.spark, table % "change")
+        self._publish(new, shards)
 
     def _broadcast(self, exceptions: set) -> object:
         rows = self.filters().collect()
@@ -303,14 +351,19 @@ class LineIndex:
         return None if len(rows) > bound else {(r["hi"], r["lo"]) for r in rows}
 
     def apply(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """docs without the lines to drop, with _n_lines and _n_dropped added. Docs must be in the index."""
+        """docs without the lines to drop, with _n_lines and _n_dropped (see above) added. Docs must be in the index."""
+        exceptions = self._sendable()
+        return self._apply_joined(docs, text_col) if exceptions is None else self._apply_sent(docs, text_col, exceptions)
+
+    def _sendable(self) -> set | None:
+        """The exceptions, if they and the filters are small enough to send along."""
         size = self.filters().agg(F.coalesce(F.sum(F.length("table")), F.lit(0))).first()[0]
-        exceptions = self._exceptions() if size <= self.max_broadcast_mb * 1e6 else None
-        if exceptions is None:
-            return self._apply_joined(docs, text_col)
-        names = docs.columns
-        schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-        return docs.mapInArrow(_dropping(self._broadcast(exceptions), self.min_chars, names, text_col), f"{schema}, _n_lines long, _n_dropped long")
+        return self._exceptions() if size <= self.max_broadcast_mb * 1e6 else None
+
+    def _apply_sent(self, docs: DataFrame, text_col: str, exceptions: set) -> DataFrame:
+        added = [free_name(docs.columns, x) for x in ("_n_lines", "_n_dropped")]
+        schema = ", ".join(f"`{n}` {t}" for n, t in [*docs.dtypes, *((n, "long") for n in added)])
+        return docs.mapInArrow(_dropping(self._broadcast(exceptions), self.min_chars, docs.columns, text_col, added), schema)
 
     def _apply_joined(self, docs: DataFrame, text_col: str) -> DataFrame:
         """The way for filters that are too large to send: lines meet the counts in a shuffle join.
@@ -330,23 +383,31 @@ class LineIndex:
                 yield pa.RecordBatch.from_arrays([pa.array(x[long]) for x in (rows, at, both[:, 0], both[:, 1])], ["_row", "_at", "hi", "lo"])
 
         spark, path = self.spark, new_path(self.spark, "line-rows")
-        docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+        added = [free_name(docs.columns, x) for x in ("_n_lines", "_n_dropped")]
+        row, own = free_name(docs.columns, "_row"), free_name(docs.columns, "_lines")
+        docs.withColumn(row, F.monotonically_increasing_id()).write.parquet(path)
         rows = spark.read.parquet(path)
-        lines = rows.select("_row", text_col).mapInArrow(run, "_row long, _at long, hi long, lo long")
+        lines = rows.select(F.col(row).alias("_row"), F.col(text_col).alias("_text")).mapInArrow(run, "_row long, _at long, hi long, lo long")
         drops = lines.join(self.counts().filter(F.col("n") >= self.min_docs), ["hi", "lo"]).groupBy("_row").agg(F.collect_set("_at").alias("_drop"))
-        lines_of = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-        drop = F.coalesce("_drop", F.array().cast("array<bigint>"))
-        kept = F.filter(F.col("_lines"), lambda x, i: ~F.array_contains(F.col("_drop"), i.cast("long")))
-        return (
-            rows.join(drops, "_row", "left")
-            .withColumn("_drop", drop)
-            .withColumn("_lines", lines_of)
-            .select(*[F.array_join(kept, "\n").alias(n) if n == text_col else F.col(n) for n in docs.columns], F.size("_lines").cast("long").alias("_n_lines"), F.size("_drop").cast("long").alias("_n_dropped"))
+        drop_row, drop_at = free_name([*docs.columns, row, own], "_drop_row"), free_name([*docs.columns, row, own], "_drop")
+        drops = drops.select(F.col("_row").alias(drop_row), F.col("_drop").alias(drop_at))
+        told = rows.join(drops, F.col(row) == F.col(drop_row), "left")
+        told = told.withColumn(drop_at, F.coalesce(drop_at, F.array().cast("array<bigint>"))).withColumn(own, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
+        kept = F.filter(F.col(own), lambda x, i: ~F.array_contains(F.col(drop_at), i.cast("long")))
+        return told.select(
+            *[F.array_join(kept, "\n").alias(n) if n == text_col else F.col(f"`{n}`") for n in docs.columns],
+            F.size(own).cast("long").alias(added[0]),
+            F.size(drop_at).cast("long").alias(added[1]),
         )
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col: str = "text") -> DataFrame:
-    """Index docs and drop their common lines: docs' columns, the text shortened, with _n_lines and _n_dropped."""
+    """Index docs and drop their common lines: docs' columns, the text shortened, with _n_lines and _n_dropped (see above)."""
     index = LineIndex(docs.sparkSession, min_docs=min_docs, min_chars=min_chars)
     index.add(docs, text_col)
-    return index.apply(docs, text_col)
+    exceptions = index._sendable()
+    if exceptions is None:
+        return index._apply_joined(docs, text_col)
+    done = index._apply_sent(docs, text_col, exceptions)
+    drop_path(docs.sparkSession, index.path)  # all that the result needs is sent along
+    return done

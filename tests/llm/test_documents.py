@@ -77,6 +77,45 @@ def test_line_index_is_reversible(spark, sf_dir):
     assert ordered(both.apply(first).collect()) == ordered(alone.apply(first).collect())
 
 
+def test_an_index_is_opened_where_it_was_left(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    first, second = docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1")
+    begun = line_dedup.LineIndex(spark, min_docs=3, keys_per_shard=50)
+    begun.add(first)
+    few = begun.shards
+    line_dedup.LineIndex(spark, begun.path, min_docs=3, keys_per_shard=10).add(second)
+    opened = line_dedup.LineIndex(spark, begun.path, min_docs=3, keys_per_shard=10)
+    assert opened.generation == 2 and opened.shards > few
+    whole = line_dedup.LineIndex(spark, min_docs=3)
+    whole.add(docs)
+    lazy = opened.apply(docs)
+    want = ordered(whole.apply(docs).collect())
+    opened.remove(second)
+    opened.vacuum()
+    assert ordered(lazy.collect()) == want
+    alone = line_dedup.LineIndex(spark, min_docs=3)
+    alone.add(first)
+    again = line_dedup.LineIndex(spark, begun.path, min_docs=3)
+    assert ordered(again.counts().collect()) == ordered(alone.counts().collect())
+    assert ordered(again.apply(first).collect()) == ordered(alone.apply(first).collect())
+    again.max_broadcast_mb = 0
+    assert ordered(again.apply(first).collect()) == ordered(alone.apply(first).collect())
+    with pytest.raises(ValueError, match="min_docs"):
+        line_dedup.LineIndex(spark, begun.path, min_docs=4)
+
+
+@pytest.mark.parametrize("broadcast_mb", [64, 0])
+def test_line_columns_that_clash(spark, broadcast_mb):
+    names = ["_n_lines", "_N_DROPPED", "_row", "_lines", "_drop", "_drop_row", "_at", "hi", "lo", "_text"]
+    rows = [(k, "a line\nanother " + str(k), *range(len(names))) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    index = line_dedup.LineIndex(spark, min_docs=3, max_broadcast_mb=broadcast_mb)
+    index.add(docs)
+    done = index.apply(docs)
+    assert done.columns == [*docs.columns, "_n_lines_", "_n_dropped_"]
+    assert ordered(done.collect()) == ordered((k, f"another {k}", *range(len(names)), 2, 1) for k in range(3))
+
+
 def test_cuckoo_filter():
     draw = np.random.default_rng(2)
     keys = draw.integers(-(2**63), 2**63, (3000, 2))
