@@ -1,16 +1,16 @@
 """BPE encoding by a bounded-lookahead streaming transducer, and incremental decoding.
 
 Encoding. Every word goes letter by letter through a ``Transducer``. For every prefix
-it keeps the last token of that prefix's encoding; the next prefix's last token is the
-longest vocabulary entry that may stand after the last token of the prefix it leaves.
-Two tokens may stand side by side if encoding their joined symbols gives just these
-two. A later token can only begin after a prefix whose remaining letters begin some
-token, so a boundary on which the encodings of all such prefixes agree is stable, and
-the tokens before it are emitted. ``BpeTable.lookahead`` is computed from the merge list: the number of
-symbols after which no later input can change a merge. So all these encodings agree
-on every boundary that is ``lookahead`` symbols back, and the buffer never holds more
-than ``bound`` letters; more would be an error, and a test holds the delay of every
-token against it. Words met before come from a cache of their ids.
+it can tell the last token of that prefix's encoding: the longest vocabulary entry
+that may stand after the last token of the prefix that it leaves. Two tokens may stand
+side by side if encoding their joined symbols gives just these two. A later token can
+only begin after a prefix whose remaining letters begin some token, so a boundary on
+which the encodings of all such prefixes agree is stable, and the tokens before it are
+emitted. ``BpeTable.lookahead`` is computed from the merge list: the number of symbols
+after which no later input can change a merge. So all these encodings agree on every
+boundary that is ``lookahead`` symbols back, and the buffer never holds more than
+``bound`` letters; more would be an error, and a test holds the delay of every token
+against it. Words met before come from a cache of their ids.
 
 Decoding. ``Decoder`` is a state machine from ids to bytes to text: it takes ids in
 pieces of any size and gives their text at once, keeping at most three pending bytes of
@@ -110,7 +110,7 @@ class BpeTable:
         self.begun = {t[:k] for t in bodies for k in range(1, len(t) + 1)}  # what tokens begin with
         self.longest = max(map(len, bodies))
         self.lookahead = self._lookahead(pairs)
-        self._fits: dict[tuple[str, str], bool] = {}
+        self.told: dict[tuple[str, str], bool] = {}
 
     def symbols(self, token: str) -> list[str]:
         """The symbols that a token spells; the end-of-word mark belongs to its last symbol."""
@@ -150,13 +150,13 @@ class BpeTable:
     def fits(self, left: str, right: str) -> bool:
         """True if right may follow left; with an empty left, if right is its own encoding."""
         key = (left, right)
-        known = self._fits.get(key)
+        known = self.told.get(key)
         if known is None:
             want = [left, right] if left else [right]
             known = self.merge((self.symbols(left) if left else []) + self.symbols(right)) == want
-            if len(self._fits) >= PAIRS_KEPT:
-                self._fits.clear()
-            self._fits[key] = known
+            if len(self.told) >= PAIRS_KEPT:
+                self.told.clear()
+            self.told[key] = known
         return known
 
 
@@ -171,26 +171,36 @@ class Transducer:
         self.bound = table.lookahead + table.longest + STEP
 
     def _last(self, end: int, mark: str = "") -> str:
-        letters, vocab, fits, last = self.letters, self.table.vocab, self.table.fits, self.last
-        for start in range(max(0, end - self.table.longest), end):
-            token = letters[start:end] + mark
-            if token in vocab and start in last and fits(last[start], token):
-                return token
+        """The last token of the encoding of the buffer's first end letters, worked out when first asked for."""
+        if end in self.last and not mark:
+            return self.last[end]
+        table, whole, last = self.table, self.letters[:end] + mark, self.last
+        vocab, told = table.vocab, table.told
+        for start in range(max(0, end - table.longest), end):
+            token = whole[start:]
+            if token in vocab:
+                before = last[start] if start in last else self._last(start)
+                fits = told.get((before, token))
+                if table.fits(before, token) if fits is None else fits:
+                    if not mark:
+                        last[end] = token
+                    return token
         raise ValueError(f"no encoding for {letters[:end]!r}")
 
     def _back(self, end: int) -> list[str]:
         out = []
         while end > 0:
-            out.append(self.last[end])
+            out.append(self._last(end))
             end -= len(out[-1])
         return out[::-1]
 
     def feed(self, letters: str) -> list[str]:
         """Take more letters, all but the word's last; return the tokens that have become stable."""
-        out = []
-        for letter in letters:
-            self.letters += letter
-            self.last[len(self.letters)] = self._last(len(self.letters))
+        out, at = [], 0
+        while at < len(letters):
+            more = letters[at : at + self.due - len(self.letters)]
+            self.letters += more
+            at += len(more)
             if len(self.letters) >= self.due:
                 out += self._stable()
         return out
@@ -203,7 +213,7 @@ class Transducer:
                 continue
             ends, at = {end}, end
             while at > 0:
-                at -= len(self.last[at])
+                at -= len(self._last(at))
                 ends.add(at)
             common = ends if common is None else common & ends
         cut = max(common)
