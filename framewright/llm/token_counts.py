@@ -25,8 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm import charsets, worker
+from framewright.scratch import Tables
 
-CACHE_SCHEMA = "content_sha256 binary, tokenizer_sha256 binary, n_bytes long, n_tokens long"
+CACHE_SCHEMA = "content_sha256 binary, n_bytes long, n_tokens long, tokenizer_sha256 string"
+
+#: Missing digests up to which they are broadcast: some 30 MB of digests as a hash table.
+MAX_SENT = 500_000
 
 #: Pieces whose counts a Python worker keeps; the store is emptied when full.
 PIECES_KEPT = 500_000
@@ -99,9 +103,9 @@ class PieceModelCounter:
         return len(self.library.encode(text))
 
 
-def tokenizer_digest(path: str) -> bytes:
-    """SHA-256 of the tokenizer file: the version that keys the cache."""
-    return hashlib.sha256(Path(path).read_bytes()).digest()
+def tokenizer_digest(path: str) -> str:
+    """SHA-256 of the tokenizer file: the version that keys the cache, and names its folder there."""
+    return hashlib.sha256(Path(path).read_bytes()).hexdigest()
 
 
 def _counting(path: str):
@@ -109,10 +113,7 @@ def _counting(path: str):
         own = counter(path) if path.endswith(".json") else PieceModelCounter(path)
         for batch in batches:
             n = [own.count(text) for text in batch.column("content").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("content_sha256"), batch.column("tokenizer_sha256"), batch.column("n_bytes"), pa.array(n, pa.int64())],
-                ["content_sha256", "tokenizer_sha256", "n_bytes", "n_tokens"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("content_sha256"), batch.column("n_bytes"), pa.array(n, pa.int64())], ["content_sha256", "n_bytes", "n_tokens"])
 
     return run
 
@@ -126,19 +127,38 @@ def read_cache(spark: SparkSession, cache_path: str) -> DataFrame:
     return spark.createDataFrame([], CACHE_SCHEMA)
 
 
+def _known(spark: SparkSession, cache_path: str, version: str) -> DataFrame:
+    """The counts of one tokenizer; only its folder is read."""
+    return read_cache(spark, cache_path).filter(F.col("tokenizer_sha256") == version).drop("tokenizer_sha256")
+
+
 def fill_cache(docs: DataFrame, cache_path: str, tokenizer_path: str, text_col: str = "text") -> None:
-    """Encode the distinct contents of docs that the cache lacks, and append their counts."""
+    """Encode the distinct contents of docs that the cache lacks, and append their counts. One job at a time may append.
+
+    Digests alone meet the cache. Contents are then read for the missing ones only: few of
+    these are broadcast, so that other texts stay where they are; many meet the distinct
+    contents, of which one copy a task is shuffled.
+    """
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer_path)
+    tables = Tables(spark)
     content = F.coalesce(F.col(text_col), F.lit(""))
-    distinct = docs.select(F.unhex(F.sha2(content, 256)).alias("content_sha256"), content.alias("content")).dropDuplicates(["content_sha256"])
-    known = read_cache(spark, cache_path).filter(F.col("tokenizer_sha256") == F.lit(version)).select("content_sha256")
-    (
-        distinct.join(known, "content_sha256", "left_anti")
-        .select("content_sha256", F.lit(version).alias("tokenizer_sha256"), F.octet_length("content").cast("long").alias("n_bytes"), "content")
-        .mapInArrow(_counting(tokenizer_path), CACHE_SCHEMA)
-        .write.mode("append")
-        .parquet(cache_path)
-    )
+    digest = F.unhex(F.sha2(content, 256)).alias("content_sha256")
+    missing = tables.write(docs.select(digest).distinct().join(_known(spark, cache_path, version).select("content_sha256"), "content_sha256", "left_anti"), "token-missing")
+    n = missing.count()
+    if n:
+        contents = docs.select(digest, content.alias("content"))
+        if n <= MAX_SENT:
+            wanted = contents.join(F.broadcast(missing), "content_sha256", "left_semi").dropDuplicates(["content_sha256"])
+        else:
+            wanted = contents.dropDuplicates(["content_sha256"]).join(missing, "content_sha256")  # inner, as a semi join would go below the dedupe
+        counted = wanted.select("content_sha256", F.octet_length("content").cast("long").alias("n_bytes"), "content").mapInArrow(_counting(tokenizer_path), "content_sha256 binary, n_bytes long, n_tokens long")
+        counted.withColumn("tokenizer_sha256", F.lit(version)).write.mode("append").partitionBy("tokenizer_sha256").parquet(cache_path)
+    tables.close()
+
+
+def compact_cache(spark: SparkSession, cache_path: str, to_path: str, files: int = 64) -> None:
+    """A copy of the cache in few files for each tokenizer; the caller moves on to it and deletes the old one."""
+    read_cache(spark, cache_path).repartition(files, "content_sha256").write.partitionBy("tokenizer_sha256").parquet(to_path)
 
 
 def token_counts(docs: DataFrame, cache_path: str, tokenizer_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,6 +167,5 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer_path: str, limit: i
     digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     rows = docs.select(F.col(id_col), digest.alias("content_sha256"))
     # No aggregate below the join: the side of a hot content can then be split.
-    known = read_cache(docs.sparkSession, cache_path).filter(F.col("tokenizer_sha256") == F.lit(tokenizer_digest(tokenizer_path)))
-    counts = known.select("content_sha256", "n_bytes", "n_tokens")
+    counts = _known(docs.sparkSession, cache_path, tokenizer_digest(tokenizer_path))
     return rows.join(counts, "content_sha256", "left").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

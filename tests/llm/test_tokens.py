@@ -135,6 +135,22 @@ def test_cache_encodes_only_misses(spark, odd):
     assert token_counts.read_cache(spark, path).count() == 2 * n
 
 
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_only_new_contents_are_read_again(spark, odd, monkeypatch, sent):
+    """With a warm cache only missing contents are encoded, whether their digests are sent along or joined."""
+    monkeypatch.setattr(token_counts, "MAX_SENT", sent)
+    path = new_path(spark, "cache")
+    token_counts.fill_cache(odd.filter("doc_id < 8"), path, BYTE)
+    before = {bytes(r["content_sha256"]) for r in token_counts.read_cache(spark, path).collect()}
+    got = sorted(map(tuple, token_counts.token_counts(odd, path, BYTE, 5).collect()), key=repr)
+    rows = token_counts.read_cache(spark, path).collect()
+    assert len(rows) == len({bytes(r["content_sha256"]) for r in rows}) > len(before) > 0
+    assert got == sorted(map(tuple, token_counts.token_counts(odd, new_path(spark, "cache"), BYTE, 5).collect()), key=repr)
+    smaller = new_path(spark, "cache")
+    token_counts.compact_cache(spark, path, smaller, 1)
+    assert sorted(map(repr, token_counts.read_cache(spark, smaller).collect())) == sorted(map(repr, rows))
+
+
 def test_token_counts_odd_rows(spark, odd, nothing):
     lib = library(BYTE)
     want = sorted(((r["doc_id"], len((r["text"] or "").encode()), n := len(lib.encode(r["text"] or "", add_special_tokens=False).ids), n > 5) for r in odd.collect()), key=repr)
