@@ -4,8 +4,9 @@ Features are hashed n-grams of one to ``MAX_N`` letters of the lower-cased text;
 other characters count as one blank. A feature's value is its share of the text's
 n-grams, times its inverse document frequency, times ``SCALE``. Weights are learned
 one document at a time with follow-the-regularised-leader (FTRL-proximal) with
-elastic-net penalties, on a sample of at most ``sample_rows`` labelled documents,
-taken by hash of the id. Document frequencies are counted over all labelled
+elastic-net penalties, on a sample of about ``sample_rows`` labelled documents, taken by
+hash of id and text: the same share of each language, but more of rare ones, so that
+each has a quarter of an equal share (all its rows if it has fewer). Document frequencies are counted over all labelled
 training documents. A temperature, fitted on a part of the sample that is not
 learned from, calibrates the probabilities.
 
@@ -208,16 +209,26 @@ def _document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, i
     return df, int(found.get(-1, 0) or 0)
 
 
-def _sample(docs: DataFrame, share: float, id_col: str, text_col: str, label_col: str) -> list[tuple[np.ndarray, np.ndarray, str]]:
+def shares(counts: dict[str, int], sample_rows: int) -> dict[str, float]:
+    """The share of each language's rows to sample: sample_rows in all, and at least a quarter of an equal part of each."""
+    total = sum(counts.values())
+    least = -(-sample_rows // (4 * max(1, len(counts))))
+    return {k: min(1.0, max(sample_rows / total, least / n)) for k, n in counts.items() if n}
+
+
+def _sample(docs: DataFrame, share: dict[str, float], id_col: str, text_col: str, label_col: str) -> list[tuple[np.ndarray, np.ndarray, str]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sparse_features(x) for x in batch.column(0).to_pylist()]
             at = pa.array([x.astype(np.int32) for x, _ in found], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([at, pa.array([v for _, v in found], pa.list_(pa.float64())), batch.column(1), batch.column(2).cast(pa.string())], ["at", "shares", "label", "id"])
 
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
-    made = docs.filter(place < share).select(text_col, label_col, F.col(id_col).alias("_id")).mapInArrow(run, "at array<int>, shares array<double>, label string, id string")
-    rows = sorted(made.collect(), key=lambda r: (len(r["id"] or ""), r["id"] or ""))
+    if not share:
+        return []
+    place = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
+    limit = F.try_element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col(label_col).cast("string"))
+    made = docs.filter(place < limit).select(text_col, label_col, F.col(id_col).alias("_id")).mapInArrow(run, "at array<int>, shares array<double>, label string, id string")
+    rows = sorted(made.collect(), key=lambda r: (len(r["id"] or ""), r["id"] or "", r["label"], r["at"], r["shares"]))
     return [(np.array(r["at"], np.int64), np.array(r["shares"]), r["label"]) for r in rows if r["at"]]
 
 
@@ -225,7 +236,8 @@ def train(docs: DataFrame, sample_rows: int = 3000, id_col: str = "doc_id", text
     """Learn from the labelled rows of docs."""
     labelled = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     df, n = _document_frequencies(labelled, text_col)
-    rows = _sample(labelled, sample_rows / max(n, 1), id_col, text_col, label_col)
+    counts = {str(r[0]): r[1] for r in labelled.groupBy(label_col).count().collect()}  # one row a language
+    rows = _sample(labelled, shares(counts, sample_rows), id_col, text_col, label_col)
     languages = sorted({r[2] for r in rows})
     if not languages:
         return Model([], np.zeros((0, SIZE)), np.zeros(0))

@@ -40,6 +40,63 @@ def test_language_odd_rows(spark, odd, nothing):
     assert language_id.predict(nothing, model).count() == 0
 
 
+def test_ftrl_is_its_formula():
+    """Weights equal to the update rule, written out number by number."""
+    draw = np.random.default_rng(3)
+    rows = [(np.array(sorted(draw.choice(6, 3, replace=False))), draw.random(3), int(draw.integers(0, 3))) for _ in range(40)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.05, 0.02
+    weights, bias = language_id.ftrl(rows, 3, alpha, beta, l1, l2, epochs=2)
+    z, n = {}, {}
+
+    def weight(c, f):
+        l, zz, nn = (0.0 if f == "bias" else l1), z.get((c, f), 0.0), n.get((c, f), 0.0)
+        return 0.0 if abs(zz) <= l else -(zz - (l if zz > 0 else -l)) / ((beta + nn**0.5) / alpha + l2)
+
+    for _ in range(2):
+        for at, values, label in rows:
+            x = [*zip(at.tolist(), values.tolist()), ("bias", 1.0)]
+            own = {(c, f): weight(c, f) for c in range(3) for f, _ in x}
+            score = [np.exp(sum(own[c, f] * v for f, v in x)) for c in range(3)]
+            for c in range(3):
+                error = score[c] / sum(score) - (c == label)
+                for f, v in x:
+                    g = error * v
+                    before = n.get((c, f), 0.0)
+                    z[c, f] = z.get((c, f), 0.0) + g - ((before + g * g) ** 0.5 - before**0.5) / alpha * own[c, f]
+                    n[c, f] = before + g * g
+    np.testing.assert_allclose(weights[:, :6], [[weight(c, f) for f in range(6)] for c in range(3)], atol=1e-9)
+    np.testing.assert_allclose(bias, [weight(c, "bias") for c in range(3)], atol=1e-9)
+    assert (weights == 0).mean() > 0.99
+
+
+def test_the_temperature_has_the_least_loss():
+    draw = np.random.default_rng(4)
+    labels = draw.integers(0, 3, 200)
+    logits = draw.normal(size=(200, 3)) * 3 + 2 * np.eye(3)[labels]
+    t = language_id.calibrate(logits, labels)
+
+    def loss(t):
+        p = np.exp(logits / t)
+        p = np.log(p / p.sum(1, keepdims=True))
+        smooth = 1 / 202
+        return -np.mean((1 - smooth) * p[np.arange(200), labels] + smooth * p.mean(1))
+
+    assert all(loss(t) <= loss(t * f) + 1e-9 for f in (0.5, 0.9, 0.99, 1.01, 1.1, 2))
+
+
+def test_rare_languages_are_learned(spark):
+    draw = np.random.default_rng(5)
+    words = {"aa": ["alba", "lana", "bala"], "bb": ["quix", "zyx", "wox"], "cc": ["mumu", "umo", "omum"]}
+    rows = [(k if k % 7 else None, " ".join(draw.choice(words[lang], 8)), lang) for k, lang in enumerate(["aa"] * 3000 + ["bb"] * 12 + ["cc"] * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, sample_rows=200)
+    told = language_id.predict(docs.select("doc_id", "text", "lang"), model, ("doc_id", "lang")).collect()
+    assert all(r["lang"] == r["lang_pred"] for r in told)
+    assert language_id.shares({"a": 10**6, "b": 10}, 3000)["b"] == 1.0
+    counts = {"a": 10**6, "b": 10**5, "c": 10}
+    assert sum(counts[k] * s for k, s in language_id.shares(counts, 3000).items()) <= 1.25 * 3000
+
+
 # Line dedup
 
 
@@ -219,6 +276,41 @@ def brute_quality(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(inside), failed
 
 
+def brute_verdict(text):
+    """kept, written out from the rules line by line."""
+    blank, lines = "\x20\x09\x0a\x0b\x0c\x0d", (text or "").split("\n")
+    n, lost = len(re.findall(f"[^{blank}]+", text or "")), 0
+    phrases = quality.BOILERPLATE.pattern.split("|")
+    assert len(phrases) > 30
+    for k, line in enumerate(lines):
+        words = re.findall(f"[^{blank}]+", line)
+        if not words:
+            continue
+        end = k  # the last line of the run of wrapped lines
+        while True:
+            own = lines[end].strip(blank)
+            if own[-1] in ".!?…:;,\"')]}”’»。！？":
+                closed = True
+                break
+            following = lines[end + 1].strip(blank) if end + 1 < len(lines) else ""
+            if not following or not (len(own) >= 40 or following[0].islower()):
+                closed = False
+                break
+            end += 1
+        symbols = sum(c in "#*$%&|<>" for c in line)
+        separators = sum(c in "|»›•·" for c in line) + len([w for w in re.split(r"\s", line) if w == ">"])
+        notice = len(words) <= 12 and quality.BOILERPLATE.search(line)
+        if not closed or 10 * symbols >= len(line) or separators >= 3 or notice:
+            lost += len(words)
+    return lost, not brute_quality(text)[5] and lost <= 0.5 * n
+
+
+def test_verdicts(spark, sf_dir, odd):
+    for docs in (odd, table(spark, sf_dir, "documents")):
+        got = [(r["doc_id"], r["n_lost_words"], r["kept"]) for r in quality.clean_lines(docs).collect()]
+        assert ordered(got) == ordered((r["doc_id"], *brute_verdict(r["text"])) for r in docs.collect())
+
+
 def test_quality(spark, sf_dir, odd, nothing):
     for docs in (odd, table(spark, sf_dir, "documents")):
         rows = quality.clean_lines(docs).collect()
@@ -235,6 +327,8 @@ def test_line_rules():
     text = "\n".join(["Home | About | Contact | Log in", prose, "Accept all cookies.", other, "a heading without a stop", ""])
     done = dict(zip(quality._COLUMNS, quality.judge(text, rules)))
     assert done["kept"] and done["cleaned"] == "\n".join([prose, other, ""])
+    wrapped = "This is prose that an editor has broken into lines of\nabout sixty columns, and only the last line of each\nparagraph ends in a stop."
+    assert dict(zip(quality._COLUMNS, quality.judge(wrapped + "\n\n" + wrapped.replace("prose", "text"), rules)))["n_lost_words"] == 0
     menus = "Home | About | Contact | Log in\nAll rights reserved, read more\nsome words of a list\nand others of the next\n"
     assert not dict(zip(quality._COLUMNS, quality.judge(menus + prose, rules)))["kept"]
 
