@@ -2,10 +2,14 @@
 
 Each line of a text goes through three rules; lines that fail one are removed:
 
-* punctuation: the line does not end in a mark that closes a sentence or a clause,
-  or a tenth or more of its characters are symbols of markup and code;
+* punctuation: the line's sentence does not end in a mark that closes a sentence or a
+  clause, or a tenth or more of the line's characters are symbols of markup and code. A
+  line of ``wrap_chars`` characters or more, or one whose next line begins in lower case,
+  goes on in the next line if that has a word, so wrapped prose is judged by the last
+  line of each run;
 * navigation: the line holds three or more separators of menus and tables;
-* boilerplate: a short line holds a phrase of site notices.
+* boilerplate: a short line holds a phrase of site notices, in English, French, German
+  or Spanish.
 
 A document is rejected if it loses more than ``max_lost`` of its words that way,
 or if it fails the base rules: fewer than ``min_words`` words, or more than a
@@ -35,7 +39,10 @@ CLOSING = ".!?…:;,\"')]}”’»。！？"
 SEPARATORS = re.compile(r"[|»›•·]|(?<!\S)>(?!\S)")
 BOILERPLATE = re.compile(
     r"accept (all )?cookies|use of cookies|enable javascript|privacy policy|terms of (use|service)|all rights reserved|"
-    r"sign (in|up)|log ?in|subscribe (now|to our)|click here|read more|share (this|on)|follow us|back to top|lorem ipsum",
+    r"sign (in|up)|log ?in|subscribe (now|to our)|click here|read more|share (this|on)|follow us|back to top|lorem ipsum|"
+    r"accepter les cookies|politique de confidentialité|conditions d.utilisation|tous droits réservés|se connecter|cliquez ici|lire la suite|"
+    r"cookies akzeptieren|datenschutzerklärung|nutzungsbedingungen|alle rechte vorbehalten|hier klicken|weiterlesen|"
+    r"aceptar (las )?cookies|política de privacidad|términos de uso|todos los derechos reservados|iniciar sesión|haga clic aquí|leer más",
     re.IGNORECASE,
 )
 
@@ -52,19 +59,33 @@ class Rules:
     max_lost: float = 0.5
     boilerplate_words: int = 12
     max_symbols: float = 0.1
+    wrap_chars: int = 40
 
 
-def line_fails(line: str, words: int, rules: Rules) -> bool:
-    """Whether one of the line rules removes a line with so many words."""
-    tail = line.rstrip(BLANKS)[-1:]
+def line_fails(line: str, words: int, closed: bool, rules: Rules) -> bool:
+    """Whether one of the line rules removes a line with so many words; closed tells of the end of its run of wrapped lines."""
     return (
-        tail not in CLOSING
+        not closed
         or sum(map(line.count, SYMBOLS)) >= rules.max_symbols * len(line)
         or len(SEPARATORS.findall(line)) >= 3
         or (words <= rules.boilerplate_words and BOILERPLATE.search(line) is not None)
     )
 
 
+def closings(lines: list[str], rules: Rules) -> list[bool]:
+    """For each line, whether the run of wrapped lines that it is in ends in a closing mark."""
+    out, after, below = [], False, ""
+    for line in reversed(lines):
+        text = line.strip(BLANKS)
+        if text[-1:] in CLOSING:
+            after = bool(text)
+        elif not (below and (len(text) >= rules.wrap_chars or below[0].islower())):
+            after = False
+        out.append(after)
+        below = text
+    return out[::-1]
+
+
 def repeated_words(words: list[bytes], window: int) -> int:
     """Words inside windows that the list holds twice or more."""
     grams = list(zip(*(words[k:] for k in range(window)), strict=False))
@@ -88,9 +109,9 @@ def judge(text: str | None, rules: Rules) -> tuple:
     repeat = repeated_words(words, rules.window)
     failed = n < rules.min_words or 100 * repeat > rules.max_repeat_percent * n
     left, lost = [], 0
-    for line in lines:
+    for line, closed in zip(lines, closings(lines, rules), strict=True):
         own = len(line.encode().split())
-        if own and line_fails(line, own, rules):
+        if own and line_fails(line, own, closed, rules):
             lost += own
         else:
             left.append(line)
