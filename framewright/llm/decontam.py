@@ -6,11 +6,14 @@ an item with fewer words, but not none, is one window.
 
 Each document's windows are hashed by doubling (1, 2, 4, 8 words) and looked up in
 the set of benchmark hashes, which travels inside the plan while it holds at most
-``MAX_SENT`` windows. Hits are verified by comparing the words themselves. Larger
-benchmarks meet the document windows in a shuffle join instead; results are equal.
+``MAX_SENT`` windows. Larger benchmarks meet the document windows in a shuffle join of
+hashes alone: a row number, a place and a hash for each window, some four times the
+bytes of the texts, of which only hits come back. Hits are then verified by comparing
+the words themselves; results are equal.
 
-Only DataFrame functions are used. The texts are read once and never shuffled:
-only hits, and one short row per document, are.
+Only DataFrame functions are used. With up to ``MAX_SENT`` windows the texts are read
+once and never shuffled: only hits, and one short row per document, are. Beyond, the
+rows are written once with a number each, and meet their hits by it.
 
 Defined cases: a null text has no words and is never contaminated; items without
 words have no windows; a null item id is not listed. Repeated items are listed
@@ -24,9 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.drops import without
+from framewright.scratch import write_table
 
-#: Distinct benchmark windows up to which they are broadcast: at most 1.6 MB of hashes.
+#: Distinct benchmark windows up to which their hashes travel in the plan: at most 1.6 MB.
 MAX_SENT = 200_000
+#: Bytes of window texts and item ids up to which these are broadcast to the hits.
+MAX_TEXTS = 64 << 20
 
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _PIECE = r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
@@ -101,27 +107,22 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str
         for k in lengths:
             values = ",".join(f"{r[1]}L" if r[1] != -(2**63) else "(-9223372036854775807L - 1L)" for r in sent if r[0] == k)
             found = found.withColumn(f"_dc_h{k}", F.expr(f"filter(transform(_dc_h{k}, (h, i) -> if(h in ({values}), i, null)), i -> i is not null)"))
-        hits = F.flatten(F.array(*[F.transform(f"_dc_h{k}", _place(k)) for k in lengths]))
-        found = found.withColumn("_dc_hits", hits)
-        spelled = F.transform("_dc_hits", lambda h: F.struct(h["at"].alias("at"), h["len"].alias("len"), F.array_join(F.slice("_dc_words", h["at"] + 1, h["len"]), " ").alias("text")))
-        one = found.withColumn("_dc_hits", F.when(F.size("_dc_hits") > 0, spelled)).select("_dc_row", F.explode_outer("_dc_hits").alias("_dc_hit"), *_carried(keep, text_col))
-        flat = one.select("*", F.col("_dc_hit.at").alias("_dc_at"), F.col("_dc_hit.len").alias("_dc_len"), F.col("_dc_hit.text").alias("_dc_text")).drop("_dc_hit")
-        joined = flat.join(F.broadcast(hashes.select("_dc_len", "_dc_text", "_dc_items")), ["_dc_len", "_dc_text"], "left")
+        found = found.withColumn("_dc_hits", F.flatten(F.array(*[F.transform(f"_dc_h{k}", _place(k)) for k in lengths])))
     else:
-        places = F.flatten(F.array(*[F.transform(f"_dc_h{k}", _hash_place(k)) for k in lengths]))
-        every = hashed.select("_dc_row", "_dc_words", F.explode_outer(places).alias("_dc_hit"), *_carried(keep, text_col))
-        flat = every.select("*", F.col("_dc_hit.at").alias("_dc_at"), F.col("_dc_hit.len").alias("_dc_len"), F.col("_dc_hit.hash").alias("_dc_hash"), _spelled("_dc_words", F.col("_dc_hit.at"), F.col("_dc_hit.len")).alias("_dc_text")).drop("_dc_hit", "_dc_words")
-        joined = flat.join(hashes, ["_dc_len", "_dc_hash", "_dc_text"], "left")
+        found = _met_by_hash(rows, hashes, lengths, text_col)
+    spelled = F.transform("_dc_hits", lambda h: F.struct(h["at"].alias("at"), h["len"].alias("len"), F.array_join(F.slice("_dc_words", h["at"] + 1, h["len"]), " ").alias("text")))
+    one = found.withColumn("_dc_hits", F.when(F.size("_dc_hits") > 0, spelled)).select("_dc_row", F.explode_outer("_dc_hits").alias("_dc_hit"), *_carried(keep, text_col))
+    flat = one.select("*", F.col("_dc_hit.at").alias("_dc_at"), F.col("_dc_hit.len").alias("_dc_len"), F.col("_dc_hit.text").alias("_dc_text")).drop("_dc_hit")
+    known = hashes.select("_dc_len", "_dc_text", "_dc_items")
+    size = known.agg(F.sum(F.octet_length("_dc_text") + F.coalesce(F.octet_length(F.array_join("_dc_items", ",")), F.lit(0)) + 64)).first()[0] or 0
+    joined = flat.join(F.broadcast(known) if size <= MAX_TEXTS else known, ["_dc_len", "_dc_text"], "left")
     hit = F.col("_dc_items").isNotNull()
-    per_row = (
-        joined.withColumn("_dc_item", F.explode_outer("_dc_items"))
-        .groupBy("_dc_row")
-        .agg(
-            *[F.first(c).alias(c) for c in _carried(keep, text_col)],
-            F.collect_set(F.when(hit, F.struct("_dc_at", "_dc_len"))).alias("_dc_spans"),
-            F.sort_array(F.collect_set("_dc_item")).alias("_dc_items"),
-        )
+    per_row = joined.groupBy("_dc_row").agg(
+        *[F.first(c).alias(c) for c in _carried(keep, text_col)],
+        F.collect_set(F.when(hit, F.struct("_dc_at", "_dc_len"))).alias("_dc_spans"),
+        F.collect_set("_dc_items").alias("_dc_items"),  # windows of the same items give one list
     )
+    per_row = per_row.withColumn("_dc_items", F.sort_array(F.array_distinct(F.flatten("_dc_items"))))
     covered = F.sort_array(F.array_distinct(F.flatten(F.transform("_dc_spans", lambda s: F.sequence(s["_dc_at"], s["_dc_at"] + s["_dc_len"] - 1)))))
     return per_row.withColumn("_dc_covered", covered)
 
@@ -134,6 +135,18 @@ def _hash_place(length: int):
     return lambda h, i: F.struct(i.alias("at"), F.lit(length).alias("len"), h.alias("hash"))
 
 
+def _met_by_hash(rows: DataFrame, hashes: DataFrame, lengths: list[int], text_col: str) -> DataFrame:
+    """rows with _dc_hits: the places whose windows have the hash of a benchmark window."""
+    rows, _ = write_table(rows.drop("_dc_words"), "decontam-rows")
+    rows = rows.withColumn("_dc_words", words_of(F.col(text_col)))
+    hashed = _with_hashes(rows.select("_dc_row", "_dc_words"), lengths)
+    every = F.flatten(F.array(*[F.transform(f"_dc_h{k}", _hash_place(k)) for k in lengths]))
+    flat = hashed.select("_dc_row", F.explode(every).alias("_dc_w")).select("_dc_row", F.col("_dc_w.at").alias("at"), F.col("_dc_w.len").alias("_dc_len"), F.col("_dc_w.hash").alias("_dc_hash"))
+    met = flat.join(hashes.select("_dc_len", "_dc_hash").distinct().hint("merge"), ["_dc_len", "_dc_hash"], "left_semi")
+    hits = met.groupBy("_dc_row").agg(F.collect_list(F.struct("at", F.col("_dc_len").alias("len"))).alias("_dc_hits"))
+    return rows.join(hits, "_dc_row", "left")
+
+
 def _carried(keep: list[str], text_col: str) -> list[str]:
     """Columns that go along with a row's hits: all but the text, which is not shuffled."""
     return [*[c for c in keep if c != text_col], "_dc_n_words"]
