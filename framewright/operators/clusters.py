@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +42,12 @@ def by_population(clusters: DataFrame) -> DataFrame:
     return clusters.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("n"), "label")).cast("long"))
 
 
-def learn(values: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """(n, sum) of at most limit clusters: each value starts one, and the cheapest pair is merged when there are too many.
+#: Points of a key that one task learns from at a time.
+UNIT = 4096
+
+
+def learn(points: list[tuple[int, int]], limit: int) -> list[tuple[int, int]]:
+    """(n, sum) of at most limit clusters: each point (n, sum) starts one, and the cheapest pair is merged when there are too many.
 
     Pairs wait in a heap by (cost, older, younger); entries of clusters that have
     since been merged are skipped.
@@ -60,8 +64,8 @@ def learn(values: np.ndarray, limit: int) -> list[tuple[int, int]]:
         live[new] = (n, s)
         new += 1
 
-    for value in values.tolist():
-        add(1, value)
+    for n, s in points:
+        add(n, s)
         while len(live) > limit:
             _, a, b = heapq.heappop(heap)
             if a in live and b in live:
@@ -73,29 +77,51 @@ def learn(values: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return list(live.values())
 
 
-def online(points: DataFrame, key: str, order: str, value: str, limit: int) -> DataFrame:
-    """key, cluster, n, s: the learner over each key's points in order. A key's points are one bounded unit of a stream."""
+def _units(points: DataFrame, key: str, order: str, value: str, unit: int) -> DataFrame:
+    """key, _unit and _xs: the values of each unit, in order."""
+    cut = points.select(key, order, value, F.floor(F.col(order) / unit).cast("long").alias("_unit"))
+    return cut.groupBy(key, "_unit").agg(F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda r: r[value]).alias("_xs"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        found = sorted(learn(pdf[value].to_numpy(), limit), key=lambda c: -c[0])
-        return pd.DataFrame({key: pdf[key].iloc[0], "cluster": range(len(found)), "n": [c[0] for c in found], "s": [c[1] for c in found]})
+
+def online(points: DataFrame, key: str, order: str, value: str, limit: int, unit: int = UNIT) -> DataFrame:
+    """key, cluster, n, s: the learner over each unit of a key's points, in order, and then over the units' clusters.
+
+    A key's task sees limit clusters a unit, in the order of units; of one unit, its clusters are those of the unit.
+    """
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [learn([(1, x) for x in xs], limit) for xs in batch.column(2).to_pylist()]
+            made = pa.array([[{"n": n, "s": s} for n, s in x] for x in found], pa.list_(pa.struct([("n", pa.int64()), ("s", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], [key, "_unit", "_found"])
+
+    def then(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rank, clusters = [], [], []
+            for k, units in enumerate(batch.column(1).to_pylist()):
+                found = [(c["n"], c["s"]) for u in units for c in u["_found"]]
+                found = sorted(learn(found, limit) if len(units) > 1 else found, key=lambda c: -c[0])
+                at += [k] * len(found)
+                rank += range(len(found))
+                clusters += found
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(rank, pa.int64()), *(pa.array([c[j] for c in clusters], pa.int64()) for j in (0, 1))], [key, "cluster", "n", "s"])
 
     kind = dict(points.dtypes)[key]
-    return points.select(key, order, value).groupBy(key).applyInPandas(run, f"{key} {kind}, cluster long, n long, s long")
+    learned = _units(points, key, order, value, unit).mapInArrow(first, f"`{key}` {kind}, _unit long, _found array<struct<n: bigint, s: bigint>>")
+    whole = learned.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_unit", "_found"))).alias("_units"))
+    return whole.mapInArrow(then, f"`{key}` {kind}, cluster long, n long, s long")
 
 
-def search(points: DataFrame, key: str, order: str, value: str, max_error: float, start: int = 4, grow: int = 30, most: int = 256) -> DataFrame:
-    """key, k, error: the least number of clusters tried whose relative error fits; grows by steps, then shrinks by one."""
+def search(points: DataFrame, key: str, order: str, value: str, max_error: float, start: int = 4, grow: int = 30, most: int = 256, unit: int = UNIT) -> DataFrame:
+    """key, unit, k, error: per unit of a key's points, the least number of clusters tried whose relative error fits; grows by steps, then shrinks by one."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[value].to_numpy()
-        energy = float((x.astype(float) ** 2).sum()) or 1.0
+    def fitting(x: list[int]) -> tuple[int, float]:
+        energy = float(sum(float(v) ** 2 for v in x)) or 1.0
         seen: dict[int, float] = {}
 
         def error(k: int) -> float:
             if k not in seen:
-                seen[k] = 1 - sum(s * s / n for n, s in learn(x, k)) / energy
+                seen[k] = 1 - sum(s * s / n for n, s in learn([(1, v) for v in x], k)) / energy
             return seen[k]
 
         k = min(start, len(x))
@@ -103,7 +129,12 @@ def search(points: DataFrame, key: str, order: str, value: str, max_error: float
             k = min(k + grow, most, len(x))
         while k > 1 and error(k) <= max_error and error(k - 1) <= max_error:
             k -= 1
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "k": [k], "error": [round(error(k), 9)]})
+        return k, round(error(k), 9)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [fitting(x) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([k for k, _ in found], pa.int64()), pa.array([e for _, e in found], pa.float64())], [key, "unit", "k", "error"])
 
     kind = dict(points.dtypes)[key]
-    return points.select(key, order, value).groupBy(key).applyInPandas(run, f"{key} {kind}, k long, error double")
+    return _units(points, key, order, value, unit).mapInArrow(run, f"`{key}` {kind}, unit long, k long, error double")

@@ -70,9 +70,10 @@ def _(v: Views):
     "select a.channel as ch_a, b.channel as ch_b, round(corr(a.x, b.x), 6) as r from sig a join sig b on a.frame = b.frame and a.channel < b.channel group by 1, 2",
 )
 def _(v: Views):
-    left = v.sig.select(_c("channel").alias("ch_a"), "frame", _c("x").alias("a"))
-    right = v.sig.select(_c("channel").alias("ch_b"), "frame", _c("x").alias("b"))
-    both = left.join(right, "frame").filter("ch_a < ch_b")
+    """Pairs are made within a frame, of which there are few channels; nothing is joined."""
+    at = F.sort_array(F.collect_list(F.struct("channel", "x")))
+    later = lambda p, k: F.transform(F.slice("at", k + 2, F.greatest(F.size("at") - k - 1, F.lit(0))), lambda q: F.struct(p["channel"].alias("ch_a"), q["channel"].alias("ch_b"), p["x"].alias("a"), q["x"].alias("b")))
+    both = v.sig.groupBy("frame").agg(at.alias("at")).select(F.inline(F.flatten(F.transform("at", later))))
     return blocks.pearson(both, ["ch_a", "ch_b"]).withColumn("r", F.round("r", 6))
 
 
@@ -88,14 +89,16 @@ def _(v: Views):
 
 @query(
     "content_digest",
-    """b as (select channel, frame // 1024 as blk, sha256(string_agg(frame || ':' || x, ',' order by frame)) as d from sig group by 1, 2)
-    select channel, sha256(string_agg(blk || ':' || d, ',' order by blk)) as digest from b group by channel""",
+    """b as (select channel, frame // 1024 as blk, sha256(string_agg(frame || ':' || x, ',' order by frame)) as d from sig group by 1, 2),
+    c as (select channel, blk // 1024 as sup, sha256(string_agg(blk || ':' || d, ',' order by blk)) as d from b group by 1, 2)
+    select channel, sha256(string_agg(sup || ':' || d, ',' order by sup)) as digest from c group by channel""",
 )
 def _(v: Views):
-    """Order-sensitive digest by blocks, so that no task gathers a whole channel: a hash of block hashes."""
+    """Order-sensitive digest by blocks of blocks: no row gathers more than 1,024 digests but the last, with one for 2^20 frames."""
     ordered = lambda at, text: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(at, text))), lambda r: F.concat(r[at].cast("string"), F.lit(":"), r[text].cast("string"))), ",")
     block = v.sig.groupBy("channel", blocks.block_of(size=1024).alias("blk")).agg(F.sha2(ordered("frame", "x"), 256).alias("d"))
-    return block.groupBy("channel").agg(F.sha2(ordered("blk", "d"), 256).alias("digest"))
+    block = block.groupBy("channel", blocks.block_of("blk", 1024).alias("sup")).agg(F.sha2(ordered("blk", "d"), 256).alias("d"))
+    return block.groupBy("channel").agg(F.sha2(ordered("sup", "d"), 256).alias("digest"))
 
 
 @query("fold_digest", "select channel, cast(bit_xor((frame * 2654435761 + x * 40503) & 4294967295) as bigint) as digest from sig group by channel")
@@ -182,8 +185,7 @@ def _(v: Views):
 
 @query("row_peak", "select frame, cast(max(abs(x)) as bigint) as peak from sig group by frame")
 def _(v: Views):
-    wide = v.sig.groupBy("frame").agg(F.collect_list("x").alias("xs"))
-    return wide.select("frame", F.array_max(F.transform("xs", F.abs)).alias("peak"))
+    return v.sig.groupBy("frame").agg(F.max(F.abs("x")).alias("peak"))
 
 
 @query("weighted_vector_sum", "select label, i, cast(sum(v * (1 + vec_id % 5)) as bigint) as total from vec group by label, i")

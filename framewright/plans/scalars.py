@@ -407,11 +407,17 @@ def _(v: Views):
     return v.sig.select("channel", "frame", fixed.sat_add("x", F.lit(3000000)).alias("y"))
 
 
-@query("seeded_noise")
+def _unit(seed: int, place: str) -> str:
+    """A number from 0 to 255 from a seed, a channel and a frame, in SQL of either engine."""
+    mixed = f"((frame * 69069 + ascii(channel) * 40503 + length(channel) * 30011 + {seed}) & 2147483647)"
+    return f"(((({mixed} * 48271) % 2147483647) >> 9) & 255)" if place == "duckdb" else f"(shiftright((({mixed} * 48271) % 2147483647), 9) & 255)"
+
+
+@query("seeded_noise", f"select channel, frame, greatest(-8388608, least(8388607, x + (({_unit(11, 'duckdb')} + {_unit(1013, 'duckdb')} - 255) >> 7))) as y from sig")
 def _(v: Views):
     """Triangular dither of two least steps, from a seed and the place alone, added without wrapping."""
-    unit = lambda seed: F.pmod(F.xxhash64("channel", "frame", F.lit(seed)), F.lit(256))
-    return v.sig.select("channel", "frame", fixed.sat_add("x", F.shiftright(unit(1) + unit(2) - 255, 7)).alias("y"))
+    step = F.shiftright(F.expr(_unit(11, "spark")) + F.expr(_unit(1013, "spark")) - 255, 7)
+    return v.sig.select("channel", "frame", fixed.sat_add("x", step.cast("long")).alias("y"))
 
 
 # Bits, codes and checksums.

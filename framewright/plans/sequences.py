@@ -325,10 +325,9 @@ def _(v: Views):
     "select user_id, ts, event_id, last_value(case when event_type = 'signup' then value end ignore nulls) over w as template, last_value(case when event_type in ('signup', 'view') then event_id end ignore nulls) over w as latest from events window w as (partition by user_id order by ts, event_id)",
 )
 def _(v: Views):
-    """A full first unit, then deltas: every field keeps its last stated value. One user's history is a bounded stream."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    template = F.last(F.when(_c("event_type") == "signup", _c("value")), True).over(w)
-    latest = F.last(F.when(_c("event_type").isin("signup", "view"), _c("event_id")), True).over(w)
-    return v.events.select("user_id", "ts", "event_id", template.alias("template"), latest.alias("latest"))
+    """A full first unit, then deltas: every field keeps its last stated value; by blocks of a day."""
+    day = 86_400_000_000
+    template, latest = F.when(_c("event_type") == "signup", _c("value")), F.when(_c("event_type").isin("signup", "view"), _c("event_id"))
+    timed = v.events.select("user_id", "ts", "event_id", "event_type", "value", F.unix_micros(_c("ts").cast("timestamp")).alias("us"))
+    done = ordered.last_known(timed, ["user_id"], "us", {"template": template, "latest": latest}, day, tie="event_id")
+    return done.select("user_id", "ts", "event_id", "template", "latest")
