@@ -9,7 +9,7 @@ from framewright.operators import lookups, ordered
 from framewright.plans.registry import query
 from framewright.plans.views import Views
 from framewright.scratch import new_path
-from framewright.sources import sinks
+from framewright.sources import sinks, wav
 
 _c = F.col
 _CHANNELS = [(0, "signup", "L"), (1, "purchase", "R"), (2, "error", "C"), (3, "view", "LFE"), (4, "click", "LS"), (5, "extra", "RS")]
@@ -335,6 +335,22 @@ def _(v: Views):
     return back.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"))
 
 
+@query(
+    "wav_roundtrip",
+    """p as (select a.frame, a.x as l, b.x as r from sig a join sig b on a.frame = b.frame and b.channel = 'click' where a.channel = 'view'), n as (select count(*) as n from p)
+    select k::int as channel, frame, case k when 0 then l else r end as x from p, n, range(0, 2) t(k)""",
+)
+def _(v: Views):
+    """A pair of channels to 24-bit WAV files of 4096 frames, and back by ranges of 1000."""
+    one = lambda ch: v.sig.filter(_c("channel") == ch).select("frame", "x")
+    pair = one("view").join(one("click").withColumnRenamed("x", "r"), "frame")
+    path = new_path(v.spark, "wav")
+    long = pair.select("frame", F.posexplode(F.array("x", "r")).alias("channel", "x"))
+    wav.write_wav(long, path, 2, frames_per_file=4096)
+    back = v.spark.read.format("wav_pcm").option("path", ",".join(wav.wav_files(path))).option("frames_per_task", 1000).load()
+    return back.select("channel", (_c("frame") + wav.first_frame("path")).alias("frame"), "x")
+
+
 @query(
     "channel_map_report",
     r"""select n_nationkey, '<ROW>' || chr(10) || '    <id>' || n_nationkey || '</id>' || chr(10) || '    <name>' || n_name || '</name>' || chr(10) || '</ROW>' as xml from nation""",

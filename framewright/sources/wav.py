@@ -6,6 +6,11 @@ frame, x). The header is read from a prefix; samples are read by ranges of
 ``frames_per_task`` frames, so one long file is spread over many tasks. Paths go to
 pyarrow's file systems, so stores that it knows can be read as well as shared folders.
 
+Writing, ``.option("frames_per_file", n)`` in format "wav_pcm" takes (channel, frame, x)
+with channels from 0: a task writes each unit of n frames to a file of its own, named
+by its first frame, in RIFF, or RF64 beyond 4 GB. Files get their names when the whole
+job commits; a job that fails leaves none. ``write_wav`` deals the rows to the tasks.
+
 Little-endian 16- and 24-bit integer PCM is read, in RIFF or RF64. Anything else
 raises ``ValueError``. A data chunk cut short gives the whole frames that are there.
 """
@@ -13,16 +18,27 @@ raises ``ValueError``. A data chunk cut short gives the whole frames that are th
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 PREFIX = 1 << 16
 
 
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path there."""
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path.removeprefix("file:")
+
+
 def header(data: bytes, file_size: int) -> tuple[int, int, int, int, int] | None:
     """begin, length, channels, rate and bytes a sample of the data chunk; None if the prefix ends before it."""
     if data[:4] not in (b"RIFF", b"RF64") or data[8:12] != b"WAVE":
@@ -68,7 +84,7 @@ class WavReader(DataSourceReader):
     def partitions(self) -> list[Range]:
         out = []
         for path in self.paths:
-            store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+            store, inner = located(path)
             size, found, prefix = store.get_file_info(inner).size, None, PREFIX
             while found is None:
                 with store.open_input_file(inner) as f:
@@ -82,7 +98,7 @@ class WavReader(DataSourceReader):
         return out
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        store, inner = fs.FileSystem.from_uri(part.path) if "://" in part.path else (fs.LocalFileSystem(), part.path)
+        store, inner = located(part.path)
         step = part.channels * part.width
         with store.open_input_file(inner) as f:
             for first in range(part.first, part.first + part.n, 65_536):
@@ -94,6 +110,104 @@ class WavReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array([part.path] * len(x)), pa.array(channel), pa.array(frame), pa.array(x)], ["path", "channel", "frame", "x"])
 
 
+def riff_header(channels: int, rate: int, width: int, length: int) -> bytes:
+    """What stands before the samples of a file with so many bytes of them; RF64 where RIFF's sizes end."""
+    form = b"fmt " + struct.pack("<IHHIIHH", 16, 1, channels, rate, rate * channels * width, channels * width, 8 * width)
+    if length + 64 < 1 << 32:
+        return b"RIFF" + struct.pack("<I", 36 + length + length % 2) + b"WAVE" + form + b"data" + struct.pack("<I", length)
+    sizes = b"ds64" + struct.pack("<IQQQI", 28, 72 + length + length % 2, length, length // (channels * width), 0)
+    return b"RF64" + struct.pack("<I", 0xFFFFFFFF) + b"WAVE" + sizes + form + b"data" + struct.pack("<I", 0xFFFFFFFF)
+
+
+def pcm(x: np.ndarray, width: int) -> bytes:
+    """Little-endian PCM of signed integers; out of range is an error."""
+    rail = 1 << (8 * width - 1)
+    if len(x) and (x.min() < -rail or x.max() >= rail):
+        raise ValueError(f"samples do not fit {8 * width} bits")
+    return x.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    files: list[tuple[str, str]]
+
+
+class WavWriter(DataSourceArrowWriter):
+    """Rows of a task, in order of frame and channel, to one file a unit."""
+
+    def __init__(self, path: str, channels: int, width: int, rate: int, frames: int):
+        self.path, self.channels, self.width, self.rate, self.frames, self.job = path, channels, width, rate, frames, uuid.uuid4().hex
+
+    def _store(self):
+        return located(self.path)
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
+        store, inner = self._store()
+        store.create_dir(inner)
+        done: list[tuple[str, str]] = []
+        own: list[np.ndarray] = []
+        unit = None
+
+        def close() -> None:
+            if unit is None:
+                return
+            rows = np.concatenate(own, axis=1)
+            n = rows.shape[1] // self.channels
+            first = unit * self.frames
+            if n * self.channels != rows.shape[1] or (rows[0] != np.tile(np.arange(self.channels), n)).any() or (rows[1] != np.repeat(first + np.arange(n), self.channels)).any():
+                raise ValueError(f"frames from {first} on are not whole, or not in order")
+            body = pcm(rows[2], self.width)
+            aside, final = f"{inner}/_{self.job}-{uuid.uuid4().hex}", f"{inner}/frames-{first:015d}.wav"
+            with store.open_output_stream(aside) as f:
+                f.write(riff_header(self.channels, self.rate, self.width, len(body)) + body + b"\0" * (len(body) % 2))
+            done.append((aside, final))
+            own.clear()
+
+        for batch in batches:
+            rows = np.stack([batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("channel", "frame", "x")])
+            cuts = np.flatnonzero(np.diff(rows[1] // self.frames)) + 1
+            for part in np.split(rows, cuts, axis=1):
+                if part.shape[1]:
+                    if part[1, 0] // self.frames != unit:
+                        close()
+                        unit = int(part[1, 0] // self.frames)
+                    own.append(part)
+        close()
+        return Written(done)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        store, _ = self._store()
+        for message in messages:
+            for aside, final in message.files if message else []:
+                store.move(aside, final)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        store, inner = self._store()
+        for found in store.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
+            if found.base_name.startswith(f"_{self.job}-"):
+                store.delete_file(found.path)
+
+
+def write_wav(df: DataFrame, path: str, channels: int, width: int = 3, rate: int = 48000, frames_per_file: int = 1 << 20) -> None:
+    """Write (channel, frame, x) to WAV files of frames_per_file frames, one task or more for each group of files."""
+    df.sparkSession.dataSource.register(WavSource)
+    dealt = df.select(F.col("channel").cast("int"), "frame", "x").repartition(F.floor(F.col("frame") / frames_per_file)).sortWithinPartitions("frame", "channel")
+    options = {"channels": channels, "width": width, "rate": rate, "frames_per_file": frames_per_file}
+    dealt.write.format("wav_pcm").mode("append").options(**options).save(path)
+
+
+def wav_files(path: str) -> list[str]:
+    """The files that write_wav left in a folder, in order of their frames."""
+    store, inner = located(path)
+    names = sorted(x.base_name for x in store.get_file_info(fs.FileSelector(inner)) if x.base_name.endswith(".wav"))
+    return [f"{path}/{n}" for n in names]
+
+
+def first_frame(path: Column | str) -> Column:
+    """The first frame of a file that write_wav has named."""
+    return F.regexp_extract(path, r"frames-(\d+)\.wav$", 1).cast("long")
+
+
 class WavSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -104,3 +218,7 @@ class WavSource(DataSource):
 
     def reader(self, schema) -> WavReader:
         return WavReader(self.options["path"].split(","), int(self.options.get("frames_per_task", 1 << 20)))
+
+    def writer(self, schema, overwrite: bool) -> WavWriter:
+        o = self.options
+        return WavWriter(o["path"], int(o["channels"]), int(o.get("width", 3)), int(o.get("rate", 48000)), int(o.get("frames_per_file", 1 << 20)))

@@ -1,11 +1,13 @@
 """WAV files written by hand, read by ranges."""
 
+import os
 import struct
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from framewright.sources.wav import WavSource, header
+from framewright.sources.wav import WavSource, first_frame, header, riff_header, wav_files, write_wav
 
 
 def wav(values, channels, width, extra=b""):
@@ -33,3 +35,34 @@ def test_bad_headers():
     with pytest.raises(ValueError):
         header(b"nothing at all", 14)
     assert header(wav([], 1, 2)[:20], 100) is None
+
+
+@pytest.mark.parametrize("width", [2, 3])
+def test_write(spark, width):
+    rail = 1 << (8 * width - 1)
+    values = [(k * 7919) % (2 * rail) - rail for k in range(2100)] + [-rail, rail - 1, -1]
+    rows = [(k % 3, k // 3, v) for k, v in enumerate(values)]
+    path = tempfile.mkdtemp(prefix="framewright-wav-")
+    write_wav(spark.createDataFrame(rows, "channel int, frame long, x long").repartition(4), path, 3, width, frames_per_file=100)
+    names = [x.rsplit("/", 1)[1] for x in wav_files(path)]
+    assert names == [f"frames-{k:015d}.wav" for k in range(0, 701, 100)] and sorted(os.listdir(path)) == names
+    with open(f"{path}/{names[0]}", "rb") as f:
+        assert f.read() == wav(values[:300], 3, width)
+    spark.dataSource.register(WavSource)
+    back = spark.read.format("wav_pcm").option("path", ",".join(wav_files(path))).load()
+    got = back.withColumn("frame", F.col("frame") + first_frame("path")).select("channel", "frame", "x")
+    assert sorted(map(tuple, got.collect())) == sorted(rows)
+
+
+def test_a_failed_write_leaves_no_file(spark):
+    path = tempfile.mkdtemp(prefix="framewright-wav-")
+    for rows in ([(0, 0, 1), (1, 0, 2), (0, 1, 3)], [(0, 0, 1 << 23), (1, 0, 0)]):
+        with pytest.raises(Exception, match="not whole|do not fit"):
+            write_wav(spark.createDataFrame(rows, "channel int, frame long, x long"), path, 2)
+    assert wav_files(path) == []
+
+
+def test_headers_of_large_files():
+    small, large = riff_header(2, 48000, 3, 600), riff_header(2, 48000, 3, 6 * 10**9)
+    assert header(small, len(small) + 600) == (44, 600, 2, 48000, 3)
+    assert large[:4] == b"RF64" and header(large, len(large) + 6 * 10**9) == (len(large), 6 * 10**9, 2, 48000, 3)
