@@ -20,7 +20,8 @@ join and window. The driver sees k * k numbers a round, k the number of shards.
 Only DataFrame functions are used.
 
 Defined cases: a null text has size 1 and the checksum of no bytes; null texts are
-one group. Null or repeated ids are allowed, each row gets its own slot. With no
+one group. Null or repeated ids are allowed, each row gets its own slot; rows without
+an id are spread by the number that they are written with. With no
 rows the result is empty; with fewer rows than shards some shards stay empty.
 Group ties are broken by hash. Only the id and text columns are read.
 """
@@ -30,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.scratch import drop_path, write_table
+from framewright.scratch import Tables, drop_path, write_table
 
 #: Rows of a group, or of a numbering block, that may meet in one task.
 SALT_ROWS, BLOCK_ROWS = 5_000, 10_000
@@ -54,24 +55,27 @@ def balanced_shards(nodes: DataFrame, shards: int = 8, rounds: int = 5) -> DataF
     sizes = nodes.groupBy("group").agg(F.count(F.lit(1)).alias("_n"))
     sizes, sizes_path = write_table(sizes.filter("_n > 1"), "shard-groups")  # written, so that the join can split a hot group
     sized = nodes.join(sizes, "group", "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
-    rows = sized.withColumn("_salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / SALT_ROWS))).withColumn("_shard", F.pmod(F.xxhash64("id", F.lit("start")), F.lit(shards)).cast("int"))
-    rows, _ = write_table(rows, "shard-rows")
+    sized = sized.withColumn("_tag", F.when(F.col("id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("id")))
+    rows, _ = write_table(sized.withColumn("_shard", F.pmod(F.xxhash64("_tag", F.lit("start")), F.lit(shards)).cast("int")), "shard-rows")
+    rows = rows.withColumn("_salt", F.pmod(F.col("_tag"), F.ceil(F.col("_n") / SALT_ROWS)))
     drop_path(nodes.sparkSession, sizes_path)
     total = rows.count()
     quota = {s: total // shards + (s < total % shards) for s in range(shards)}
 
-    linked, path = rows.filter("_n > 1"), None
+    linked, path, tables = rows.filter("_n > 1"), None, Tables(nodes.sparkSession)
     for k in range(rounds):
-        moves = _asks(linked, quota, k)
+        moves = _asks(linked, quota, k, tables)
         if moves is None:
             break
         salted = moves.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / SALT_ROWS) - 1))).drop("_n")
         moved = linked.join(salted, ["group", "_shard", "_salt"], "left")
-        granted = F.when(F.col("_n") <= WHOLE, _unit("group", F.lit(k))).otherwise(_unit("id", "group", F.lit(k))) < F.col("_grant")
+        granted = F.when(F.col("_n") <= WHOLE, _unit("group", F.lit(k))).otherwise(_unit("_tag", "group", F.lit(k))) < F.col("_grant")
         linked_new, new_path = write_table(moved.withColumn("_shard", F.when(granted, F.col("_to")).otherwise(F.col("_shard"))).select(rows.columns), "shard-labels")
         if path:
             drop_path(nodes.sparkSession, path)
         linked, path = linked_new, new_path
+        tables.close()
+    tables.close()
     return _numbered(linked.unionByName(rows.filter("_n = 1")), quota, total).select(*keep, "shard", "slot")
 
 
@@ -96,9 +100,9 @@ def grants(flows: dict[tuple[int, int], int], room: dict[int, int]) -> dict[tupl
     return share
 
 
-def _asks(linked: DataFrame, quota: dict[int, int], k: int) -> DataFrame | None:
+def _asks(linked: DataFrame, quota: dict[int, int], k: int, tables: Tables) -> DataFrame | None:
     """group, _shard, _n, _to, _grant: the cells that ask to move and the share of asks to grant; None if none does."""
-    cells, _ = write_table(linked.groupBy("group", "_shard").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n")), "shard-cells")
+    cells = tables.write(linked.groupBy("group", "_shard").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n")), "shard-cells")
     load = {r[0]: r[1] for r in cells.groupBy("_shard").agg(F.sum("_c")).collect()}
     room = {s: q - (load.get(s) or 0) for s, q in quota.items()}
     weight = F.struct("_c", F.xxhash64("group", "_shard", F.lit(k)).alias("h"), F.col("_shard").alias("s"))
@@ -116,14 +120,14 @@ def _asks(linked: DataFrame, quota: dict[int, int], k: int) -> DataFrame | None:
 def _numbered(rows: DataFrame, quota: dict[int, int], total: int) -> DataFrame:
     """shard and slot: numbers within quotas stay, those beyond take the free slots of other shards."""
     blocks = total // (len(quota) * BLOCK_ROWS) + 1
-    order = F.when(F.col("_n") > 1, F.xxhash64("group", "_salt")).otherwise(F.xxhash64("id", "group"))
+    order = F.when(F.col("_n") > 1, F.xxhash64("group", "_salt")).otherwise(F.xxhash64("_tag", "group"))
     placed = rows.withColumn("_order", order).withColumn("_single", (F.col("_n") == 1).cast("int")).withColumn("_block", F.pmod("_order", F.lit(blocks)))
     place = ["_shard", "_single", "_block"]
     counts = placed.groupBy(*place).agg(F.count(F.lit(1)).alias("_rows"))
     offsets = counts.withColumn("_offset", F.sum("_rows").over(Window.partitionBy("_shard").orderBy("_single", "_block")) - F.col("_rows")).drop("_rows")
     have = {r[0]: r[1] for r in counts.groupBy("_shard").agg(F.sum("_rows")).collect()}
     numbered = (
-        placed.withColumn("_at", F.row_number().over(Window.partitionBy(*place).orderBy("_order", "id")) - 1)
+        placed.withColumn("_at", F.row_number().over(Window.partitionBy(*place).orderBy("_order", "_tag")) - 1)
         .join(offsets, place)
         .withColumn("_rank", F.col("_offset") + F.col("_at"))
     )

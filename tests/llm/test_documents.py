@@ -221,6 +221,18 @@ def test_a_group_of_a_third_of_all_rows(spark):
     check_rows_law(sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), rounds=3).collect(), 8)
 
 
+def test_rows_without_an_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SALT_ROWS", 100)
+    rows = [(None, "same" if k % 3 == 0 else f"text {k}") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    check_rows_law(sharding.shard_documents(docs, rounds=2).collect(), 8)
+    nodes = docs.selectExpr("doc_id as id", "md5(text) as group")
+    seen = []
+    monkeypatch.setattr(sharding, "_numbered", lambda rows, quota, total: seen.append(rows) or rows.withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0)))
+    sharding.balanced_shards(nodes, rounds=0)
+    assert max(r["count"] for r in seen[0].groupBy("group", "_salt").count().collect()) < 300
+
+
 # Decontamination
 
 
