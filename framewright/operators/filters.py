@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.operators.mixing import literals
 from framewright.operators.ordered import last_known, neighbours, running_sum
 
 
@@ -40,12 +41,13 @@ def upsample(df: DataFrame, key: list[str], order: str, value: str, taps: list[i
     return split.select(*key, (F.col(order) * factor + F.col("_p")).alias(order), "y")
 
 
-def spread(signal: DataFrame, taps: DataFrame) -> DataFrame:
+def spread(signal: DataFrame, taps: list[tuple[int, int]]) -> DataFrame:
     """channel, frame, y: each sample's share at each frame it reaches through the taps (lag, gain)."""
-    return signal.crossJoin(taps).select("channel", (F.col("frame") + F.col("lag")).alias("frame"), (F.col("x") * F.col("gain")).alias("y"))
+    each = signal.select("channel", "frame", "x", F.explode(literals(taps, ["lag", "gain"])).alias("t"))
+    return each.select("channel", (F.col("frame") + F.col("t.lag").cast("long")).alias("frame"), (F.col("x") * F.col("t.gain").cast("long")).alias("y"))
 
 
-def scatter(signal: DataFrame, taps: DataFrame) -> DataFrame:
+def scatter(signal: DataFrame, taps: list[tuple[int, int]]) -> DataFrame:
     """channel, frame, y for the signal's own frames: the sparse filter's output."""
     own = signal.select("channel", "frame", F.lit(0).cast("long").alias("y"), F.lit(1).alias("_own"))
     reached = spread(signal, taps).withColumn("_own", F.lit(0))

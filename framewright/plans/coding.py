@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framewright.functions import bits
-from framewright.operators import recursions
+from framewright.operators import mixing, recursions
 from framewright.plans.registry import query
 from framewright.plans.views import Views
 
@@ -99,8 +99,7 @@ def _unmixed(grids: dict, live: np.ndarray) -> dict:
 )
 def _(v: Views):
     """Three sources in one carrier and two residuals a frame, taken apart again; units of 833 frames start anew."""
-    one = lambda ch, n: v.sig.filter(_c("channel") == ch).select("frame", _c("x").alias(n))
-    all3 = one("view", "a").join(one("click", "b"), "frame").join(one("error", "c"), "frame").withColumn("unit", F.floor(_c("frame") / 833).cast("long"))
+    all3 = mixing.side_by_side(v.sig, {"a": "view", "b": "click", "c": "error"}).dropna().withColumn("unit", F.floor(_c("frame") / 833).cast("long"))
     w = Window.partitionBy("unit").orderBy("frame")
     place = F.row_number().over(w)
     residual = lambda n: _c(n) - F.when(place > 2, 2 * F.lag(n, 1).over(w) - F.lag(n, 2).over(w)).when(place == 2, F.lag(n, 1).over(w)).otherwise(0)

@@ -194,7 +194,7 @@ _RULE_SQL = "rules(src, dst, q23) as (values " + ", ".join(f"('{a}', '{b}', {g}:
 def _(v: Views):
     from framewright.operators import mixing
 
-    return mixing.mix(v.sig, v.spark.createDataFrame(_RULES, "src string, dst string, q23 long"))
+    return mixing.mix(v.sig, _RULES)
 
 
 @query(
@@ -205,7 +205,7 @@ def _(v: Views):
 def _(v: Views):
     from framewright.operators import mixing
 
-    gains = v.spark.createDataFrame([("view", 0.5), ("click", 1.0), ("error", 2.0), ("signup", 1.25), ("purchase", 0.0)], "channel string, scaler double")
+    gains = [("view", 0.5), ("click", 1.0), ("error", 2.0), ("signup", 1.25), ("purchase", 0.0)]
     return mixing.rescale(v.sig, gains).select("channel", "frame", _c("x").alias("y"))
 
 
@@ -342,8 +342,9 @@ def _(v: Views):
 )
 def _(v: Views):
     """A pair of channels to 24-bit WAV files of 4096 frames, and back by ranges of 1000."""
-    one = lambda ch: v.sig.filter(_c("channel") == ch).select("frame", "x")
-    pair = one("view").join(one("click").withColumnRenamed("x", "r"), "frame")
+    from framewright.operators import mixing
+
+    pair = mixing.side_by_side(v.sig, {"x": "view", "r": "click"}).dropna()
     path = new_path(v.spark, "wav")
     long = pair.select("frame", F.posexplode(F.array("x", "r")).alias("channel", "x"))
     wav.write_wav(long, path, 2, frames_per_file=4096)

@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from framewright.operators import recursions
+from framewright.operators import mixing, recursions
 from framewright.operators.ordered import neighbours
 from framewright.plans.registry import query
 from framewright.plans.views import Views
@@ -75,8 +75,7 @@ def _(v: Views):
 )
 def _(v: Views):
     """The gain that keeps the sum of two sources below a ceiling, by block, with smooth release."""
-    one = lambda ch, n: v.sig.filter(_c("channel") == ch).select("frame", _c("x").alias(n))
-    peaks = one("view", "a").join(one("click", "b"), "frame").groupBy(F.floor(_c("frame") / 32).cast("long").alias("blk")).agg(F.max(F.abs(_c("a") + _c("b"))).alias("peak"))
+    peaks = mixing.side_by_side(v.sig, {"a": "view", "b": "click"}).dropna().groupBy(F.floor(_c("frame") / 32).cast("long").alias("blk")).agg(F.max(F.abs(_c("a") + _c("b"))).alias("peak"))
     target = peaks.select(F.lit("sum").alias("pair"), "blk", "peak", F.least(F.lit(1.0), F.lit(8000000.0) / F.nullif(_c("peak"), F.lit(0).cast("long"))).alias("target"))
     gains = recursions.scan(target.drop("peak"), "pair", "blk", "target", recursions.released_gain(0.75), "gain")
     return peaks.join(gains.select("blk", "gain"), "blk").select("blk", "peak", F.round("gain", 9).alias("gain"))
@@ -125,8 +124,7 @@ def _unmixed(grids: dict, live: np.ndarray) -> dict:
 @query("unmix_roundtrip", "select a.frame, a.x as a, b.x as b, a.x + b.x as carrier, true as complete from sig a join sig b on a.frame = b.frame and b.channel = 'click' where a.channel = 'view'")
 def _(v: Views):
     """Two sources in one carrier and a residual, taken apart again; units of 832 frames start anew."""
-    one = lambda ch, n: v.sig.filter(_c("channel") == ch).select("frame", _c("x").alias(n))
-    both = one("view", "a").join(one("click", "b"), "frame").withColumn("unit", F.floor(_c("frame") / 832).cast("long"))
+    both = mixing.side_by_side(v.sig, {"a": "view", "b": "click"}).dropna().withColumn("unit", F.floor(_c("frame") / 832).cast("long"))
     from pyspark.sql import Window
 
     w = Window.partitionBy("unit").orderBy("frame")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framewright.functions import fixed
-from framewright.operators import filters, ordered
+from framewright.operators import filters, mixing, ordered
 from framewright.operators.ordered import neighbours
 from framewright.plans.registry import query
 from framewright.plans.views import Views
@@ -200,16 +200,14 @@ _FAR_SQL = "tap(lag, gain) as (values " + ", ".join(f"({a}::bigint, {b}::bigint)
 @query("sparse_fir_join", _FAR_SQL + " select s.channel, s.frame, cast(coalesce(sum(p.x * t.gain), 0) as bigint) as y from sig s cross join tap t left join sig p on p.channel = s.channel and p.frame = s.frame - t.lag group by 1, 2")
 def _(v: Views):
     """Taps far apart: every sample is sent to the places it is heard at, then added up; no long windows."""
-    taps = F.broadcast(v.spark.createDataFrame(_FAR, "lag long, gain long"))
-    return filters.scatter(v.sig, taps)
+    return filters.scatter(v.sig, _FAR)
 
 
 @query("fir_convolve_join", "ir(lag, gain) as (values (0::bigint, 8::bigint), (1::bigint, 4::bigint), (2::bigint, 2::bigint), (3::bigint, 1::bigint)) select s.frame, cast(sum(p.x * t.gain) as bigint) as y from (select distinct frame from sig) s cross join ir t join sig p on p.frame = s.frame - t.lag group by 1")
 def _(v: Views):
     """All channels through one impulse response, added; the tail beyond the last frame is cut."""
-    taps = F.broadcast(v.spark.createDataFrame([(0, 8), (1, 4), (2, 2), (3, 1)], "lag long, gain long"))
-    frames = v.sig.select("frame").distinct()
-    return filters.spread(v.sig, taps).groupBy("frame").agg(F.sum("y").alias("y")).join(frames, "frame", "left_semi")
+    own = v.sig.groupBy("frame").agg(F.sum("x").alias("x")).select(F.lit("all").alias("channel"), "frame", "x")
+    return filters.scatter(own, [(0, 8), (1, 4), (2, 2), (3, 1)]).select("frame", "y")
 
 
 @query(
@@ -247,8 +245,8 @@ _FOLD = [("view", 501), ("click", 708), ("error", -250)]
 
 @query("weighted_fold", "w(channel, g) as (values ('view', 501::bigint), ('click', 708::bigint), ('error', -250::bigint)) select frame, cast(sum(x * g) // 1000 as bigint) as y from sig join w using (channel) group by frame")
 def _(v: Views):
-    weights = F.broadcast(v.spark.createDataFrame(_FOLD, "channel string, g long"))
-    return v.sig.join(weights, "channel").groupBy("frame").agg(fixed.trunc_div(F.sum(_c("x") * _c("g")), F.lit(1000).cast("long")).alias("y"))
+    weight = F.try_element_at(F.create_map(*[F.lit(x) for pair in _FOLD for x in pair]), _c("channel")).cast("long")
+    return v.sig.withColumn("g", weight).filter("g is not null").groupBy("frame").agg(fixed.trunc_div(F.sum(_c("x") * _c("g")), F.lit(1000).cast("long")).alias("y"))
 
 
 @query("mirror_fold", "select event_id, case event_id % 4 when 0 then 2000 - v when 1 then -v when 2 then 2 * 500 - v else v end as px from (select event_id, cast(floor(value) as bigint) as v from events)")
@@ -266,11 +264,10 @@ def _(v: Views):
     select blk, round(case when mid + side > 0 then mid / (mid + side) else 0.5 end, 9) as ratio, mid > 2 * side as centered from g""",
 )
 def _(v: Views):
-    left = v.sig.filter("channel = 'view'").select("frame", _c("x").alias("l"))
-    right = v.sig.filter("channel = 'click'").select("frame", _c("x").alias("r"))
+    pair = mixing.side_by_side(v.sig, {"l": "view", "r": "click"}).dropna()
     mid, side = _c("l") + _c("r"), _c("l") - _c("r")
     blk = fixed.trunc_div("frame", F.lit(32).cast("long"))
-    energy = left.join(right, "frame").groupBy(blk.alias("blk")).agg(F.sum(mid * mid).alias("mid"), F.sum(side * side).alias("side"))
+    energy = pair.groupBy(blk.alias("blk")).agg(F.sum(mid * mid).alias("mid"), F.sum(side * side).alias("side"))
     ring = lambda n: lambda w: F.sum(n).over(w.rowsBetween(-15, 0)).cast("double")
     sums = neighbours(energy, [], "blk", {"m": ring("mid"), "s": ring("side")}, before=15)
     ratio = F.when(_c("m") + _c("s") > 0, _c("m") / (_c("m") + _c("s"))).otherwise(0.5)
@@ -280,8 +277,7 @@ def _(v: Views):
 @query("pair_mix", "select a.frame, (a.x + b.x) // 2 + (case when c.x is null then 0 else c.x >> 8 end) as x from sig a join sig b on a.frame = b.frame and b.channel = 'click' left join sig c on c.frame = a.frame and c.channel = 'error' where a.channel = 'view'")
 def _(v: Views):
     """Two sources and a small residual in one carrier."""
-    one = lambda ch, n: v.sig.filter(_c("channel") == ch).select("frame", _c("x").alias(n))
-    both = one("view", "a").join(one("click", "b"), "frame").join(one("error", "r"), "frame", "left")
+    both = mixing.side_by_side(v.sig, {"a": "view", "b": "click", "r": "error"}).dropna(subset=["a", "b"])
     return both.select("frame", (fixed.trunc_div(_c("a") + _c("b"), F.lit(2).cast("long")) + F.coalesce(F.shiftright("r", 8), F.lit(0).cast("long"))).alias("x"))
 
 
@@ -290,8 +286,7 @@ def _(v: Views):
     "select a.frame, case a.frame % 3 when 0 then a.x + (b.x + c.x) // 4 when 1 then b.x + (a.x + c.x) // 4 else c.x + (a.x + b.x) // 4 end as x from sig a join sig b on a.frame = b.frame and b.channel = 'click' join sig c on a.frame = c.frame and c.channel = 'error' where a.channel = 'view'",
 )
 def _(v: Views):
-    one = lambda ch, n: v.sig.filter(_c("channel") == ch).select("frame", _c("x").alias(n))
-    three = one("view", "a").join(one("click", "b"), "frame").join(one("error", "c"), "frame")
+    three = mixing.side_by_side(v.sig, {"a": "view", "b": "click", "c": "error"}).dropna()
     four = F.lit(4).cast("long")
     phase = _c("frame") % 3
     x = F.when(phase == 0, _c("a") + fixed.trunc_div(_c("b") + _c("c"), four)).when(phase == 1, _c("b") + fixed.trunc_div(_c("a") + _c("c"), four)).otherwise(_c("c") + fixed.trunc_div(_c("a") + _c("b"), four))
