@@ -2,8 +2,9 @@
 
 ``sig`` is the long form of a multichannel signal: one row per channel and frame
 with a signed 24-bit sample. ``frame`` numbers a channel's rows in time order. The
-numbering goes by time buckets: rows are ranked within a bucket and a running sum
-over the bucket counts gives the offsets, so no task sees a whole channel.
+numbering goes by minutes: rows are ranked within a minute and a running sum over the
+counts of a channel's minutes, some half a million a year, gives the offsets, so no
+task sees a whole channel.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ class Views:
 def signal(events: DataFrame, channel: str) -> DataFrame:
     """The long form of a signal whose channels are a column of events."""
     bucket = F.unix_timestamp("ts").cast("long")
-    keyed = events.select(F.col(channel).alias("channel"), "ts", "event_id", "value", F.floor(bucket / 3600).alias("_bucket"))
+    keyed = events.select(F.col(channel).alias("channel"), "ts", "event_id", "value", F.floor(bucket / 60).alias("_bucket"))
     counts = keyed.groupBy("channel", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     running = F.sum("_n").over(Window.partitionBy("channel").orderBy("_bucket")) - F.col("_n")
     offsets = counts.select("channel", "_bucket", running.alias("_offset"))
