@@ -202,7 +202,7 @@ def parse(html: str) -> Page:
         if attributes.rstrip().endswith("/") and tag not in BLOCKS:
             continue
         count[tag] += 1
-        aside, hidden = _looks(tag, attributes, count["article"] > 0)
+        aside, hidden = _looks(tag, attributes, count["article"] + count["main"] > 0)
         if aside:
             end_line()
             levels[tag].append(len(page.asides))

@@ -34,6 +34,12 @@ def test_wrappers_names_and_lists(page):
     assert html_extract.main_text(f"<html><body>{page}</body></html>") == BODY.strip()
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_an_article_has_its_own_header(tag):
+    page = f"<body><header><p>site</p></header><{tag}><header class='page-header'><h1>Title</h1></header><p>{BODY}</p></{tag}></body>"
+    assert html_extract.main_text(page) == f"Title\n\n{BODY.strip()}"
+
+
 @pytest.mark.parametrize(
     ("name", "noise"),
     [("ad", True), ("ad-slot", True), ("google-ads", True), ("siteFooter", True), ("site-footer", True), ("comment-list", True), ("main-nav", True), ("related-posts", True), ("widget_area", True)]
