@@ -43,13 +43,13 @@ from pyspark.sql import functions as F
 from framewright.llm import charsets, worker
 
 #: Words whose ids a Python worker keeps, and the longest word kept.
-WORDS_KEPT, WORD_LENGTH_KEPT = 400_000, 64
+WORDS_KEPT, WORD_LENGTH_KEPT = 200_000, 64
 #: Letters after which a transducer looks for stable tokens.
 STEP = 16
 #: Words whose ids go to the decoder at a time.
 PIECE = 1024
 #: Pairs of tokens whose compatibility a worker keeps.
-PAIRS_KEPT = 200_000
+PAIRS_KEPT = 100_000
 
 # The split of byte-level files, and that of files that drop white space.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -105,7 +105,6 @@ class BpeTable:
         self.added = {x["content"]: x["id"] for x in made.get("added_tokens", [])}
         self.by_bytes = decoder is not None
         self.normalizer, self.splitter = made.get("normalizer"), made.get("pre_tokenizer")
-        self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         bodies = [t.removesuffix(self.suffix) if self.suffix else t for t in self.vocab]
         self.begun = {t[:k] for t in bodies for k in range(1, len(t) + 1)}  # what tokens begin with
         self.longest = max(map(len, bodies))
@@ -292,6 +291,7 @@ class Encoder(dict):
     def __init__(self, path: str):
         self.table = BpeTable(path)
         self.splitter = Splitter(self.table)
+        self.decoder = Decoder(self.table)
         self.letters = byte_letters()
         self.split_added = re.compile("(" + "|".join(map(re.escape, self.table.added)) + ")") if self.table.added else None
 
@@ -328,14 +328,14 @@ class Decoder:
     """Ids to bytes to text, in pieces; only an unfinished character and the place are kept."""
 
     def __init__(self, table: BpeTable):
-        self.names = table.names
         self.by_bytes = table.by_bytes
         self.added = set(table.added.values())
         bytes_of = {c: b for b, c in byte_letters().items()}
+        names = {i: t for t, i in table.vocab.items()} | {i: t for t, i in table.added.items()}
         if self.by_bytes:
-            self.bytes = {str(i): (x.encode() if i in self.added else bytes(map(bytes_of.__getitem__, x))) for i, x in self.names.items()}
+            self.bytes = {str(i): (x.encode() if i in self.added else bytes(map(bytes_of.__getitem__, x))) for i, x in names.items()}
         else:
-            self.bytes = {str(i): x.encode() for i, x in self.names.items()}
+            self.bytes = {str(i): x.encode() for i, x in names.items()}
         self.between = b"" if self.by_bytes else b" "
         self.restart()
 
@@ -380,9 +380,10 @@ def encoder(path: str) -> Encoder:
 
 
 def _encoding(path: str, id_col: str, as_text: bool):
+    @worker.releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        decoder = Decoder(own.table)
+        decoder = own.decoder
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)

@@ -184,6 +184,7 @@ def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def _document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
+    @worker.releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, seen = np.zeros(SIZE, np.int64), 0, np.zeros(SIZE, bool)
         for batch in batches:
@@ -217,6 +218,7 @@ def shares(counts: dict[str, int], sample_rows: int) -> dict[str, float]:
 
 
 def _sample(docs: DataFrame, share: dict[str, float], id_col: str, text_col: str, label_col: str) -> list[tuple[np.ndarray, np.ndarray, str]]:
+    @worker.releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sparse_features(x) for x in batch.column(0).to_pylist()]
@@ -254,6 +256,7 @@ def predict(docs: DataFrame, model: Model, id_cols: tuple[str, ...] = ("doc_id",
     """Per row: the columns to keep, lang_pred and score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS weights a language
 
+    @worker.releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = sent.value.predict([x or "" for x in batch.column(batch.num_columns - 1).to_pylist()])

@@ -41,7 +41,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,6 +147,7 @@ def _halves(digests: list[bytes]) -> np.ndarray:
 
 
 def _counting(min_chars: int):
+    @worker.releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter[bytes] = Counter()
@@ -200,6 +200,7 @@ def free_name(columns: list[str], name: str) -> str:
 
 
 def _dropping(sent, min_chars: int, names: list[str], text_col: str, added: list[str]):
+    @worker.releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = _tester(sent)
         for batch in batches:
@@ -225,18 +226,18 @@ def _dropping(sent, min_chars: int, names: list[str], text_col: str, added: list
 def _updating(min_docs: int):
     """Brings one shard's filter up to date with the keys that are or were in it."""
 
-    def run(key, old: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, old: pa.Table, keys: pa.Table) -> pa.Table:
         now = keys["n"].to_numpy() >= min_docs
         was = keys["n_old"].to_numpy() >= min_docs
-        hi, lo = keys["hi"].to_numpy(np.int64), keys["lo"].to_numpy(np.int64)
-        done = len(old) > 0
+        hi, lo = keys["hi"].to_numpy(), keys["lo"].to_numpy()
+        done = old.num_rows > 0
         if done:
-            own = CuckooFilter.from_bytes(old["table"].iloc[0])
+            own = CuckooFilter.from_bytes(old["table"][0].as_py())
             gone, new = np.flatnonzero(was & ~now), np.flatnonzero(now & ~was)
             done = all([own.delete(int(hi[k]), int(lo[k])) for k in gone]) and all(own.insert(int(hi[k]), int(lo[k])) for k in new)
         if not done:
             own = CuckooFilter.holding(hi[now], lo[now])
-        return pd.DataFrame({"shard": [int(key[0])], "table": [own.to_bytes()]})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "table": pa.array([own.to_bytes()], pa.binary())})
 
     return run
 
@@ -323,7 +324,7 @@ class LineIndex:
         made = (
             filters.groupBy("shard")
             .cogroup(touched.withColumn("shard", shard).groupBy("shard"))
-            .applyInPandas(_updating(self.min_docs), FILTER_SCHEMA)
+            .applyInArrow(_updating(self.min_docs), FILTER_SCHEMA)
         )
         made.write.mode("overwrite").parquet(table % "filters")
         drop_path(self.spark, table % "change")
@@ -339,6 +340,7 @@ class LineIndex:
         """Keys that the filters accept though they are not to be dropped; None if too many to send along."""
         sent = self._broadcast(set())
 
+        @worker.releasing
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             test = _tester(sent)
             for batch in batches:
@@ -372,6 +374,7 @@ class LineIndex:
         """
         min_chars = self.min_chars
 
+        @worker.releasing
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keys = [line_keys(x) for x in batch.column(1).to_pylist()]

@@ -222,6 +222,7 @@ def _binary(values: list[bytes]) -> pa.Array:
     return pa.array([v or None for v in values], pa.binary())
 
 
+@worker.releasing
 def _banding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         given = batch.column(1).to_pylist()
@@ -267,6 +268,7 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+@worker.releasing
 def _shingling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The packed shingles of each text."""
     for batch in batches:
@@ -286,6 +288,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _verifying(least: float):
+    @worker.releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.store("near_dedup")
         for batch in batches:
@@ -320,6 +323,7 @@ def candidates(nodes: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
     return pairs.distinct(), met
 
 
+@worker.releasing
 def _unpacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, token: one row for each packed shingle."""
     for batch in batches:
@@ -342,10 +346,12 @@ def left_open(met: DataFrame, labels: DataFrame, held: DataFrame, least: float,
     told = met.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     told = tables.write(told.select("node", "size", "label", "band", "bucket"), "near-told")
     mixed = told.groupBy("band", "bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    some = told.join(mixed.select("band", "bucket").hint("merge"), ["band", "bucket"], "left_semi").select("node", "size", "label").distinct()
+    mixed = tables.write(mixed.select("band", "bucket"), "near-mixed")
+    some = told.join(mixed.hint("merge"), ["band", "bucket"], "left_semi").select("node", "size", "label").distinct()
     some = tables.write(some, "near-some")
     tokens = held.join(some.select("node").hint("merge"), "node", "left_semi").select("node", "shingles").mapInArrow(_unpacking, "node binary, token long")
     tokens = tables.write(tokens, "near-tokens")
+    # Aggregates are written before they are joined: a hot shingle or bucket on the other side can then be split.
     shared = tables.write(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "near-df")
     ordered = tokens.join(shared.hint("merge"), "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     t, share = F.lit(least), least / (1 + least)
@@ -362,7 +368,8 @@ def left_open(met: DataFrame, labels: DataFrame, held: DataFrame, least: float,
     rows = tables.write(rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")), "near-early")
     key = ["token", "low", "high"]
     per = rows.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("m")).groupBy(*key).agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all")).filter("all > top.m")
-    rows = tables.write(rows.join(per.select(*key, F.col("top.label").alias("top")).hint("merge"), key), "near-groups")
+    per = tables.write(per.select(*key, F.col("top.label").alias("top")), "near-tops")
+    rows = tables.write(rows.join(per.hint("merge"), key), "near-groups")
     one = rows.filter("label <> top").select("token", "own", "other", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "size", "place")])
     two = rows.select("token", F.col("own").alias("other"), F.col("other").alias("own"), *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "size", "place")])
     need = (F.col("x_size") + F.col("y_size")) * share - 1e-6
@@ -410,7 +417,6 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"), F.max("bands").alias("bands"), F.max("size").alias("size"))
     nodes = tables.write(nodes, "near-nodes")
     pairs, met = candidates(nodes, tables)
-    pairs = tables.write(pairs, "near-pairs")
     wanted = met.select("node").distinct()
     # Merge joins at every size: the shingles move alike, however few pairs there are.
     texts = docs.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull()).mapInArrow(_shingling, "node binary, shingles binary")
@@ -423,7 +429,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
 
     labels, path = components(stars(linked(pairs)))
     tables.paths.append(path)
-    more = linked(tables.write(left_open(met, labels, held, least, tables), "near-open"))
+    more = linked(left_open(met, labels, held, least, tables))
     if more.limit(1).count():
         ends = [labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label")) for x in ("a", "b")]
         between = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).distinct()
