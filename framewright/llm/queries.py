@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe, decontam, html_extract, language_id, license_scan, license_sql, line_dedup, near_dedup, quality, sharding, token_counts
+from framewright.llm import bpe, decontam, html_extract, language_id, license_scan, license_sql, line_dedup, merkle, merkle_sql, near_dedup, packing, quality, sharding, token_counts, whitening
 from framewright.scratch import new_path
 from framewright.session import table
 
@@ -66,6 +66,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(table(spark, sf_dir, "documents"), quality.Rules(), with_text=False)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = ["doc_id", "source", "lang", "n_chars", "text"]
+    altered = merkle.leaf([F.col("n_chars") + 1 if c == "n_chars" else c for c in told])
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    made = merkle.manifest(table(spark, sf_dir, "documents"), merkle.leaf(told), "lang", "doc_id", {"altered": F.when(chosen, altered)})
+    proved = merkle.verified(made, F.coalesce("altered", "leaf"))
+    return proved.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=2048)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deviation is null where a long cannot hold it; the operator has it as decimal."""
+    done = whitening.whiten(table(spark, sf_dir, "embeddings"), keep=4)
+    return done.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 _LINE_DEDUP_SQL = """
 with lines as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
@@ -122,6 +141,9 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "op11_merkle": op11_merkle,
+    "op12_packing": op12_packing,
+    "op13_whitening": op13_whitening,
 }
 
-ORACLES = {"op1_license_scan": license_sql.duckdb_sql(), "op5_line_dedup": _LINE_DEDUP_SQL, "op9_decontamination": _DECONTAMINATION_SQL}
+ORACLES = {"op1_license_scan": license_sql.duckdb_sql(), "op5_line_dedup": _LINE_DEDUP_SQL, "op9_decontamination": _DECONTAMINATION_SQL, "op11_merkle": merkle_sql.duckdb_sql()}
