@@ -33,7 +33,7 @@ CELLS = 1 << 21
 
 @dataclass(frozen=True)
 class Scan:
-    """start: the first state; step: one sample of each row and their states (row x number) to outputs and next states;
+    """start: the first state; step: one sample of each row (or several values of it, row x value) and their states (row x number) to outputs and next states;
     origins: the states whose images under a block sum it up, one after another; carry: a summary, the block's number of
     samples and a state to the next state; compose: a summary, the next one and its number of samples to that of both."""
 
@@ -44,8 +44,8 @@ class Scan:
     compose: Callable[[np.ndarray, np.ndarray, int], np.ndarray]
 
     def run(self, x: np.ndarray, s: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Outputs and last states of rows, longest first; x is time by row, live the number of rows at each time."""
-        y, s = np.zeros_like(x), np.array(s, float)
+        """Outputs and last states of rows, longest first; x is time by row (by value), live the number of rows at each time."""
+        y, s = np.zeros(x.shape[:2]), np.array(s, float)
         for k, m in enumerate(live):
             y[k, :m], s[:m] = self.step(x[k, :m], s[:m])
         return y, s
@@ -69,6 +69,28 @@ def linear(a, b, c, d: float) -> Scan:
     return Scan(zero, step, [zero], carry, lambda first, then, n: carry(then, n, first))
 
 
+def affine(start: Sequence[float], step: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Scan:
+    """A system whose next state is a matrix times the state plus a vector, both made from the sample at hand.
+
+    A block is summed up by the product of its matrices: the images of zero and of the
+    unit vectors. Coefficients may depend on the data in any way, but not on the state.
+    """
+    d = len(start)
+
+    def parts(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        images = own.reshape(d + 1, d)
+        return images[0], (images[1:] - images[0]).T
+
+    def carry(own: np.ndarray, n: int, s: np.ndarray) -> np.ndarray:
+        moved, turn = parts(own)
+        return turn @ s + moved
+
+    def compose(first: np.ndarray, then: np.ndarray, n: int) -> np.ndarray:
+        return np.concatenate([carry(then, n, image) for image in first.reshape(d + 1, d)])
+
+    return Scan(start, step, [[0.0] * d, *np.eye(d).tolist()], carry, compose)
+
+
 def smoothing(keep: float) -> Scan:
     """One-pole smoothing: y = keep * y + (1 - keep) * x."""
     return linear([[keep]], [1 - keep], [keep], 1 - keep)
@@ -124,6 +146,23 @@ def envelope(release: float) -> Scan:
     return Scan([0.0], step, [[0.0]], carry, lambda first, then, n: carry(then, n, first))
 
 
+def steered_centre(fast: float, slow: float, level: float) -> Scan:
+    """What two channels (left, right) have in common: their mid, weighed by its share in the energy of mid and side.
+
+    Both energies are smoothed, by fast where the louder channel passes the level and by
+    slow elsewhere; where both are zero the centre is zero.
+    """
+
+    def step(x: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mid, side = (x[:, 0] + x[:, 1]) / 2, (x[:, 0] - x[:, 1]) / 2
+        keep = np.where(np.abs(x).max(axis=1) > level, fast, slow)[:, None]
+        energy = keep * s + (1 - keep) * np.stack([mid * mid, side * side], axis=1)
+        total = energy.sum(axis=1)
+        return mid * np.divide(energy[:, 0], total, out=np.zeros_like(total), where=total > 0), energy
+
+    return affine([0.0, 0.0], step)
+
+
 def released_gain(keep: float) -> Scan:
     """A gain that drops at once to its target and recovers: g = min(target, keep * g + (1 - keep)); 1 at first."""
 
@@ -192,17 +231,23 @@ def _grid(field: pa.Array, at: tuple[np.ndarray, np.ndarray], shape: tuple[int,
     return out
 
 
-def scan(df: DataFrame, key: str, order: str, value: str, how: Scan, name: str = "y", block: int = BLOCK) -> DataFrame:
-    """key, order, value and name: the recursion's output at each row."""
+def _samples(fields: list[pa.Array], at: tuple[np.ndarray, np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """One field as time by row, or several as time by row by field."""
+    return _grid(fields[0], at, shape) if len(fields) == 1 else np.stack([_grid(f, at, shape) for f in fields], axis=2)
+
+
+def scan(df: DataFrame, key: str, order: str, value: str | Sequence[str], how: Scan, name: str = "y", block: int = BLOCK) -> DataFrame:
+    """key, order, value (or several) and name: the recursion's output at each row."""
     kinds = dict(df.dtypes)
     key_type = f"`{key}` {kinds[key]}"
-    cut = df.select(key, order, value, F.floor(F.col(order) / block).cast("long").alias("_blk"))
-    packed = _packed(cut, [key, "_blk"], order, [value])
+    values = [value] if isinstance(value, str) else list(value)
+    cut = df.select(key, order, *values, F.floor(F.col(order) / block).cast("long").alias("_blk"))
+    packed = _packed(cut, [key, "_blk"], order, values)
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for places, n, fields, at, live in _units(batch.column(2)):
-                own = how.summarise(_grid(fields[1], at, (int(n[0]), len(n))), live)
+                own = how.summarise(_samples(fields[1:], at, (int(n[0]), len(n))), live)
                 kept = batch.take(pa.array(places))
                 yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(n, pa.int64()), pa.array(list(own), pa.list_(pa.float64()))], [key, "_blk", "_n", "_own"])
 
@@ -239,9 +284,9 @@ def scan(df: DataFrame, key: str, order: str, value: str, how: Scan, name: str =
         for batch in batches:
             for places, n, fields, at, live in _units(batch.column(1)):
                 states = np.array(batch.column(2).take(pa.array(places)).to_pylist(), float).reshape(len(n), -1)
-                y, _ = how.run(_grid(fields[1], at, (int(n[0]), len(n))), states, live)
+                y, _ = how.run(_samples(fields[1:], at, (int(n[0]), len(n))), states, live)
                 keys = batch.column(0).take(pa.array(np.repeat(places, n)))
-                yield pa.RecordBatch.from_arrays([keys, fields[0], fields[1], pa.array(y[at])], [key, order, value, name])
+                yield pa.RecordBatch.from_arrays([keys, *fields, pa.array(y[at])], [key, order, *values, name])
 
     own = packed.mapInArrow(summarise, f"{key_type}, _blk long, _n long, _own array<double>")
     sups = own.groupBy(key, F.floor(F.col("_blk") / CHAIN).cast("long").alias("_sup")).agg(F.sort_array(F.collect_list(F.struct("_blk", "_n", "_own"))).alias("_rows"))
@@ -251,7 +296,7 @@ def scan(df: DataFrame, key: str, order: str, value: str, how: Scan, name: str =
     met = sups.join(tops, sups[key].eqNullSafe(tops["_key"]) & (sups["_sup"] == tops["_top"])).select(key, "_rows", "_state")
     states = met.mapInArrow(chain("_blk", False), f"{key_type}, _blk long, _state array<double>").withColumnRenamed(key, "_key").withColumnRenamed("_blk", "_at")
     met = packed.join(states, packed[key].eqNullSafe(states["_key"]) & (packed["_blk"] == states["_at"])).select(key, "_rows", "_state")
-    return met.mapInArrow(run, f"{key_type}, `{order}` {kinds[order]}, `{value}` {kinds[value]}, `{name}` double")
+    return met.mapInArrow(run, ", ".join([key_type, *(f"`{c}` {kinds[c]}" for c in (order, *values)), f"`{name}` double"]))
 
 
 def decode_units(df: DataFrame, key: list[str], order: str, columns: dict[str, str], decode: Callable[[dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]]) -> DataFrame:

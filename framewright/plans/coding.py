@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framewright.functions import bits
-from framewright.operators import mixing, recursions
+from framewright.operators import bitstream, mixing, recursions
 from framewright.plans.registry import query
 from framewright.plans.views import Views
 
@@ -109,3 +109,74 @@ def _(v: Views):
     coded = stated.select("unit", "frame", "carrier", pick(0).alias("r1"), pick(2).alias("r2"))
     done = recursions.decode_units(coded, ["unit"], "frame", {n: "long" for n in "abc"}, _unmixed)
     return done.select("frame", "a", "b", "c", (_c("a") + _c("b") + _c("c")).alias("carrier"))
+
+
+def _low_sql(x: str, n: int) -> str:
+    return f"reverse(lpad(bin({x}), {n}, '0'))"
+
+
+def _rice_sql(x: str, k: int) -> str:
+    return f"repeat('1', cast({x} >> {k} as int)) || '0' || {_low_sql(f'({x} & {(1 << k) - 1})', k)}"
+
+
+def _mark_sql(x: str) -> str:
+    return f"case {x} when 0 then '0' when 1 then '10' else '11' end"
+
+
+def _bits_sql(at: str, n: str) -> str:
+    return f"coalesce(list_sum(list_transform(range({n}), lambda i: case when substr(code, cast({at} + i + 1 as bigint), 1) = '1' then 1::bigint << i else 0 end)), 0)::bigint"
+
+
+#: Heads of the five makes of units: runs and kinds.
+_HEADS = ["11" + "01" + "1100" + "01" + "0100", "11" + "00" + "1" + "10100" + "00" + "1" + "01100", "0" + "01" + "0010", "0" + "10", "11" + "10" + "10"]
+
+_BITSTREAM_SQL = f"""recursive u as (
+      select channel, frame // 64 as unit, frame % 64 as pos, (frame // 64) % 5 as mode, frame, case when x & 3 = 0 then (case when x < 0 then -2 * floor(x / 262144.0) - 1 else 2 * floor(x / 262144.0) end)::bigint else 0 end as z from sig
+    ), v as (select *, case mode when 3 then z % 3 when 4 then case when frame % 3 = 1 then 0 else 1 + z % 3 end else z end as v from u),
+    w as (select *, pos - 1 - coalesce(max(case when v > 0 then pos end) over (partition by channel, unit order by pos rows between unbounded preceding and 1 preceding), -1) as zeros,
+      count(*) over (partition by channel, unit) as n from v),
+    coded as (select channel, unit, any_value(mode) as mode, any_value(n) as n, any_value([{", ".join(f"'{h}'" for h in _HEADS)}][mode + 1]) as head,
+      coalesce(string_agg(case when mode = 0 and v > 0 then {_rice_sql("zeros", 2)} || {_rice_sql("(v - 1)", 3)} when mode = 1 and v > 0 then {_low_sql("zeros", 7)} || {_low_sql("(v - 1)", 6)}
+        when mode = 2 then {_rice_sql("v", 4)} when mode = 3 then {_mark_sql("v")} when mode = 4 and v > 0 then {_mark_sql("zeros")} || {_mark_sql("(v - 1)")} end, '' order by pos), '') as body,
+      any_value(n) - 1 - coalesce(max(case when v > 0 then pos end), -1) as tail from w group by channel, unit),
+    units as (select channel, unit, mode, n, length(head) as head, head || body || case when tail = 0 then '' when mode = 0 then {_rice_sql("tail", 2)} when mode = 1 then {_low_sql("tail", 7)} when mode = 4 then {_mark_sql("tail")} else '' end as code from coded),
+    placed as (select *, cast(coalesce(sum(length(code)) over (partition by channel, unit // 16 order by unit rows between unbounded preceding and 1 preceding), 0) as bigint) as start_bit from units),
+    streams as (select channel, unit // 16 as stream, sha256(unbin(list_aggregate(list_transform(range(cast(ceil(length(s) / 8.0) as bigint)), lambda k: reverse(rpad(substr(s, k * 8 + 1, 8), 8, '0'))), 'string_agg', ''))) as stream_sha256
+      from (select channel, unit, string_agg(code, '' order by unit) over (partition by channel, unit // 16) as s from units) group by channel, unit // 16, s),
+    step as (
+      select channel, unit, mode, n, code, head as spot, 0::bigint as idx, case when mode in (0, 1, 4) then 0 else 1 end as phase, null::bigint as place, null::bigint as value from units
+      union all
+      select channel, unit, mode, n, code, spot + len, case when phase = 0 then idx + num else idx + 1 end, case when phase = 0 or mode in (2, 3) then 1 else 0 end,
+        case when phase = 1 then idx end, case when phase = 1 then num + (mode in (0, 1, 4))::bigint end
+      from (select *, case kind when 0 then {_bits_sql("spot", "size")} when 1 then case when first = '0' then 0 else 1 + {_bits_sql("spot + 1", "1")} end else (ones << size) + {_bits_sql("spot + ones + 1", "size")} end as num,
+          case kind when 0 then size when 1 then case when first = '0' then 1 else 2 end else ones + 1 + size end as len
+        from (select *, substr(code, cast(spot + 1 as bigint), 1) as first, length(regexp_extract(substr(code, cast(spot + 1 as bigint)), '^1*'))::bigint as ones,
+            case when phase = 0 then case mode when 0 then 2 when 1 then 0 else 1 end else case mode when 0 then 2 when 1 then 0 when 2 then 2 else 1 end end as kind,
+            case when phase = 0 then case mode when 0 then 2 when 1 then 7 else 0 end else case mode when 0 then 3 when 1 then 6 when 2 then 4 else 0 end end as size
+          from step where idx < n)) ),
+    ends as (select channel, unit, max(spot) as last from step group by channel, unit),
+    back as (select w.channel, w.unit, string_agg(coalesce(s.value, 0), ',' order by w.pos) as vals from w left join step s on s.channel = w.channel and s.unit = w.unit and s.place = w.pos group by w.channel, w.unit)
+    select p.channel, p.unit, p.start_bit, cast(p.start_bit + e.last as bigint) as end_bit, true as ok, b.vals as "values", s.stream_sha256
+    from placed p join ends e using (channel, unit) join back b using (channel, unit) join streams s on s.channel = p.channel and s.stream = p.unit // 16"""
+
+
+@query("bitstream_decode", _BITSTREAM_SQL)
+def _(v: Views):
+    """Units of 64 values as bits of five makes, 16 of them packed in a stream, decoded side by side from their restart points."""
+    y = F.floor(_c("x") / 262144)
+    z = F.when(_c("x").bitwiseAND(F.lit(3)) == 0, F.when(y < 0, -2 * y - 1).otherwise(2 * y)).otherwise(F.lit(0).cast("long"))
+    unit = F.floor(_c("frame") / 64).cast("long")
+    sampled = v.sig.select("channel", "frame", unit.alias("unit"), (unit % 5).alias("mode"), z.alias("z"))
+    made = F.when(_c("mode") == 3, _c("z") % 3).when(_c("mode") == 4, F.when(_c("frame") % 3 == 1, 0).otherwise(1 + _c("z") % 3)).otherwise(_c("z"))
+    units = sampled.groupBy("channel", "unit", "mode").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame", made.alias("v")))), lambda r: r["v"]).alias("vs"))
+    makes = [(bitstream.RICE, 3, (bitstream.RICE, 2)), (bitstream.FIXED, 6, (bitstream.FIXED, 7)), (bitstream.RICE, 4, None), (bitstream.MARK, 0, None), (bitstream.MARK, 0, (bitstream.MARK, 0))]
+    code = F.lit(None).cast("string")
+    for mode, (kind, size, runs) in enumerate(makes):
+        code = F.when(_c("mode") == mode, bitstream.unit_code(_c("vs"), kind, size, runs)).otherwise(code)
+    coded = units.select("channel", F.floor(_c("unit") / 16).cast("long").alias("stream"), "unit", code.alias("code"), F.size("vs").alias("n"))
+    rows = coded.groupBy("channel", "stream").agg(F.sort_array(F.collect_list(F.struct("unit", "code", "n"))).alias("us"))
+    starts = F.transform("us", lambda u, k: F.struct(F.aggregate(F.slice("us", 1, k), F.lit(0).cast("long"), lambda s, e: s + F.length(e["code"])).alias("start"), u["n"].alias("count")))
+    streams = rows.select("channel", "stream", bitstream.packed(F.array_join(F.transform("us", lambda u: u["code"]), "")).alias("bytes"), starts.alias("index"))
+    told = streams.withColumn("stream_sha256", F.sha2("bytes", 256))
+    done = bitstream.decode(told, ["channel", "stream", "stream_sha256"], "bytes", "index")
+    return done.select("channel", (_c("stream") * 16 + _c("unit")).alias("unit"), "start_bit", "end_bit", "ok", F.array_join("values", ",").alias("values"), "stream_sha256")

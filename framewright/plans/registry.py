@@ -27,5 +27,5 @@ def query(name: str, oracle: str | None = None):
     return put
 
 
-for _module in ("scalars", "lookups", "aggregates", "sequences", "recursions", "filters", "coding", "transport"):
+for _module in ("scalars", "lookups", "aggregates", "sequences", "recursions", "filters", "coding", "transport", "spatial"):
     importlib.import_module(f"framewright.plans.{_module}")
