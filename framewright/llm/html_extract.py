@@ -1,25 +1,36 @@
 """Main-text extraction by line-block distribution.
 
 Markup is stripped into lines, one per block element, and every line gets a size: the
-length of its text. Lines that are not the article by their looks weigh nothing:
-
-* lines made mostly of links, and, outside an article, short list items without a
-  closing mark;
-* lines inside a menu, footer, side bar, header, form or advert, by tag or by a word
-  of class, id or role;
-* lines outside ``article`` (else ``main``), if what is inside has at least a quarter
-  of the text that is left.
+length of its text. Some lines weigh nothing:
+
+* lines made mostly of links. Inside an article with text, and in a container with
+  paragraphs, only list items and lines with no other letters; a paragraph of such an article
+  always weighs;
+* short list items and table cells without a closing mark, where their container has no
+  paragraph: a menu stands alone, a list of ingredients stands beside its text;
+* lines of an aside: a menu, footer, side bar, header, form or advert, by tag or by a word
+  of class, id or role, and of what is hidden;
+* lines outside ``article``, if what is inside has at least half of the text in ``main``,
+  or of the page; else lines outside ``main`` on the same condition.
 
 The sizes of ``WINDOW`` following lines are summed. Text starts at a surge, the first
-line with a size whose sum passes the threshold, and ends at the dive, where a whole
-window has no size; all lines in between stay, with lines of links among them, but not
-lines of the second kind, or outside the article. Inside an article the threshold is
-zero, so short paragraphs stay. Where no sum passes the threshold it is zero as well.
+line with a size whose sum passes the threshold, and at the lines with a size right before it in its
+container; it ends at the dive, where a whole window has no size. All lines in between
+stay but those of asides, or outside the article. The threshold is zero inside
+an article or ``main`` and in containers with paragraphs, so short paragraphs stay; where no sum passes
+it, it is zero everywhere, and if that finds nothing, lists weigh like other lines.
+
+Names deceive. An element that is an aside by its name alone is read after all
+
+* inside an article, if the article's other text is less than a quarter of its own (for
+  comments: if there is none);
+* if another of its class names says that it is the text, and it has a quarter of the page's;
+* where no article text is outside of asides, if it holds more than half of the page's
+  text; by tag a menu, footer or side bar only if it also encloses an article. If that
+  leaves no text, all that enclose an article are read.
 
-The second kind has limits of size, as names deceive. Where no article text is outside
-of such elements, one that holds more than half of the page's text is read like any
-other; a menu, footer or side bar only if it encloses an article. If that leaves no
-text, all that enclose an article are read.
+A link is an ``a`` with ``href``. One that is not closed before the next ends where a
+block begins.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are trimmed and joined by an empty line.
@@ -46,12 +57,17 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td "
     "tfoot th thead title tr ul".split()
 )
-ITEMS = frozenset("li dt dd td th".split())
+ITEMS = frozenset("li td th".split())
+#: Elements that hold paragraphs, lists and headings side by side.
+CONTAINERS = frozenset("article aside blockquote body center dd details dialog div fieldset figure footer form header main menu nav section td th".split())
 BESIDE = frozenset("nav footer aside form header menu dialog".split())
 FIRM = frozenset("nav footer aside menu".split())
 NEVER_TEXT = frozenset("button select noscript template iframe svg object canvas audio video map".split())
 RAW = frozenset("script style textarea title xmp noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Class names that say that an element is the text, and words for readers' remarks.
+TEXT_NAMES = frozenset("article content entry hentry main post story text".split())
+REMARKS = frozenset("comment comments disqus replies respond".split())
 # Words of class, id and role that mark what is not the article.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments contentinfo cookie cookies "
@@ -65,19 +81,20 @@ DENIED = frozenset("with without no has have is not hide".split())
 HEADER = frozenset("header site page top main global wrapper container".split())
 
 WINDOW, THRESHOLD = 3, 80
-#: Length up to which a list item without a closing mark weighs nothing.
+#: Length up to which a list item without a closing mark may be one of a menu; paragraphs are longer.
 SHORT_ITEM = 30
 
 _VALUE = r"\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|={_VALUE})*+)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(rf"([^\s=\"'/]+)(?:\s*=({_VALUE}))?")
+_REFERENCE, _ANCHOR = re.compile(r"&#?\w+;?"), re.compile(r"<(/?)a(?=[\s/>])", re.IGNORECASE)
 _NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _CLOSED = tuple(".!?…:;,\"')]”’»。！？")
 
 
-def is_noise_name(name: str) -> bool:
-    """Whether one class, id or role, taken whole, says that an element is not the article.
+def noise_word(name: str) -> str:
+    """The word by which one class, id or role, taken whole, says that an element is not the article; else the empty text.
 
     The last word that is no mere holder decides, as in site-footer or ad-slot; so
     social-policy and share-enabled are no such names, and neither is with-sidebar.
@@ -85,7 +102,12 @@ def is_noise_name(name: str) -> bool:
     parts = [x.lower() for x in _PART.findall(name)]
     while len(parts) > 1 and parts[-1] in HOLDERS and not (parts[-1] in NAMES and parts[-2] not in NAMES):
         parts.pop()
-    return bool(parts) and parts[-1] in NAMES and DENIED.isdisjoint(parts[:-1])
+    return parts[-1] if parts and parts[-1] in NAMES and DENIED.isdisjoint(parts[:-1]) else ""
+
+
+def is_noise_name(name: str) -> bool:
+    """Whether a name says that an element is not the article."""
+    return bool(noise_word(name))
 
 
 def attributes_of(text: str) -> dict[str, str]:
@@ -97,17 +119,29 @@ def attributes_of(text: str) -> dict[str, str]:
     return found
 
 
-def _looks(tag: str, text: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is not the article by its looks, and whether it is hidden."""
-    beside = tag in BESIDE and not (tag == "header" and in_article)
-    if not text or tag in ("html", "body", "article", "main"):
-        return beside, False
+FIRMLY, BY_NAME, BY_REMARK, BY_HALF, HIDDEN = range(5)
+
+
+def _looks(tag: str, text: str, in_article: bool) -> int | None:
+    """Why an element is not the article by its looks; None if it may be."""
+    beside = FIRMLY if tag in BESIDE and not (tag == "header" and in_article) else None
+    if not text or tag in ("html", "body"):
+        return beside
     attributes = attributes_of(text)
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or _NO_DISPLAY.search(attributes.get("style", "")):
-        return True, True
-    names = [x for k in ("class", "id", "role") for x in attributes.get(k, "").split()]
-    own_header = any("header" in x and x <= HEADER for x in (set(map(str.lower, _PART.findall(n))) for n in names))
-    return beside or (own_header and not in_article) or any(map(is_noise_name, names)), False
+        return HIDDEN
+    if beside is not None or tag == "main":
+        return beside
+    classes = attributes.get("class", "").split()
+    names = [*classes, *attributes.get("id", "").split(), *attributes.get("role", "").split()]
+    if not in_article and tag != "article" and any("header" in x and x <= HEADER for x in (set(map(str.lower, _PART.findall(n))) for n in names)):
+        return BY_NAME
+    words = {noise_word(n) for n in names} - {""}
+    if not words:
+        return None
+    if any(parts & TEXT_NAMES and parts <= TEXT_NAMES | HOLDERS for parts in ({x.lower() for x in _PART.findall(c)} for c in classes)):
+        return BY_HALF
+    return BY_REMARK if words & REMARKS else BY_NAME
 
 
 @dataclass
@@ -118,16 +152,35 @@ class Aside:
     level: int  # how many elements of this tag were open with it
     lists: int
     parent: int  # its place among all asides, or -1
-    hidden: bool
+    why: int
+    article: int  # the number of the article that it is in, or 0
     size: int = 0
     holds_article: bool = False
 
 
+@dataclass
+class Line:
+    """text; the characters of it in links; letters: whether some are outside; kind: 2 in an article, 1 in main; tag: its block's; container, article, and the innermost aside or -1."""
+
+    text: str
+    links: int
+    letters: bool
+    kind: int
+    tag: str
+    container: int
+    article: int
+    aside: int
+
+    @property
+    def linked(self) -> bool:
+        return 2 * self.links > len(self.text)
+
+
 @dataclass
 class Page:
-    """lines: text, characters in links, 2 in an article or 1 in main, whether a list item, and the innermost aside or -1."""
+    """Lines, and the asides they are in."""
 
-    lines: list[tuple[str, int, int, bool, int]] = field(default_factory=list)
+    lines: list[Line] = field(default_factory=list)
     asides: list[Aside] = field(default_factory=list)
 
 
@@ -138,20 +191,34 @@ def parse(html: str) -> Page:
     open_asides: list[int] = []
     levels: dict[str, list[int]] = defaultdict(list)  # the open asides of each tag
     count: dict[str, int] = defaultdict(int)
-    links = in_link = 0
-    item = False
+    boxes: list[tuple[str, int]] = [("", 0)]  # open containers and their numbers
+    boxed: dict[str, int] = defaultdict(int)
+    articles: list[int] = []
+    links = made_boxes = made_articles = 0
+    in_link = closed_link = letters = False
+    block = ""
 
     def end_line() -> None:
-        nonlocal links
+        nonlocal links, letters
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            page.lines.append((text, links, 2 if count["article"] else 1 if count["main"] else 0, item, open_asides[-1] if open_asides else -1))
+            place = boxes[-2] if block in ("td", "th", "dd") and boxes[-1][0] == block else boxes[-1]
+            kind = 2 if count["article"] else 1 if count["main"] else 0
+            page.lines.append(Line(text, links, letters, kind, block, place[1], articles[-1] if articles else 0, open_asides[-1] if open_asides else -1))
         parts.clear()
-        links = 0
+        links, letters = 0, False
 
     def close(tag: str) -> None:
         """One element of a tag ends, and with it the asides that it was."""
         count[tag] = max(0, count[tag] - 1)
+        if tag == "article" and articles:
+            articles.pop()
+        if boxed[tag]:
+            while True:
+                inner, _ = boxes.pop()
+                boxed[inner] -= 1
+                if inner == tag:
+                    break
         if levels[tag] and page.asides[levels[tag][-1]].level > count[tag]:
             last = levels[tag][-1]
             while open_asides:
@@ -166,7 +233,10 @@ def parse(html: str) -> Page:
         text = html[at : found.start()] if found else html[at:]
         if text:
             parts.append(text)
-            links += len(" ".join(text.split())) if in_link else 0
+            if in_link:
+                links += len(" ".join(text.split()))
+            else:
+                letters = letters or any(map(str.isalpha, _REFERENCE.sub("", text)))
         if not found:
             break
         at = found.end()
@@ -182,10 +252,13 @@ def parse(html: str) -> Page:
         if tag == "br":
             parts.append(" ")
         elif tag == "a":
-            in_link = 0 if closing else 1
+            in_link = not closing and "href" in attributes_of(attributes)
+            after = _ANCHOR.search(html, at) if in_link else None
+            closed_link = bool(after and after[1])
         if tag in BLOCKS:
             end_line()
-            item = tag in ITEMS and not closing
+            in_link = in_link and closed_link
+            block = "" if closing else tag
         if tag in VOID:
             continue
         if closing:
@@ -202,17 +275,27 @@ def parse(html: str) -> Page:
         if attributes.rstrip().endswith("/") and tag not in BLOCKS:
             continue
         count[tag] += 1
-        aside, hidden = _looks(tag, attributes, count["article"] + count["main"] > 0)
-        if aside:
+        if tag == "article":
+            made_articles += 1
+            articles.append(made_articles)
+        if tag in CONTAINERS:
+            if tag in ("td", "th") and boxes[-1][0] in ("td", "th"):  # cells are often left open
+                boxed[boxes.pop()[0]] -= 1
+            made_boxes += 1
+            boxes.append((tag, made_boxes))
+            boxed[tag] += 1
+        why = _looks(tag, attributes, count["article"] + count["main"] > (tag in ("article", "main")))
+        if why is not None:
             end_line()
             levels[tag].append(len(page.asides))
-            page.asides.append(Aside(tag, count[tag], count["ul"] + count["ol"], open_asides[-1] if open_asides else -1, hidden))
+            own = articles[-1] if articles and tag != "article" else 0
+            page.asides.append(Aside(tag, count[tag], count["ul"] + count["ol"], open_asides[-1] if open_asides else -1, why, own))
             open_asides.append(len(page.asides) - 1)
     end_line()
-    for text, _, article, _, inner in page.lines:
-        if inner >= 0:
-            page.asides[inner].size += len(text)
-            page.asides[inner].holds_article |= article > 0
+    for line in page.lines:
+        if line.aside >= 0:
+            page.asides[line.aside].size += len(line.text)
+            page.asides[line.aside].holds_article |= line.kind > 0
     for aside in reversed(page.asides):  # an aside comes after the one that it is in
         if aside.parent >= 0:
             page.asides[aside.parent].size += aside.size
@@ -242,39 +325,61 @@ def _read(page: Page) -> list[bool]:
             out.append(own and (aside.parent < 0 or out[aside.parent]))
         return [*out, True]
 
-    none = shown([False] * len(page.asides))
-    if not page.asides or any(article and none[inner] for _, _, article, _, inner in page.lines):
-        return none
-    total = sum(len(x[0]) for x in page.lines)
-    large = [not x.hidden and 2 * x.size > total and (x.holds_article or x.tag not in FIRM) for x in page.asides]
-    told = shown(large)
-    if not any(told[x[4]] for x in page.lines):
-        told = shown([not x.hidden and (y or x.holds_article) for x, y in zip(page.asides, large, strict=True)])
-    return told
+    if not page.asides:
+        return [True]
+    total = sum(len(x.text) for x in page.lines)
+    whole: dict[int, int] = defaultdict(int)  # of each article
+    for line in page.lines:
+        whole[line.article] += len(line.text)
+
+    def deceives(x: Aside) -> bool:
+        rest = whole[x.article] - x.size
+        if x.why == BY_HALF:
+            return 4 * x.size >= total
+        return bool(x.article) and (x.why == BY_NAME and 4 * rest < x.size or x.why == BY_REMARK and rest <= 0)
+
+    told = shown([deceives(x) for x in page.asides])
+    if any(x.kind and told[x.aside] for x in page.lines):
+        return told
+    large = [y or x.why != HIDDEN and 2 * x.size > total and (x.holds_article or x.tag not in FIRM) for x, y in zip(page.asides, told, strict=False)]
+    read = shown(large)
+    if not any(read[x.aside] for x in page.lines):
+        read = shown([x.why != HIDDEN and (y or x.holds_article) for x, y in zip(page.asides, large, strict=True)])
+    return read
+
+
+def weighed(page: Page, lists: bool = False) -> tuple[list[int], list[bool], list[int]]:
+    """For each line its size, whether it may be text at all, and the threshold; with lists, short items weigh too."""
+    read = _read(page)
+    alive = [read[x.aside] for x in page.lines]
+    with_text = {x.container for x, live in zip(page.lines, alive, strict=True) if live and x.tag not in ITEMS and not x.linked and len(x.text) > SHORT_ITEM}
 
+    articles = {x.article for x, live in zip(page.lines, alive, strict=True) if live and not x.linked and len(x.text) > SHORT_ITEM} - {0}
 
-def weighed(page: Page) -> tuple[list[int], list[bool], int]:
-    """The size of each line, whether it may be text at all, and the threshold."""
-    read = _read(page)
-    alive = [read[inner] for _, _, _, _, inner in page.lines]
-    plain = [0 if not live or 2 * links > len(text) else len(text) for (text, links, _, _, _), live in zip(page.lines, alive, strict=True)]
-    kinds = [article for _, _, article, _, _ in page.lines]
-    prior = max((k for k, size in zip(kinds, plain, strict=True) if size), default=0)
-    inside = sum(size for k, size in zip(kinds, plain, strict=True) if k >= prior)
-    if prior and 4 * inside >= sum(plain):
-        alive = [live and k >= prior for k, live in zip(kinds, alive, strict=True)]
-        return [size if live else 0 for size, live in zip(plain, alive, strict=True)], alive, 0
-    sizes = [0 if item and size <= SHORT_ITEM and not text.endswith(_CLOSED) else size for size, (text, _, _, item, _) in zip(plain, page.lines, strict=True)]
-    return sizes, alive, THRESHOLD
-
-
-def between(sizes: list[int], threshold: int) -> list[int]:
+    def size(x: Line) -> int:
+        beside = x.container in with_text
+        if x.linked:
+            stays = x.tag == "p" and x.article in articles or x.tag not in ITEMS and x.letters and (beside or x.article in articles)
+            return len(x.text) if stays else 0
+        menu = x.tag in ITEMS and len(x.text) <= SHORT_ITEM and not x.text.endswith(_CLOSED) and not beside and x.kind < 2
+        return 0 if menu and not lists else len(x.text)
+
+    sizes = [size(x) if live else 0 for x, live in zip(page.lines, alive, strict=True)]
+    by_kind = [sum(y for x, y in zip(page.lines, sizes, strict=True) if x.kind >= k) for k in range(3)]
+    prior = int(by_kind[1] > 0 and 2 * by_kind[1] >= by_kind[0])
+    prior = 2 if by_kind[2] and 2 * by_kind[2] >= by_kind[prior] else prior
+    alive = [live and x.kind >= prior for x, live in zip(page.lines, alive, strict=True)]
+    sizes = [y if live else 0 for y, live in zip(sizes, alive, strict=True)]
+    return sizes, alive, [0 if prior or x.container in with_text else THRESHOLD for x in page.lines]
+
+
+def between(sizes: list[int], thresholds: list[int]) -> list[int]:
     """Places of the lines from each surge of the windows' sums to the last sized line before the dive."""
     sums = [sum(sizes[k : k + WINDOW]) for k in range(len(sizes))]
     kept, start, last = [], None, 0
     for k, total in enumerate([*sums, 0]):
         if start is None:
-            if total > threshold and sizes[k]:
+            if k < len(sizes) and total > thresholds[k] and sizes[k]:
                 start = k
         elif total == 0:
             kept += range(start, last + 1)
@@ -287,9 +392,18 @@ def between(sizes: list[int], threshold: int) -> list[int]:
 def main_text(html: str | None) -> str:
     """The main text of a page."""
     page = parse(html or "")
-    sizes, alive, threshold = weighed(page)
-    kept = between(sizes, threshold) or between(sizes, 0)
-    return "\n\n".join(page.lines[k][0] for k in kept if alive[k])
+    kept: list[int] = []
+    for lists in (False, True):
+        sizes, alive, thresholds = weighed(page, lists)
+        kept = between(sizes, thresholds) or between(sizes, [0] * len(sizes))
+        if kept:
+            break
+    chosen = set(kept)
+    for k in kept:  # what stands right before a start, in its container
+        while k and k - 1 not in chosen and sizes[k - 1] and page.lines[k - 1].container == page.lines[k].container:
+            k -= 1
+            chosen.add(k)
+    return "\n\n".join(page.lines[k].text for k in sorted(chosen) if alive[k])
 
 
 def _extracting(keep: list[str]):
