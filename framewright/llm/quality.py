@@ -6,7 +6,9 @@ Each line of a text goes through three rules; lines that fail one are removed:
   clause, or a tenth or more of the line's characters are symbols of markup and code. A
   line of ``wrap_chars`` characters or more, or one whose next line begins in lower case,
   goes on in the next line if that has a word, so wrapped prose is judged by the last
-  line of each run;
+  line of each run. So is verse: a line of ``verse_words`` words or more goes on in another
+  such, if both begin with a capital or a letter without case and most of their other words
+  with none. Scripts that have no stop close a line by any of their letters;
 * navigation: the line holds three or more separators of menus and tables;
 * boilerplate: a short line holds a phrase of site notices, in English, French, German
   or Spanish.
@@ -34,8 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Marks that end a line of prose, separators of menus, phrases of site notices.
-CLOSING = ".!?…:;,\"')]}”’»。！？"
+# Marks that end a line of prose (Latin, Greek, Armenian, Hebrew, Arabic, Devanagari, Tibetan, Burmese, Ethiopic, Khmer, Chinese and
+# Japanese), letters of scripts without a stop (Thai, Lao), separators of menus, phrases of site notices.
+CLOSING = ".!?…:;,\"')]}”’»" + "·;" + "։՞՜" + "׃" + "؟؛،۔" + "।॥" + "།༎" + "၊။" + "።፣፤፥፧፨" + "។៕" + "。！？、，；：」』）】》〉…"
+WITHOUT_STOPS = re.compile(r"[\u0E00-\u0EFF]\Z")
 SEPARATORS = re.compile(r"[|»›•·]|(?<!\S)>(?!\S)")
 BOILERPLATE = re.compile(
     r"accept (all )?cookies|use of cookies|enable javascript|privacy policy|terms of (use|service)|all rights reserved|"
@@ -60,6 +64,7 @@ class Rules:
     boilerplate_words: int = 12
     max_symbols: float = 0.1
     wrap_chars: int = 40
+    verse_words: int = 3
 
 
 def line_fails(line: str, words: int, closed: bool, rules: Rules) -> bool:
@@ -72,14 +77,20 @@ def line_fails(line: str, words: int, closed: bool, rules: Rules) -> bool:
     )
 
 
+def is_verse(text: str, rules: Rules) -> bool:
+    """Whether a line may be one of a poem: it begins with a capital or a letter without case, and at most half of its other words with a capital."""
+    words = text.split()
+    return len(words) >= rules.verse_words and text[0].isalpha() and not text[0].islower() and 2 * sum(w[0].isupper() for w in words[1:]) < len(words)
+
+
 def closings(lines: list[str], rules: Rules) -> list[bool]:
-    """For each line, whether the run of wrapped lines that it is in ends in a closing mark."""
+    """For each line, whether the run of wrapped lines, or of verses, that it is in ends in a closing mark."""
     out, after, below = [], False, ""
     for line in reversed(lines):
         text = line.strip(BLANKS)
-        if text[-1:] in CLOSING:
+        if text[-1:] in CLOSING or WITHOUT_STOPS.search(text):
             after = bool(text)
-        elif not (below and (len(text) >= rules.wrap_chars or below[0].islower())):
+        elif not (below and (len(text) >= rules.wrap_chars or below[0].islower() or is_verse(text, rules) and is_verse(below, rules))):
             after = False
         out.append(after)
         below = text

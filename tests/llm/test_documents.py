@@ -301,11 +301,16 @@ def brute_verdict(text):
         end = k  # the last line of the run of wrapped lines
         while True:
             own = lines[end].strip(blank)
-            if own[-1] in ".!?…:;,\"')]}”’»。！？":
+            if own[-1] in ".!?…:;,\"')]}”’»。！？、，।॥؟؛،۔።፧៕។။།" or "\u0e00" <= own[-1] <= "\u0eff":
                 closed = True
                 break
             following = lines[end + 1].strip(blank) if end + 1 < len(lines) else ""
-            if not following or not (len(own) >= 40 or following[0].islower()):
+
+            def verse(x):
+                rest = x.split()[1:]
+                return len(rest) >= 2 and x[0].isalpha() and x[0] == x[0].upper() and sum(w[0] != w[0].lower() for w in rest) * 2 < len(rest) + 1
+
+            if not following or not (len(own) >= 40 or following[0].islower() or verse(own) and verse(following)):
                 closed = False
                 break
             end += 1
@@ -332,6 +337,27 @@ def test_quality(spark, sf_dir, odd, nothing):
     assert quality.clean_lines(nothing).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "यह एक लंबा वाक्य है जो किसी विशेष बात के बारे में नहीं है।\nदूसरा वाक्य भी यहाँ पर लिखा हुआ है।",
+        "هل هذا سؤال طويل عن لا شيء على وجه الخصوص يا صديقي؟\nوهذا جواب طويل آخر عنه هنا۔",
+        "นี่ คือ ประโยค ยาว ที่ ไม่ มี เรื่อง อะไร เป็น พิเศษ เลย\nและ นี่ คือ อีก ประโยค หนึ่ง",
+        "ይህ ስለ ምንም ነገር ያልሆነ ረጅም ዓረፍተ ነገር ነው።\nይህም ሌላ ዓረፍተ ነገር ነው።",
+        "The woods are lovely to the eye\nAnd all the stars are in the sky\nBut I have miles to go today\nBefore I find the hidden way.\n\nThe wind is soft upon the lake\nAnd keeps the little birds awake.",
+    ],
+)
+def test_other_scripts_and_verse_stay(text):
+    done = dict(zip(quality._COLUMNS, quality.judge(text, quality.Rules())))
+    assert done["kept"] and done["n_lost_words"] == 0 and brute_verdict(text) == (0, True)
+
+
+@pytest.mark.parametrize("text", ["Home Page\nOur Latest News\nContact The Office", "Click Here To Win\nSubscribe To Our Page\nFollow Our Friends\nBuy All Of It Now", "one two three\nfour five six\nseven eight nine ten"])
+def test_menus_are_no_verse(text):
+    done = dict(zip(quality._COLUMNS, quality.judge(text, quality.Rules())))
+    assert not done["kept"] and done["n_lost_words"] == done["n_words"]
+
+
 def test_line_rules():
     rules = quality.Rules()
     prose = "This is a long and ordinary sentence about nothing in particular, with its stop."
