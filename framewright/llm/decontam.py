@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.drops import without
+from framewright.llm.drops import free_name, without
 from framewright.scratch import write_table
 
 #: Distinct benchmark windows up to which their hashes travel in the plan: at most 1.6 MB.
@@ -172,11 +172,12 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_c
     Rows are known by id; rows that share an id share its verdict.
     """
     found = find_hits(docs.select(id_col, text_col), benchmark, n, text_col)
-    hits = found.filter(F.size("_dc_covered") > 0).select(F.col(id_col).alias("_dc_id"), "_dc_covered")
+    own, places = free_name(docs, "_dc_id"), free_name(docs, "_dc_covered")
+    hits = found.filter(F.size("_dc_covered") > 0).select(F.col(id_col).alias(own), F.col("_dc_covered").alias(places))
     if not spans:
-        return without(docs, hits.select("_dc_id"), id_col)
-    hits = hits.groupBy("_dc_id").agg(F.array_distinct(F.flatten(F.collect_list("_dc_covered"))).alias("_dc_covered"))
+        return without(docs, hits.select(own), id_col)
+    hits = hits.groupBy(own).agg(F.array_distinct(F.flatten(F.collect_list(places))).alias(places))
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(_PIECE), F.lit(0))
-    left = F.array_join(F.filter(pieces, lambda p, i: ~F.array_contains("_dc_covered", i)), "")
-    text = F.when(F.col("_dc_covered").isNull(), F.col(text_col)).otherwise(left)
-    return docs.join(hits, docs[id_col].eqNullSafe(hits["_dc_id"]), "left").select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    left = F.array_join(F.filter(pieces, lambda p, i: ~F.array_contains(places, i)), "")
+    text = F.when(F.col(places).isNull(), F.col(text_col)).otherwise(left)
+    return docs.join(hits, docs[id_col].eqNullSafe(hits[own]), "left").select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])

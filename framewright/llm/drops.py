@@ -11,12 +11,21 @@ from framewright.scratch import write_table
 MAX_SENT = 500_000
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have: name, with underscores behind it where needed."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows whose id is in ids (one column); null matches null.
+    """docs without the rows whose id is in ids (one column); null matches null. Any columns of docs are allowed.
 
     The list is written out and counted. A list of up to MAX_SENT ids is broadcast,
     so texts stay where they are; a longer one meets docs in a shuffle join.
     """
-    ids, _ = write_table(ids.toDF("_drop_id").distinct(), "drop-ids")
+    own = free_name(docs, "_drop_id")
+    ids, _ = write_table(ids.toDF(own).distinct(), "drop-ids")
     few = ids.count() <= MAX_SENT
-    return docs.join(F.broadcast(ids) if few else ids, docs[id_col].eqNullSafe(F.col("_drop_id")), "left_anti")
+    return docs.join(F.broadcast(ids) if few else ids, docs[id_col].eqNullSafe(ids[own]), "left_anti")

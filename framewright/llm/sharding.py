@@ -20,8 +20,8 @@ join and window. The driver sees k * k numbers a round, k the number of shards.
 Only DataFrame functions are used.
 
 Defined cases: a null text has size 1 and the checksum of no bytes; null texts are
-one group. Null or repeated ids are allowed, each row gets its own slot; rows without
-an id are spread by the number that they are written with. With no
+one group. Null or repeated ids are allowed, each row gets its own slot; rows are spread
+by their id and the number that they are written with, so no id is a hot key. With no
 rows the result is empty; with fewer rows than shards some shards stay empty.
 Group ties are broken by hash. Only the id and text columns are read.
 """
@@ -55,7 +55,7 @@ def balanced_shards(nodes: DataFrame, shards: int = 8, rounds: int = 5) -> DataF
     sizes = nodes.groupBy("group").agg(F.count(F.lit(1)).alias("_n"))
     sizes, sizes_path = write_table(sizes.filter("_n > 1"), "shard-groups")  # written, so that the join can split a hot group
     sized = nodes.join(sizes, "group", "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
-    sized = sized.withColumn("_tag", F.when(F.col("id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("id")))
+    sized = sized.withColumn("_tag", F.xxhash64("id", F.monotonically_increasing_id()))
     rows, _ = write_table(sized.withColumn("_shard", F.pmod(F.xxhash64("_tag", F.lit("start")), F.lit(shards)).cast("int")), "shard-rows")
     rows = rows.withColumn("_salt", F.pmod(F.col("_tag"), F.ceil(F.col("_n") / SALT_ROWS)))
     drop_path(nodes.sparkSession, sizes_path)

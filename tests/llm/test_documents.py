@@ -221,9 +221,10 @@ def test_a_group_of_a_third_of_all_rows(spark):
     check_rows_law(sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), rounds=3).collect(), 8)
 
 
-def test_rows_without_an_id_are_spread(spark, monkeypatch):
+@pytest.mark.parametrize("one_id", [None, 7])
+def test_rows_of_one_id_are_spread(spark, monkeypatch, one_id):
     monkeypatch.setattr(sharding, "SALT_ROWS", 100)
-    rows = [(None, "same" if k % 3 == 0 else f"text {k}") for k in range(3000)]
+    rows = [(one_id, "same" if k % 3 == 0 else f"text {k}") for k in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     check_rows_law(sharding.shard_documents(docs, rounds=2).collect(), 8)
     nodes = docs.selectExpr("doc_id as id", "md5(text) as group")
@@ -263,6 +264,10 @@ def test_contamination(spark, odd, nothing, monkeypatch, sent):
     assert ordered((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items"], r["contaminated"]) for r in got.collect()) == ordered(want)
     assert decontam.contamination(nothing, bench).count() == 0
     assert decontam.contamination(odd, bench.limit(0)).filter("contaminated").count() == 0
+    clashing = odd.withColumns({c: F.lit(1) for c in ("_drop_id", "_DC_id", "_dc_covered", "_dc_words")})
+    for spans in (False, True):
+        assert decontam.remove_contaminated(clashing, bench, spans=spans).columns == clashing.columns
+        assert decontam.remove_contaminated(clashing, bench, spans=spans).count() == decontam.remove_contaminated(odd, bench, spans=spans).count()
     kept = decontam.remove_contaminated(odd, bench)
     assert kept.columns == odd.columns
     cut = {r["doc_id"]: r["text"] for r in decontam.remove_contaminated(odd, bench, spans=True).collect()}
