@@ -2,8 +2,9 @@
 
 Each key's rows are cut into blocks of consecutive order values. Work that needs a
 few neighbours copies a halo of rows into the adjoining block; work that needs all
-earlier rows carries one summary row per block. Only windows over one block, and
-over the short table of blocks, are sorted.
+earlier rows carries one summary row per block, and one for every ``CHAIN`` blocks.
+Only windows over one block, over the blocks of one chain and over a key's chains, one
+row for CHAIN * BLOCK order values, are sorted.
 
 Order columns are integers and unique within a key, unless said otherwise. Rows
 with a null order value are not supported; a null key is a key of its own. Columns
@@ -12,10 +13,15 @@ made on the way begin with an underscore.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 BLOCK = 4096
+#: Blocks whose summaries are carried together.
+CHAIN = 4096
 
 
 def _block(order: str, block: int) -> Column:
@@ -52,27 +58,51 @@ def neighbours(df: DataFrame, key: list[str], order: str, columns: dict, before:
     return made.filter("_own").drop("_own", "_blk")
 
 
+def _keyed(df: DataFrame, key: list[str], order: str, block: int) -> DataFrame:
+    """df with _key, all of the key in one value that is never null, and _blk."""
+    return df.withColumn("_key", F.struct(*key) if key else F.struct(F.lit(0))).withColumn("_blk", _block(order, block))
+
+
+def _before(tops: DataFrame, columns: list[str], whole: Callable[[str], Column], scan: Callable[[str, WindowSpec], Column], join: Callable[[Column, Column], Column]) -> DataFrame:
+    """_key, _blk and what stands before each block of the summaries in columns.
+
+    whole sums up a column over a chain, scan gives what stands before a row of a window,
+    join puts what is before a chain in front of what is before a block in it.
+    """
+    chained = tops.withColumn("_chain", F.floor(F.col("_blk") / CHAIN))
+    chains = chained.groupBy("_key", "_chain").agg(*[whole(c).alias(c) for c in columns])
+    far = chains.select("_key", "_chain", *[scan(c, Window.partitionBy("_key").orderBy("_chain")).alias(f"_f{k}") for k, c in enumerate(columns)])
+    near = chained.select("_key", "_blk", "_chain", *[scan(c, Window.partitionBy("_key", "_chain").orderBy("_blk")).alias(c) for c in columns])
+    return near.join(far, ["_key", "_chain"]).select("_key", "_blk", *[join(F.col(f"_f{k}"), F.col(c)).alias(c) for k, c in enumerate(columns)])
+
+
 def running_sum(df: DataFrame, key: list[str], order: str, value: Column, name: str, block: int = BLOCK) -> DataFrame:
     """df with name: the sum of value over the key's rows up to and including this one."""
-    cut = df.withColumn("_blk", _block(order, block)).withColumn("_v", value)
-    totals = cut.groupBy(*key, "_blk").agg(F.sum("_v").alias("_total"))
-    before = F.sum("_total").over(Window.partitionBy(*key).orderBy("_blk")) - F.col("_total")
-    offsets = totals.select(*key, "_blk", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.coalesce(F.sum("_v").over(halo_window(key, order)), F.lit(0))
-    return cut.withColumn("_inside", inside).join(offsets, [*key, "_blk"]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_blk", "_v", "_inside", "_before")
+    cut = _keyed(df, key, order, block).withColumn("_v", value)
+    totals = cut.groupBy("_key", "_blk").agg(F.coalesce(F.sum("_v"), F.lit(0)).alias("_before"))
+    offsets = _before(totals, ["_before"], F.sum, lambda c, w: F.sum(c).over(w) - F.col(c), lambda far, near: far + near)
+    inside = F.coalesce(F.sum("_v").over(Window.partitionBy("_key", "_blk").orderBy(order)), F.lit(0))
+    met = cut.withColumn("_inside", inside).join(offsets, ["_key", "_blk"])
+    return met.withColumn(name, F.col("_before") + F.col("_inside")).drop("_key", "_blk", "_v", "_inside", "_before")
 
 
 def last_known(df: DataFrame, key: list[str], order: str, columns: dict[str, Column], block: int = BLOCK, tie: str | None = None) -> DataFrame:
     """df with each column's last non-null value at or before the row; null before the first."""
-    cut = df.withColumn("_blk", _block(order, block)).select("*", *[c.alias(f"_k_{n}") for n, c in columns.items()])
+    cut = _keyed(df, key, order, block).select("*", *[c.alias(f"_k_{n}") for n, c in columns.items()])
     by = [order, *([tie] if tie else [])]
-    w = Window.partitionBy(*key, "_blk").orderBy(*by)
-    tops = cut.groupBy(*key, "_blk").agg(*[F.max_by(f"_k_{n}", F.when(F.col(f"_k_{n}").isNotNull(), F.struct(*by))).alias(f"_k_{n}") for n in columns])
-    earlier = Window.partitionBy(*key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tops.select(*key, "_blk", *[F.last(f"_k_{n}", True).over(earlier).alias(f"_e_{n}") for n in columns])
-    inside = cut.select("*", *[F.last(f"_k_{n}", True).over(w).alias(f"_i_{n}") for n in columns]).join(carried, [*key, "_blk"])
+    names = [f"_e_{n}" for n in columns]
+    tops = cut.groupBy("_key", "_blk").agg(*[F.max_by(f"_k_{n}", F.when(F.col(f"_k_{n}").isNotNull(), F.struct(*by))).alias(f"_e_{n}") for n in columns])
+    carried = _before(
+        tops,
+        names,
+        lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_blk"))),
+        lambda c, w: F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+        lambda far, near: F.coalesce(near, far),
+    )
+    w = Window.partitionBy("_key", "_blk").orderBy(*by)
+    inside = cut.select("*", *[F.last(f"_k_{n}", True).over(w).alias(f"_i_{n}") for n in columns]).join(carried, ["_key", "_blk"])
     made = inside.select("*", *[F.coalesce(f"_i_{n}", f"_e_{n}").alias(n) for n in columns])
-    return made.drop("_blk", *[f"{p}{n}" for n in columns for p in ("_k_", "_i_", "_e_")])
+    return made.drop("_key", "_blk", *[f"{p}{n}" for n in columns for p in ("_k_", "_i_", "_e_")])
 
 
 def asof(left: DataFrame, right: DataFrame, on: str, key: list[str] | None = None, columns: list[str] | None = None, forward: bool = False, block: int = BLOCK) -> DataFrame:
@@ -85,9 +115,7 @@ def asof(left: DataFrame, right: DataFrame, on: str, key: list[str] | None = Non
     sign = -1 if forward else 1
     a = left.select(F.struct(*left.columns).alias("_row"), *key, (sign * F.col(on)).alias("_on"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(F.struct(*columns).alias("_r")).schema["_r"].dataType).alias("_r"))
     b = right.select(F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), *key, (sign * F.col(on)).alias("_on"), F.lit(0).alias("_side"), F.struct(*columns).alias("_r"))
-    keyed = [*key] or ["_all"]
-    both = a.unionByName(b) if key else a.unionByName(b).withColumn("_all", F.lit(0))
-    known = last_known(both, keyed, "_on", {"_match": F.col("_r")}, block, tie="_side")
+    known = last_known(a.unionByName(b), key, "_on", {"_match": F.col("_r")}, block, tie="_side")
     return known.filter("_side = 1").select("_row.*", *[F.col(f"_match.{c}").alias(f"right_{c}") for c in columns])
 
 
