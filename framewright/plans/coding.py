@@ -17,7 +17,8 @@ _c = F.col
 @query(
     "raw_bits_roundtrip",
     """select l_orderkey, cast(length(bin(max(l_suppkey))) as bigint) as width, cast(count(*) * length(bin(max(l_suppkey))) as bigint) as n_bits,
-    string_agg(l_suppkey, ',' order by l_linenumber, l_suppkey) as back from lineitem group by l_orderkey""",
+    string_agg(lpad(bin(l_suppkey), cast(w as int), '0'), '' order by l_linenumber, l_suppkey) as code, string_agg(l_suppkey, ',' order by l_linenumber, l_suppkey) as back
+    from lineitem join (select l_orderkey, length(bin(max(l_suppkey))) as w from lineitem group by 1) using (l_orderkey) group by l_orderkey""",
 )
 def _(v: Views):
     """A block's values in as many bits as its largest needs, one after another, and read back by place."""
@@ -25,7 +26,7 @@ def _(v: Views):
     packed = v.lineitem.groupBy("l_orderkey").agg(rows.alias("xs")).withColumn("width", F.length(F.bin(F.array_max("xs"))))
     packed = packed.withColumn("code", F.array_join(F.transform("xs", lambda x: F.lpad(F.bin(x), _c("width"), F.lit("0"))), ""))
     read = F.transform(F.sequence(F.lit(0), F.size("xs") - 1), lambda k: F.conv(F.substring("code", k * _c("width") + 1, _c("width")), 2, 10))
-    return packed.select("l_orderkey", _c("width").cast("long").alias("width"), F.length("code").cast("long").alias("n_bits"), F.array_join(read, ",").alias("back"))
+    return packed.select("l_orderkey", "code", _c("width").cast("long").alias("width"), F.length("code").cast("long").alias("n_bits"), F.array_join(read, ",").alias("back"))
 
 
 @query(
@@ -90,12 +91,15 @@ def _unmixed(grids: dict, live: np.ndarray) -> dict:
         total = sum(np.where(derived == j, 0, stated[j]) for j in range(3))
         for j in range(3):
             out[j][k, :m] = np.where(derived == j, carrier[k, :m] - total, stated[j])
-    return {"a": out[0], "b": out[1], "c": out[2]}
+    return {"a": out[0], "b": out[1], "c": out[2], "r1": grids["r1"], "r2": grids["r2"]}
 
 
 @query(
     "mix3_unmix",
-    "select a.frame, a.x as a, b.x as b, c.x as c, a.x + b.x + c.x as carrier from sig a join sig b on a.frame = b.frame and b.channel = 'click' join sig c on a.frame = c.frame and c.channel = 'error' where a.channel = 'view'",
+    """m as (select a.frame, a.frame // 833 as unit, a.x as a, b.x as b, c.x as c from sig a join sig b on a.frame = b.frame and b.channel = 'click' join sig c on a.frame = c.frame and c.channel = 'error' where a.channel = 'view'),
+    p as (select *, row_number() over w as k, lag(a) over w as a1, lag(a, 2) over w as a2, lag(b) over w as b1, lag(b, 2) over w as b2, lag(c) over w as c1, lag(c, 2) over w as c2 from m window w as (partition by unit order by frame)),
+    r as (select *, a - case k when 1 then 0 when 2 then a1 else 2 * a1 - a2 end as ra, b - case k when 1 then 0 when 2 then b1 else 2 * b1 - b2 end as rb, c - case k when 1 then 0 when 2 then c1 else 2 * c1 - c2 end as rc from p)
+    select frame, a, b, c, a + b + c as carrier, case frame % 3 when 0 then rb when 1 then rc else ra end as r1, case frame % 3 when 2 then rb when 0 then rc else ra end as r2 from r""",
 )
 def _(v: Views):
     """Three sources in one carrier and two residuals a frame, taken apart again; units of 833 frames start anew."""
@@ -107,8 +111,8 @@ def _(v: Views):
     turn = _c("frame") % 3
     pick = lambda k: F.when(turn == k, _c("_b")).when(turn == (k + 1) % 3, _c("_c")).otherwise(_c("_a"))
     coded = stated.select("unit", "frame", "carrier", pick(0).alias("r1"), pick(2).alias("r2"))
-    done = recursions.decode_units(coded, ["unit"], "frame", {n: "long" for n in "abc"}, _unmixed)
-    return done.select("frame", "a", "b", "c", (_c("a") + _c("b") + _c("c")).alias("carrier"))
+    done = recursions.decode_units(coded, ["unit"], "frame", {n: "long" for n in ("a", "b", "c", "r1", "r2")}, _unmixed)
+    return done.select("frame", "a", "b", "c", "r1", "r2", (_c("a") + _c("b") + _c("c")).alias("carrier"))
 
 
 def _low_sql(x: str, n: int) -> str:

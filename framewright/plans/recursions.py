@@ -118,10 +118,14 @@ def _unmixed(grids: dict, live: np.ndarray) -> dict:
         even = frame[k, :m] % 2 == 0
         a[k, :m] = np.where(even, residual[k, :m] + guess[0], carrier[k, :m] - residual[k, :m] - guess[1])
         b[k, :m] = carrier[k, :m] - a[k, :m]
-    return {"a": a, "b": b, "carrier": carrier, "complete": a + b == carrier}
+    return {"a": a, "b": b, "carrier": carrier, "complete": a + b == carrier, "residual": residual}
 
 
-@query("unmix_roundtrip", "select a.frame, a.x as a, b.x as b, a.x + b.x as carrier, true as complete from sig a join sig b on a.frame = b.frame and b.channel = 'click' where a.channel = 'view'")
+@query(
+    "unmix_roundtrip",
+    """m as (select a.frame, a.frame // 832 as unit, a.x as a, b.x as b from sig a join sig b on a.frame = b.frame and b.channel = 'click' where a.channel = 'view')
+    select frame, a, b, a + b as carrier, true as complete, case when frame % 2 = 0 then a - 2 * lag(a, 1, 0) over w + lag(a, 2, 0) over w else b - 2 * lag(b, 1, 0) over w + lag(b, 2, 0) over w end as residual from m window w as (partition by unit order by frame)""",
+)
 def _(v: Views):
     """Two sources in one carrier and a residual, taken apart again; units of 832 frames start anew."""
     both = mixing.side_by_side(v.sig, {"a": "view", "b": "click"}).dropna().withColumn("unit", F.floor(_c("frame") / 832).cast("long"))
@@ -130,7 +134,7 @@ def _(v: Views):
     w = Window.partitionBy("unit").orderBy("frame")
     residual = lambda n: _c(n) - 2 * F.lag(n, 1, 0).over(w) + F.lag(n, 2, 0).over(w)
     coded = both.select("unit", "frame", (_c("a") + _c("b")).alias("carrier"), F.when(_c("frame") % 2 == 0, residual("a")).otherwise(residual("b")).alias("residual"))
-    return recursions.decode_units(coded, ["unit"], "frame", {"a": "long", "b": "long", "carrier": "long", "complete": "boolean"}, _unmixed).drop("unit")
+    return recursions.decode_units(coded, ["unit"], "frame", {"a": "long", "b": "long", "carrier": "long", "complete": "boolean", "residual": "long"}, _unmixed).drop("unit")
 
 
 @query(

@@ -436,15 +436,19 @@ def _(v: Views):
     return v.orders.select("o_orderkey", bits.rice_code(_c("o_orderkey") % 200, 4).alias("code"))
 
 
-@query("rice_roundtrip", "select o_orderkey, o_orderkey % 1000 as back, cast(((o_orderkey % 1000) >> 5) + 6 as bigint) as n_bits from orders")
+@query(
+    "rice_roundtrip",
+    """select o_orderkey, repeat('1', cast((o_orderkey % 1000) >> 5 as int)) || '0' || lpad(bin((o_orderkey % 1000) & 31), 5, '0') as code, o_orderkey % 1000 as back, cast(((o_orderkey % 1000) >> 5) + 6 as bigint) as n_bits from orders""",
+)
 def _(v: Views):
     coded = v.orders.withColumn("code", bits.rice_code(_c("o_orderkey") % 1000, 5))
-    return coded.select("o_orderkey", bits.rice_decode("code", 5).alias("back"), F.length("code").cast("long").alias("n_bits"))
+    return coded.select("o_orderkey", "code", bits.rice_decode("code", 5).alias("back"), F.length("code").cast("long").alias("n_bits"))
 
 
 @query(
     "vlq_roundtrip",
-    "select o_orderkey, o_orderkey * 977 as back, cast((length(bin(o_orderkey * 977)) + 6) // 7 as bigint) as n_groups from orders",
+    """k as (select o_orderkey, o_orderkey * 977 as k, (length(bin(o_orderkey * 977)) + 6) // 7 as n from orders)
+    select o_orderkey, list_aggregate(list_transform(range(n), lambda g: case when g < n - 1 then '1' else '0' end || lpad(bin((k >> (7 * (n - 1 - g))) & 127), 7, '0')), 'string_agg', '') as code, k as back, cast(n as bigint) as n_groups from k""",
 )
 def _(v: Views):
     """Seven bits a group, high group first, a leading one on all groups but the last."""
@@ -455,7 +459,7 @@ def _(v: Views):
     coded = F.array_join(F.transform(F.sequence(F.lit(1), _c("n")), lambda g: F.concat(F.when(g < _c("n"), "1").otherwise("0"), F.substring(_c("bits"), (g - 1) * 7 + 1, F.lit(7)))), "")
     coded = padded.withColumn("code", coded)
     read = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length("code") / 8).cast("int") - 1), lambda g: F.substring(_c("code"), g * 8 + 2, F.lit(7))), "")
-    return coded.select("o_orderkey", F.conv(read, 2, 10).cast("long").alias("back"), F.floor(F.length("code") / 8).cast("long").alias("n_groups"))
+    return coded.select("o_orderkey", "code", F.conv(read, 2, 10).cast("long").alias("back"), F.floor(F.length("code") / 8).cast("long").alias("n_groups"))
 
 
 @query(
