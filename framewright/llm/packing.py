@@ -15,10 +15,10 @@ length; counts by task and length give every piece its rank among all pieces of
 length; the plan, a few thousand ranges of ranks, is broadcast and maps the rank to a
 sequence and a place in it. No task holds all pieces of a length.
 
-Token ids come from the tokenizers library. Texts are cut at white space and the ids of
-the parts are kept by each worker, where the file drops white space and the text has
-none but plain characters; other texts go to the library as they are, long ones in parts
-that end at a blank or a line's end.
+Token ids come from the tokenizers library. Where the file drops white space and a text has
+none but plain characters, its words go to the library's model when first met, and each
+worker keeps their ids; other texts go to the library as they are. Long texts are handled
+in parts that end at a blank or a line's end.
 
 Defined cases: a null or empty text is one end mark, a sequence piece of length 1. A
 document longer than ``size`` is cut into pieces of ``size`` tokens and a shorter last
@@ -35,7 +35,6 @@ import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
@@ -45,19 +44,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.llm import charsets, worker
-from framewright.llm.bpe import WORD_LEVEL
+from framewright.llm.bpe import WORD_LEVEL, byte_letters
 from framewright.scratch import Tables
 
-#: Parts of texts whose ids a Python worker keeps, and the longest one kept.
-PARTS_KEPT, PART_LENGTH_KEPT = 300_000, 32
-#: Characters of a text that are cut at a time, and parts that are looked up at a time.
-LETTERS_AT_A_TIME, PARTS_AT_A_TIME = 1 << 19, 1 << 16
+#: Words whose ids a Python worker keeps in each of two generations, and the longest one kept.
+WORDS_KEPT, WORD_LENGTH_KEPT = 250_000, 32
+#: Characters of a text that are cut into words at a time.
+LETTERS_AT_A_TIME = 1 << 19
 
-_BREAK = re.compile("[ \n]")
+_BREAK, _CONTROL = re.compile("[ \n]"), re.compile("[\\x00-\\x08\\x0e-\\x1f\\x7f]")
+#: The words of files that drop white space, in texts of plain characters.
+_WORDS = re.compile(f"[{charsets.LETTERS}]+|[{charsets.DIGITS}]|'(?:s|t|re|ve|m|ll|d)|[^{charsets.SPACE}{charsets.LETTERS}{charsets.DIGITS}]+")
 
 
 class Ids(dict):
-    """Texts to ids, as bytes of little-endian 32-bit numbers; the ids of short parts are kept as this dict's values."""
+    """Texts to ids, as bytes of little-endian 32-bit numbers; the ids of short words are kept as this dict's values.
+
+    A full dict becomes the older generation, so words in use outlive it.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -65,52 +69,44 @@ class Ids(dict):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model, self.letters, self.older = self.library.model, byte_letters(), {}
         made = json.loads(Path(path).read_text())
         steps, cuts = ((x or {}).get(n, [x or {}]) for x, n in ((made.get("normalizer"), "normalizers"), (made.get("pre_tokenizer"), "pretokenizers")))
-        #: True if words never hold white space, so a text's parts between blanks can be encoded one by one.
-        self.drops_space = (cuts[0].get("pattern") or {}).get("Regex") == WORD_LEVEL and cuts[0].get("behavior") == "Removed" and bool(cuts[0].get("invert"))
+        #: True if words never hold white space and are spelled by their bytes, so that they can be encoded one by one.
+        self.by_word = (cuts[0].get("pattern") or {}).get("Regex") == WORD_LEVEL and cuts[0].get("behavior") == "Removed" and bool(cuts[0].get("invert")) and cuts[-1].get("type") == "ByteLevel"
         self.lowers = any(x.get("type") == "Lowercase" for x in steps)
         added = [re.escape(x["content"]) for x in made.get("added_tokens", [])]
         self.added = re.compile("|".join(added)) if added else None
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in found]
-
-    def _of_parts(self, parts: list[str]) -> list[bytes]:
-        """The ids of each part; parts that are not kept go to the library together, each once."""
-        found = list(map(self.get, parts))
-        if None in found:
-            missing = list(dict.fromkeys([p for p, x in zip(parts, found, strict=True) if x is None]))
-            made = dict(zip(missing, self._encode(missing), strict=True))
-            found = [made[p] if x is None else x for p, x in zip(parts, found, strict=True)]
-            if len(self) + len(made) > PARTS_KEPT:
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self._encode(word)
+        if len(word) <= WORD_LENGTH_KEPT:
+            if len(self) >= WORDS_KEPT:
+                self.older = dict(self)
                 self.clear()
-            self.update((p, x) for p, x in made.items() if len(p) <= PART_LENGTH_KEPT)
-        return found
-
-    def blocks(self, texts: list[str]) -> Iterator[tuple[int, bytes]]:
-        """(place of a text, ids of its next block), in order; every text has one block at least."""
-        places, ends, parts = [], [0], []
-        for k, text in enumerate(texts):
-            for block in pieces_of(text) if self.drops_space else [text]:
-                if not self.drops_space or (self.added and self.added.search(block)) or not charsets.is_plain(block):
-                    yield from self._looked_up(places, ends, parts)
-                    places, ends, parts = [], [0], []
-                    yield k, self._encode([block])[0]
-                    continue
-                parts += (block.lower() if self.lowers else block).split()
-                places.append(k)
-                ends.append(len(parts))
-                if len(parts) >= PARTS_AT_A_TIME:
-                    yield from self._looked_up(places, ends, parts)
-                    places, ends, parts = [], [0], []
-        yield from self._looked_up(places, ends, parts)
-
-    def _looked_up(self, places: list[int], ends: list[int], parts: list[str]) -> Iterator[tuple[int, bytes]]:
-        found = self._of_parts(parts)
-        for k, (start, end) in zip(places, pairwise(ends), strict=True):
-            yield k, b"".join(found[start:end])
+            self[word] = ids
+        return ids
+
+    def _encode(self, word: str) -> bytes:
+        spelled = word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode()))
+        found = self.model.tokenize(spelled)
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
+    def blocks(self, text: str) -> Iterator[bytes]:
+        """The ids of a text, block by block; one at least."""
+        for block in pieces_of(text) if self.by_word else [text]:
+            if self.by_word and not (self.added and self.added.search(block)) and is_plain(block):
+                yield b"".join(map(self.__getitem__, _WORDS.findall(block.lower() if self.lowers else block)))
+            else:
+                found = self.library.encode(block, add_special_tokens=False).ids
+                yield struct.pack(f"<{len(found)}I", *found)
+
+
+def is_plain(text: str) -> bool:
+    """As ``charsets.is_plain``; quicker for texts of ASCII."""
+    return _CONTROL.search(text) is None if text.isascii() else charsets.is_plain(text)
 
 
 def pieces_of(text: str) -> Iterator[str]:
@@ -239,10 +235,10 @@ def _cutting(path: str, size: int, id_col: str, keep_ids: bool):
         seen = np.zeros(size + 1, np.int64)
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [], [])
-
-            def note(place: int, blocks: list[bytes], rows=rows) -> None:
+            kept: list[bytes] = []
+            for place, text in enumerate(batch.column(1).to_pylist()):
                 start = 0
-                for k, ids in enumerate(cut(iter(blocks), size)):
+                for k, ids in enumerate(cut(own.blocks(text or ""), size)):
                     n = len(ids) // 4
                     for column, value in zip(rows, (place, k, start, n, zlib.crc32(ids), int(seen[n])), strict=True):
                         column.append(value)
@@ -250,16 +246,6 @@ def _cutting(path: str, size: int, id_col: str, keep_ids: bool):
                     start += n
                     if keep_ids:
                         kept.append(ids)
-
-            kept: list[bytes] = []
-            now, blocks = 0, []
-            for place, block in own.blocks([x or "" for x in batch.column(1).to_pylist()]):
-                if place != now:
-                    note(now, blocks)
-                    now, blocks = place, []
-                blocks.append(block)
-            if batch.num_rows:
-                note(now, blocks)
             place, piece, start, length, crc, rank = rows
             columns = [batch.column(0).take(pa.array(place, pa.int64())), *(pa.array(x, t) for x, t in ((piece, pa.int32()), (start, pa.int64()), (length, pa.int64()), (crc, pa.int64()), (rank, pa.int64())))]
             columns.append(pa.array(np.full(len(place), part), pa.int32()))

@@ -147,14 +147,11 @@ WORDS = ["the", "The", "don't", "WE'LL", "a.b,c", "x1y22", "§", "½", "é", "na
 def test_ids_are_the_librarys(library, seed, monkeypatch):
     draw = np.random.default_rng(seed)
     monkeypatch.setattr(packing, "LETTERS_AT_A_TIME", int(draw.integers(1, 60)))
-    monkeypatch.setattr(packing, "PARTS_AT_A_TIME", int(draw.integers(1, 30)))
-    monkeypatch.setattr(packing, "PARTS_KEPT", int(draw.integers(1, 30)))
+    monkeypatch.setattr(packing, "WORDS_KEPT", int(draw.integers(1, 30)))
     own = packing.Ids(PATH)
     texts = ["".join(str(w) + str(draw.choice(["", " ", "\n", "  ", "\t", "."])) for w in draw.choice(WORDS[: int(draw.integers(3, len(WORDS)))], int(draw.integers(0, 40)))) for _ in range(30)]
-    got = defaultdict(bytes)
-    for k, ids in own.blocks(texts):
-        got[k] += ids
-    assert [np.frombuffer(got[k], "<u4").tolist() for k in range(len(texts))] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    got = [np.frombuffer(b"".join(own.blocks(t)), "<u4").tolist() for t in texts]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_files_that_keep_white_space(spark, odd):
