@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from framewright.operators import blocks_plan, recursions
 from framewright.plans.registry import query
 from framewright.plans.views import Views
+from framewright.streaming import units
 
 _c = F.col
 
@@ -85,3 +86,14 @@ _PERIODS = {"config": 500, "gain": 1, "loudness": 96, "name": 33, "position": 64
 def _(v: Views):
     units = v.sig.select("channel", F.floor(_c("frame") / 32).cast("long").alias("unit")).distinct()
     return blocks_plan.timers(units, _PERIODS, 32)
+
+
+@query(
+    "unit_encode",
+    """u as (select channel, frame // 1024 as unit, min(frame) as start, count(*) as n, string_agg(lpad(lower(to_hex(x & 255)), 2, '0') || lpad(lower(to_hex((x >> 8) & 255)), 2, '0') || lpad(lower(to_hex((x >> 16) & 255)), 2, '0'), '' order by frame) as body from sig group by 1, 2)
+    select channel, start, n, 1024 - n as padded, sha256(unhex(body || repeat('000000', cast(1024 - n as int)))) as payload_sha256 from u""",
+)
+def _(v: Views):
+    """Units of 1024 samples as bytes, the last one of a channel padded; a test holds the stream's units against them."""
+    done = units.units_of(v.sig, 1024)
+    return done.select("channel", "start", "n", "padded", F.sha2("payload", 256).alias("payload_sha256"))
