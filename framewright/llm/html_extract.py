@@ -87,7 +87,7 @@ SHORT_ITEM = 30
 _VALUE = r"\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|={_VALUE})*+)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(rf"([^\s=\"'/]+)(?:\s*=({_VALUE}))?")
-_REFERENCE, _ANCHOR = re.compile(r"&#?\w+;?"), re.compile(r"<(/?)a(?=[\s/>])", re.IGNORECASE)
+_LETTER, _ANCHOR = re.compile(r"&#?\w+;?|([^\W\d_])"), re.compile(r"<(/?)a(?=[\s/>])", re.IGNORECASE)
 _NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _CLOSED = tuple(".!?…:;,\"')]”’»。！？")
@@ -110,6 +110,11 @@ def is_noise_name(name: str) -> bool:
     return bool(noise_word(name))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter outside of character references."""
+    return any(found[1] for found in _LETTER.finditer(text))
+
+
 def attributes_of(text: str) -> dict[str, str]:
     """Attribute names in lower case, with their values without quotes."""
     found = {}
@@ -236,7 +241,7 @@ def parse(html: str) -> Page:
             if in_link:
                 links += len(" ".join(text.split()))
             else:
-                letters = letters or any(map(str.isalpha, _REFERENCE.sub("", text)))
+                letters = letters or has_letter(text)
         if not found:
             break
         at = found.end()
