@@ -129,23 +129,29 @@ def read_units(cursor: Cursor, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def _reading(key: list[str], names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cut, first, end, count = (batch.column(n) for n in ("_bytes", "_first", "_end", "_count"))
-            lengths = pc.binary_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
-            base = 8 * (np.cumsum(lengths) - lengths)
-            data = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(cut)], pa.int32()), cut), b"")[0].as_buffer(), np.uint8)
-            first, end, count = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (first, end, count))
-            shift = base - (first >> 3 << 3)  # of a bit's number in the stream to that in data
-            cursor = Cursor(data, first + shift, np.minimum(end, (first >> 3 << 3) + 8 * lengths) + shift)
-            values = read_units(cursor, count)
-            inside = np.arange(values.shape[1]) < count[:, None]
-            flat = pa.array(values[inside])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), flat, mask=pa.array(~cursor.ok))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in key), pa.array(first), pa.array(cursor.at - shift), pa.array(cursor.ok), lists], names)
+def cut_units(streams: DataFrame, key: list[str], data: str, index: str) -> DataFrame:
+    """key, unit, _bytes, _first, _end and _count of every unit that the index (array of structs with start, and count if it has one) names."""
+    stream = F.coalesce(data, F.lit(b""))
+    whole = F.octet_length(stream).cast("long") * 8
+    each = streams.select(*key, stream.alias("_data"), F.col(index).alias("_index"), whole.alias("_whole"), F.posexplode(index).alias("_unit", "_at"))
+    end = F.coalesce(F.try_element_at("_index", F.col("_unit") + 2)["start"].cast("long"), F.col("_whole"))
+    first = F.col("_at.start").cast("long")
+    start = F.shiftright(first, 3)
+    length = F.greatest(F.lit(0), F.shiftright(end + 7, 3) - start)
+    counted = "count" in streams.schema[index].dataType.elementType.fieldNames()
+    count = F.col("_at.count").cast("long") if counted else F.lit(0).cast("long")
+    return each.select(*key, F.col("_unit").cast("long").alias("unit"), F.substring("_data", (start + 1).cast("int"), length.cast("int")).alias("_bytes"), first.alias("_first"), end.alias("_end"), count.alias("_count"))
 
-    return run
+
+def laid_out(batch: pa.RecordBatch) -> tuple[Cursor, np.ndarray]:
+    """A cursor over the bytes of a batch of units, and what to add to a bit's number in its stream to get its place there."""
+    cut = batch.column("_bytes")
+    lengths = pc.binary_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+    base = 8 * (np.cumsum(lengths) - lengths)
+    data = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(cut)], pa.int32()), cut), b"")[0].as_buffer(), np.uint8)
+    first, end = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("_first", "_end"))
+    shift = base - (first >> 3 << 3)
+    return Cursor(data, first + shift, np.minimum(end, (first >> 3 << 3) + 8 * lengths) + shift), shift
 
 
 def decode(streams: DataFrame, key: list[str], data: str, index: str) -> DataFrame:
@@ -157,17 +163,19 @@ def decode(streams: DataFrame, key: list[str], data: str, index: str) -> DataFra
     null index has no units; the units of a null or empty stream fail.
     """
     kinds = dict(streams.dtypes)
-    stream = F.coalesce(data, F.lit(b""))
-    whole = F.octet_length(stream).cast("long") * 8
-    each = streams.select(*key, stream.alias("_data"), F.col(index).alias("_index"), whole.alias("_whole"), F.posexplode(index).alias("_unit", "_at"))
-    end = F.coalesce(F.try_element_at("_index", F.col("_unit") + 2)["start"].cast("long"), F.col("_whole"))
-    first = F.col("_at.start").cast("long")
-    start = F.shiftright(first, 3)
-    length = F.greatest(F.lit(0), F.shiftright(end + 7, 3) - start)
-    cut = each.select(*key, F.col("_unit").cast("long").alias("unit"), F.substring("_data", (start + 1).cast("int"), length.cast("int")).alias("_bytes"), first.alias("_first"), end.alias("_end"), F.col("_at.count").cast("long").alias("_count"))
-    fields = ", ".join(f"`{k}` {kinds[k]}" for k in key)
     names = [*key, "unit", "start_bit", "end_bit", "ok", "values"]
-    return cut.mapInArrow(_reading([*key, "unit"], names), f"{fields}, unit long, start_bit long, end_bit long, ok boolean, values array<long>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cursor, shift = laid_out(batch)
+            count = batch.column("_count").to_numpy(zero_copy_only=False).astype(np.int64)
+            values = read_units(cursor, count)
+            inside = np.arange(values.shape[1]) < count[:, None]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(values[inside]), mask=pa.array(~cursor.ok))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in (*key, "unit")), batch.column("_first"), pa.array(cursor.at - shift), pa.array(cursor.ok), lists], names)
+
+    fields = ", ".join(f"`{k}` {kinds[k]}" for k in key)
+    return cut_units(streams, key, data, index).mapInArrow(run, f"{fields}, unit long, start_bit long, end_bit long, ok boolean, values array<long>")
 
 
 def low_first(value, width) -> Column:

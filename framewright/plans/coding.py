@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framewright.functions import bits
-from framewright.operators import bitstream, mixing, recursions
+from framewright.operators import bitstream, mixing, records, recursions
 from framewright.plans.registry import query
 from framewright.plans.views import Views
 
@@ -131,6 +131,10 @@ def _bits_sql(at: str, n: str) -> str:
     return f"coalesce(list_sum(list_transform(range({n}), lambda i: case when substr(code, cast({at} + i + 1 as bigint), 1) = '1' then 1::bigint << i else 0 end)), 0)::bigint"
 
 
+def _bits_high(at: str, n: str) -> str:
+    return f"coalesce(list_sum(list_transform(range({n}), lambda i: case when substr(code, cast({at} + i + 1 as bigint), 1) = '1' then 1::bigint << ({n} - 1 - i) else 0 end)), 0)::bigint"
+
+
 #: Heads of the five makes of units: runs and kinds.
 _HEADS = ["11" + "01" + "1100" + "01" + "0100", "11" + "00" + "1" + "10100" + "00" + "1" + "01100", "0" + "01" + "0010", "0" + "10", "11" + "10" + "10"]
 
@@ -184,3 +188,38 @@ def _(v: Views):
     told = streams.withColumn("stream_sha256", F.sha2("bytes", 256))
     done = bitstream.decode(told, ["channel", "stream", "stream_sha256"], "bytes", "index")
     return done.select("channel", (_c("stream") * 16 + _c("unit")).alias("unit"), "start_bit", "end_bit", "ok", F.array_join("values", ",").alias("values"), "stream_sha256")
+
+
+_OPCODES = [2, 3, 0x40, 0x66, 0x80, 0x5B, 0x41]  # by line number
+_WIDTHS = [records.METADATA[op] for op in _OPCODES]
+
+
+@query(
+    "tagged_records",
+    f"""recursive line as (select l_orderkey, l_linenumber, [{", ".join(map(str, _OPCODES))}][l_linenumber] as op, [{", ".join(str(w[0]) for w in _WIDTHS)}][l_linenumber] as w1, [{", ".join(str(w[1] if len(w) > 1 else 0) for w in _WIDTHS)}][l_linenumber] as w2,
+      (l_partkey * 7919 + l_suppkey) as v from lineitem),
+    coded as (select l_orderkey, '00000001' || string_agg(lpad(bin(op), 8, '0') || lpad(bin(v & ((1::bigint << w1) - 1)), w1, '0') || case when w2 > 0 then lpad(bin((v >> 3) & ((1::bigint << w2) - 1)), w2, '0') else '' end, '' order by l_linenumber, v & ((1::bigint << w1) - 1), (v >> 3) & ((1::bigint << w2) - 1)) || '00000000' as code from line group by 1),
+    placed as (select l_orderkey, code, coalesce(sum(length(code)) over (partition by l_orderkey // 64 order by l_orderkey rows between unbounded preceding and 1 preceding), 0)::bigint as start_bit from coded),
+    step as (select l_orderkey, code, 8::bigint as spot, 0 as k, null::bigint as op, null::bigint as v1, null::bigint as v2, false as over from coded
+      union all select l_orderkey, code, spot + 8 + w1 + w2, k + 1, o, case when w1 > 0 then {_bits_high("spot + 8", "w1")} end, case when w2 > 0 then {_bits_high("spot + 8 + w1", "w2")} end, o = 0
+      from (select *, case when o = 0 then 0 when o in (2, 4, 30, 31, 65, 71) or o between 80 and 88 or o = 64 then 8 when o in (1, 3) or o between 90 and 98 then 16 when o between 100 and 108 then 24 else 32 end as w1, case o when 64 then 8 else 0 end as w2
+        from (select *, {_bits_high("spot", "8")} as o from step where not over))),
+    back as (select l_orderkey, max(spot) as last, string_agg(op || ':' || v1 || coalesce(':' || v2, ''), ',' order by k) filter (where op > 0) as records from step group by 1)
+    select p.l_orderkey, p.start_bit, (p.start_bit + b.last)::bigint as end_bit, true as ok, 1::bigint as tag, b.records, p.code from placed p join back b using (l_orderkey)""",
+)
+def _(v: Views):
+    """An order's lines as a block of records, blocks of 64 order numbers in a stream, parsed side by side; bits and records both."""
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), _c("l_linenumber"))
+    number = _c("l_partkey") * 7919 + _c("l_suppkey")
+    low = lambda x, w: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), w) - 1)
+    second = pick([w[1] if len(w) > 1 else 0 for w in _WIDTHS])
+    line = v.lineitem.select("l_orderkey", "l_linenumber", F.struct(pick(_OPCODES).cast("long").alias("opcode"), low(number, pick([w[0] for w in _WIDTHS])).alias("value"), F.when(second > 0, low(F.shiftright(number, 3), second)).alias("second")).alias("r"))
+    blocks = line.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "r"))), lambda x: x["r"]).alias("rs"))
+    coded = blocks.select("l_orderkey", F.floor(_c("l_orderkey") / 64).alias("stream"), records.block_code(F.lit(1).cast("long"), _c("rs")).alias("code"))
+    rows = coded.groupBy("stream").agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "code"))).alias("bs"))
+    starts = F.transform("bs", lambda b, k: F.struct(F.aggregate(F.slice("bs", 1, k), F.lit(0).cast("long"), lambda s, e: s + F.length(e["code"])).alias("start")))
+    streams = rows.select("stream", "bs", bitstream.packed(F.array_join(F.transform("bs", lambda b: b["code"]), "")).alias("bytes"), starts.alias("index"))
+    done = records.parse(streams, ["stream", "bs"], "bytes", "index")
+    own = F.element_at("bs", (_c("unit") + 1).cast("int"))
+    told = F.array_join(F.transform("records", lambda r: F.concat_ws(":", r["opcode"], r["value"], r["second"])), ",")
+    return done.select(own["l_orderkey"].alias("l_orderkey"), "start_bit", "end_bit", "ok", "tag", told.alias("records"), own["code"].alias("code"))
