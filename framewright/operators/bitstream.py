@@ -221,5 +221,5 @@ def unit_code(values: Column, kind: int, size, runs: tuple[int, object] | None =
 
 def packed(bits: Column) -> Column:
     """Bits as text to bytes, the first bit lowest; the last byte is filled with zeros."""
-    octets = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(bits) / 8).cast("int") - 1)), lambda k: F.lpad(F.hex(F.conv(F.reverse(F.rpad(F.substring(bits, k * 8 + 1, F.lit(8)), 8, "0")), 2, 10).cast("long")), 2, "0"))
-    return F.unhex(F.array_join(octets, ""))
+    octets = F.regexp_extract_all(bits, F.lit(".{1,8}"), F.lit(0))  # one pass: a substring by place would start anew for each byte
+    return F.unhex(F.array_join(F.transform(octets, lambda o: F.lpad(F.hex(F.conv(F.reverse(F.rpad(o, 8, "0")), 2, 10).cast("long")), 2, "0")), ""))

@@ -218,8 +218,8 @@ def _(v: Views):
     coded = blocks.select("l_orderkey", F.floor(_c("l_orderkey") / 64).alias("stream"), records.block_code(F.lit(1).cast("long"), _c("rs")).alias("code"))
     rows = coded.groupBy("stream").agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "code"))).alias("bs"))
     starts = F.transform("bs", lambda b, k: F.struct(F.aggregate(F.slice("bs", 1, k), F.lit(0).cast("long"), lambda s, e: s + F.length(e["code"])).alias("start")))
-    streams = rows.select("stream", "bs", bitstream.packed(F.array_join(F.transform("bs", lambda b: b["code"]), "")).alias("bytes"), starts.alias("index"))
-    done = records.parse(streams, ["stream", "bs"], "bytes", "index")
-    own = F.element_at("bs", (_c("unit") + 1).cast("int"))
+    streams = rows.select("stream", bitstream.packed(F.array_join(F.transform("bs", lambda b: b["code"]), "")).alias("bytes"), starts.alias("index"))
+    named = rows.select("stream", F.posexplode("bs").alias("unit", "b")).select("stream", _c("unit").cast("long").alias("unit"), "b.*")
+    done = records.parse(streams, ["stream"], "bytes", "index").join(named, ["stream", "unit"])
     told = F.array_join(F.transform("records", lambda r: F.concat_ws(":", r["opcode"], r["value"], r["second"])), ",")
-    return done.select(own["l_orderkey"].alias("l_orderkey"), "start_bit", "end_bit", "ok", "tag", told.alias("records"), own["code"].alias("code"))
+    return done.select("l_orderkey", "start_bit", "end_bit", "ok", "tag", told.alias("records"), "code")
