@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framewright.functions import bits
-from framewright.operators import bitstream, mixing, records, recursions
+from framewright.operators import bitstream, mixing, prediction, records, recursions
 from framewright.plans.registry import query
 from framewright.plans.views import Views
 
@@ -223,3 +223,29 @@ def _(v: Views):
     done = records.parse(streams, ["stream"], "bytes", "index").join(named, ["stream", "unit"])
     told = F.array_join(F.transform("records", lambda r: F.concat_ws(":", r["opcode"], r["value"], r["second"])), ",")
     return done.select("l_orderkey", "start_bit", "end_bit", "ok", "tag", told.alias("records"), "code")
+
+
+#: Reflection coefficients of five filters: silence, the last value, a line, a parabola, and one that rounds.
+_FILTERS = [[], [1 << 23], [1 << 23, 1 << 24], [1 << 23, 0, 3 << 23], [6291457, -4194307]]
+
+
+def _frame_sql() -> str:
+    one = 1 << 23
+    c = 6291457 - -((4194307 * 6291457) // one)  # the last filter's older coefficient: k0 less k1 * k0, toward zero
+    guesses = ["0", "x1", "2 * x1 - x2", "3 * x1 - 3 * x2 + x3", f"({c} * x2 - 4194307 * x1) // {one}"]
+    tried = ", ".join(f"x - ({g}) as r{n}" for n, g in enumerate(guesses))
+    order = " ".join(f"when s.s{n} = least(s.s0, s.s1, s.s2, s.s3, s.s4) then {n}" for n in range(5))
+    return f"""l as (select channel, frame, x, frame // 256 as unit, coalesce(lag(x, 1) over w, 0) as x1, coalesce(lag(x, 2) over w, 0) as x2, coalesce(lag(x, 3) over w, 0) as x3 from sig window w as (partition by channel, frame // 256 order by frame)),
+    t as (select *, {tried} from l), s as (select channel, unit, {", ".join(f"sum(abs(r{n})) as s{n}" for n in range(5))} from t group by 1, 2),
+    c as (select t.*, cast(case {order} end as bigint) as choice from t join s using (channel, unit))
+    select channel, frame, choice, [r0, r1, r2, r3, r4][choice + 1]::bigint as residual, x from c"""
+
+
+@query("prediction_frame", _frame_sql())
+def _(v: Views):
+    """Units of 256 samples, each coded by the one of five filters that leaves least, and restored with the filter that comes with it."""
+    unit = F.floor(_c("frame") / 256).cast("long")
+    samples = v.sig.filter("channel is not null").withColumn("unit", unit)
+    window = Window.partitionBy("channel", "unit").orderBy("frame")
+    frames = prediction.coded(samples, ["channel", "unit"], "frame", "x", _FILTERS, window)
+    return prediction.restored(frames, ["channel", "unit"], "frame").drop("unit")
