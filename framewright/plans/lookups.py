@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from framewright.functions import bits, fixed
 from framewright.operators import lookups, ordered
 from framewright.plans.registry import query
 from framewright.plans.views import Views
-from framewright.scratch import new_path
-from framewright.sources import sinks, wav
+from framewright.scratch import new_path, write_table
+from framewright.sources import boxes, sinks, wav
 
 _c = F.col
 _CHANNELS = [(0, "signup", "L"), (1, "purchase", "R"), (2, "error", "C"), (3, "view", "LFE"), (4, "click", "LS"), (5, "extra", "RS")]
@@ -335,6 +336,33 @@ def _(v: Views):
     return back.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"))
 
 
+@query(
+    "box_samples",
+    """s as (select c_nationkey, c_custkey // 4096 as part, c_name, row_number() over (partition by c_nationkey, c_custkey // 4096 order by c_custkey) - 1 as sample, length(c_name) as size from customer),
+    c as (select *, case when sample < 6 then sample // 3 else 2 + (sample - 6) // 2 end as chunk from s)
+    select c_nationkey, part, sample, cast(24 + sum(size) over (partition by c_nationkey, part order by sample) - size + 5 * chunk as bigint) as "offset", cast(size as bigint) as size, c_name as data from c""",
+)
+def _(v: Views):
+    """A nation's customers, 4096 numbers a file, as samples in nested boxes, chunks of three and then two with gaps; found again by the files' tables."""
+    path = new_path(v.spark, "boxes")
+    def write(batches):
+        store, inner = wav.located(path)
+        store.create_dir(inner)
+        for batch in batches:
+            told = []
+            for key, part, samples in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                name = f"nation-{key}-{part}.boxes"
+                with store.open_output_stream(f"{inner}/{name}") as f:
+                    f.write(boxes.file_of([x.encode() for x in samples], [(1, 3), (3, 2)], gap=5))
+                told.append(f"{path}/{name}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(told, pa.string())], ["c_nationkey", "part", "path"])
+
+    names = F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name"))), lambda r: r["c_name"])
+    files, _ = write_table(v.customer.groupBy("c_nationkey", F.floor(_c("c_custkey") / 4096).alias("part")).agg(names.alias("names")).mapInArrow(write, "c_nationkey int, part long, path string"), "box-files")
+    found = boxes.read_samples(v.spark, files.select("path"), samples_per_task=100, tasks=8)
+    return found.join(files, "path").select("c_nationkey", "part", "sample", "offset", "size", _c("data").cast("string").alias("data"))
+
+
 def _little_sql(x: str, width: int) -> str:
     """A number's bytes in hex, the lowest first."""
     return " || ".join(f"lpad(lower(to_hex((({x}) >> {8 * k}) & 255)), 2, '0')" for k in range(width))
