@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Sizes that a block may have.
 SIZES = [*(s for s in range(256, 1025, 16) if s != 992), 1000]
 FULL = 1024
+#: Parts that a key's rows are dealt to when they meet its plan.
+PARTS = 64
 
 
 @lru_cache(None)
@@ -29,7 +31,10 @@ def tail_plans() -> list[tuple[int, int, int, int]]:
 
 
 def scheduled(df: DataFrame, key: str, order: str) -> DataFrame:
-    """df with block and size: full blocks first, then the plan of what is left of the key's length."""
+    """df with block and size: full blocks first, then the plan of what is left of the key's length.
+
+    A key's plan has three rows at most; it is repeated for each of PARTS, so that a key with most rows meets it in many tasks.
+    """
     spark = df.sparkSession
     length = df.groupBy(F.col(key).alias("_key")).agg((F.max(order) + 1).alias("_length"))
     full = F.greatest(F.lit(0), F.floor(F.col("_length") / FULL) - 1).cast("long")
@@ -40,7 +45,9 @@ def scheduled(df: DataFrame, key: str, order: str) -> DataFrame:
     late = sized.join(plans, "_tail").select("_key", "_full", "_ord", (F.col("_full") * FULL + F.col("_start")).alias("_start"), "size")
     spans = early.unionByName(late).withColumn("_stop", F.when(F.col("_ord") < 0, F.col("_full") * FULL).otherwise(F.col("_start") + F.col("size")))
     at = F.col(order)
-    met = df.join(spans, F.col(key).eqNullSafe(F.col("_key")) & (at >= F.col("_start")) & (at < F.col("_stop")))
+    spans = spans.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    part = F.pmod(F.floor(at / FULL), F.lit(PARTS))
+    met = df.join(spans, F.col(key).eqNullSafe(F.col("_key")) & (part == F.col("_part")) & (at >= F.col("_start")) & (at < F.col("_stop")))
     block = F.when(F.col("_ord") < 0, F.floor(at / FULL)).otherwise(F.col("_full") + F.col("_ord")).cast("long")
     return met.select(*df.columns, block.alias("block"), "size")
 

@@ -10,13 +10,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Clusters up to which pairs are made, and a list is sorted in one task.
+MOST = 4096
+
+
+def short(clusters: DataFrame, most: int = MOST) -> DataFrame:
+    """clusters, counted; more than most are an error."""
+    if clusters.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} clusters: their pairs grow with the square, and their order takes one task")
+    return clusters
+
+
 def summary(points: DataFrame, key: list[str], value: str) -> DataFrame:
     """key, n, s (sum), ss (sum of squares)."""
     return points.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("ss"))
 
 
 def ward_costs(clusters: DataFrame) -> DataFrame:
-    """a, b, cost of merging each pair of a short list of clusters (id, n, s)."""
+    """a, b, cost of merging each pair of a short list of clusters (id, n, s); more than MOST are an error."""
+    clusters = short(clusters)
     left = clusters.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").cast("double").alias("sa"))
     right = clusters.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").cast("double").alias("sb"))
     energy = lambda s, n: s * s / n
@@ -38,12 +50,12 @@ def bin_codes(binned: DataFrame, n_bins: int = 201) -> DataFrame:
 
 
 def by_population(clusters: DataFrame) -> DataFrame:
-    """A short list of clusters (label, n) with pos, from 1, by falling population."""
-    return clusters.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("n"), "label")).cast("long"))
+    """A short list of clusters (label, n) with pos, from 1, by falling population; more than MOST are an error."""
+    return short(clusters).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("n"), "label")).cast("long"))
 
 
-#: Points of a key that one task learns from at a time.
-UNIT = 4096
+#: Points of a key that one task learns from at a time, and units whose clusters are learned together.
+UNIT, TOGETHER = 4096, 64
 
 
 def learn(points: list[tuple[int, int]], limit: int) -> list[tuple[int, int]]:
@@ -86,7 +98,8 @@ def _units(points: DataFrame, key: str, order: str, value: str, unit: int) -> Da
 def online(points: DataFrame, key: str, order: str, value: str, limit: int, unit: int = UNIT) -> DataFrame:
     """key, cluster, n, s: the learner over each unit of a key's points, in order, and then over the units' clusters.
 
-    A key's task sees limit clusters a unit, in the order of units; of one unit, its clusters are those of the unit.
+    Units are merged as a tree: TOGETHER units that follow each other are learned as one, in their order, until a key
+    has no more than TOGETHER; a task sees limit * TOGETHER clusters. Of one unit, its clusters are those of the unit.
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,6 +121,19 @@ def online(points: DataFrame, key: str, order: str, value: str, limit: int, unit
 
     kind = dict(points.dtypes)[key]
     learned = _units(points, key, order, value, unit).mapInArrow(first, f"`{key}` {kind}, _unit long, _found array<struct<n: bigint, s: bigint>>")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [learn([(c["n"], c["s"]) for u in units for c in u["_found"]], limit) if len(units) > 1 else [(c["n"], c["s"]) for c in units[0]["_found"]] for units in batch.column(2).to_pylist()]
+            made = pa.array([[{"n": n, "s": s} for n, s in x] for x in found], pa.list_(pa.struct([("n", pa.int64()), ("s", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], [key, "_unit", "_found"])
+
+    ends = points.agg(F.min(order), F.max(order)).first()
+    units = 0 if ends[0] is None else ends[1] // unit - ends[0] // unit + 1
+    while units > TOGETHER:
+        grouped = learned.groupBy(key, F.floor(F.col("_unit") / TOGETHER).alias("_more")).agg(F.sort_array(F.collect_list(F.struct("_unit", "_found"))).alias("_units"))
+        learned = grouped.mapInArrow(merge, f"`{key}` {kind}, _unit long, _found array<struct<n: bigint, s: bigint>>")
+        units = -(-units // TOGETHER)
     whole = learned.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_unit", "_found"))).alias("_units"))
     return whole.mapInArrow(then, f"`{key}` {kind}, cluster long, n long, s long")
 

@@ -9,6 +9,7 @@ from framewright.operators import filters, mixing, ordered
 from framewright.operators.ordered import neighbours
 from framewright.plans.registry import query
 from framewright.plans.views import Views
+from framewright.scratch import write_table
 
 _c = F.col
 _W = "over (partition by channel order by frame)"
@@ -138,9 +139,7 @@ def _(v: Views):
     select frame, case when lag(x) over w is null or lead(x) over w is null then 0 else x - (((lag(x) over w // 2) * 2 + (lead(x) over w // 2) * 2) >> 1) end as d from p window w as (order by frame)""",
 )
 def _(v: Views):
-    a = v.sig.filter("channel = 'view'").select("frame", _c("x").alias("a"))
-    b = v.sig.filter("channel = 'click'").select("frame", _c("x").alias("b"))
-    mixed = a.join(b, "frame").select("frame", F.when(_c("frame") % 2 == 1, _c("a")).otherwise(_c("b")).alias("x"))
+    mixed = mixing.side_by_side(v.sig, {"a": "view", "b": "click"}).dropna().select("frame", F.when(_c("frame") % 2 == 1, _c("a")).otherwise(_c("b")).alias("x"))
     even = lambda e: fixed.clear_low_bits(e, 1)
 
     def d(w):
@@ -234,9 +233,10 @@ def _(v: Views):
     """Blocks of a silent channel take the mean of all channels."""
     from framewright.operators.blocks import block_of
 
-    silent = v.sig.groupBy("channel", block_of().alias("blk")).agg((F.max(F.abs("x")) < 6000000).alias("silent"))
-    mean = v.sig.groupBy("frame").agg(fixed.trunc_div(F.sum("x"), F.count(F.lit(1))).alias("mean"))
-    joined = v.sig.withColumn("blk", block_of()).join(silent, ["channel", "blk"]).join(mean, "frame")
+    sig, _ = write_table(v.sig, "numbered")  # read three times
+    silent = sig.groupBy("channel", block_of().alias("blk")).agg((F.max(F.abs("x")) < 6000000).alias("silent"))
+    mean = sig.groupBy("frame").agg(fixed.trunc_div(F.sum("x"), F.count(F.lit(1))).alias("mean"))
+    joined = sig.withColumn("blk", block_of()).join(silent, ["channel", "blk"]).join(mean, "frame")
     return joined.select("channel", "frame", F.when(_c("silent"), _c("mean")).otherwise(_c("x")).alias("x"))
 
 

@@ -33,6 +33,36 @@ def test_online(spark, unit):
         assert sorted(got[c]) == [(k, n, s) for k, (n, s) in enumerate(want)]
 
 
+def test_units_merge_in_a_tree(spark, monkeypatch):
+    """A task sees the clusters of three units at most, whatever a key's length."""
+    monkeypatch.setattr(clusters, "TOGETHER", 3)
+    draw = np.random.default_rng(7)
+    rows = [(c, k, int(draw.integers(-5000, 5000))) for c, n in (("a", 100), ("b", 12), (None, 3)) for k in range(n)]
+    got = {}
+    for r in clusters.online(spark.createDataFrame(rows, "channel string, frame long, x long"), "channel", "frame", "x", 2, 5).collect():
+        got.setdefault(r["channel"], []).append((r["cluster"], r["n"], r["s"]))
+    for c in ("a", "b", None):
+        x = [v for ch, _, v in rows if ch == c]
+        parts, units = {k // 5: brute_learn([(1, v) for v in x[k : k + 5]], 2) for k in range(0, len(x), 5)}, 20
+        while True:
+            last = units <= 3
+            groups = {}
+            for k, found in sorted(parts.items()):
+                groups.setdefault(0 if last else k // 3, []).append(found)
+            parts = {k: brute_learn([y for p in g for y in p], 2) if len(g) > 1 else g[0] for k, g in groups.items()}
+            if last:
+                break
+            units = -(-units // 3)
+        assert sorted(got[c]) == [(k, n, s) for k, (n, s) in enumerate(sorted(parts[0], key=lambda y: -y[0]))]
+
+
+def test_long_lists_are_refused(spark):
+    many = spark.range(30).selectExpr("id", "id as label", "1L as n", "id as s")
+    assert clusters.by_population(clusters.short(many, 30)).count() == 30
+    with pytest.raises(ValueError, match="more than 29"):
+        clusters.short(many, 29)
+
+
 def test_search(spark):
     draw = np.random.default_rng(8)
     x = [int(v) for v in draw.choice([-4000, 10, 900, 5000, 20_000], 60) + draw.integers(-20, 20, 60)]
