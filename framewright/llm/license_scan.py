@@ -209,13 +209,15 @@ SPDX = (
 #: Every known sentence holds one of these: single words, which no line break or other blank can part.
 KEYS = "licen|copy|permission|distribut|released|warrant|reserved|software|advertising"
 
-_MARKED = r"(^|\n)[ \t]*[#*/;%!-]+[ \t]*"
+_MARKED = r"(^|\n)[ \t]*(?:[#*/;%!-]+|dnl\b|rem\b|REM\b|\.\.|')[ \t]*"
 _WRAPPED = r"([^.!?:;\n])\n([a-z(])"
 _ANY_WRAPPED = r"([^.!?:;\n])\n([^\n])"
 _ENDED = r"([.!?:;])[ \t\r]+"
 _INNER = r"(?i)(spdx-license-identifier(?=:)|\bv(?=\.[ \t\r\n]+[0-9])|\b(?:inc|ltd|corp|co)(?=\.[ \t\r\n]+nor\b))[:.][ \t\r\n]*"
 _TAGGED = r"(?i)(?:^|\n)([^\n]*spdx-license-identifier [^\n]*)"  # from a line's start, so that long lines are searched once
 _TAG = "spdx license identifier "
+#: How a normalised sentence may go on behind the name of a licence.
+_TAIL = " see (the )?((license|copying|notice)( (md|txt|rst))? ){1,2}(file )?for (more |further )?(details|information)$"
 _HOLDER = "^neither the name of .* nor the names of its contributors "
 _ANY_HOLDER = "neither the name of the copyright holder nor the names of its contributors "
 
@@ -273,6 +275,7 @@ def _ids_in(text: Column, wrapped: str) -> Column:
     def found(piece: Column) -> Column:
         plain = F.replace(F.trim(F.regexp_replace(F.lower(piece), "[^a-z0-9]+", " ")), F.lit("licence"), F.lit("license"))
         plain = F.when(plain.startswith("neither the name of "), F.regexp_replace(plain, _HOLDER, _ANY_HOLDER)).otherwise(plain)
+        plain = F.when(F.contains(plain, F.lit(" see ")), F.regexp_replace(plain, _TAIL, "")).otherwise(plain)
         words = F.split(F.regexp_replace(F.lower(piece), r"(?s)^.*spdx-license-identifier\s*", ""), r"[^a-z0-9.+-]+")
         named = F.array_compact(F.transform(words, lambda w: F.try_element_at(spdx, F.rtrim(w, F.lit(".")))))
         tagged = plain.startswith(_TAG) | F.contains(plain, F.lit(" " + _TAG))

@@ -42,7 +42,7 @@ known as (
   select doc_id,
     regexp_replace(
       regexp_replace(
-        regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(^|\n)[ \t]*[#*/;%!-]+[ \t]*', '\1', 'g'), '(?i)(spdx-license-identifier):[ \t\r\n]*', '\1 ', 'g'),
+        regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(^|\n)[ \t]*(?:[#*/;%!-]+|dnl\b|rem\b|REM\b|\.\.|'')[ \t]*', '\1', 'g'), '(?i)(spdx-license-identifier):[ \t\r\n]*', '\1 ', 'g'),
         '(?i)\b(v)\.[ \t\r\n]+([0-9])', '\1 \2', 'g'), '(?i)\b(inc|ltd|corp|co)\.[ \t\r\n]+(nor)\b', '\1 \2', 'g'),
       '(?i)(^|\n)([^\n]*spdx-license-identifier [^\n]*)', chr(10) || chr(10) || '\2' || chr(10), 'g') as text
   from {documents}
@@ -53,7 +53,8 @@ known as (
 ), each as (
   select doc_id, way, unnest(parts) as part, generate_subscripts(parts, 1) as pos from cut
 ), plain as (
-  select doc_id, way, pos, part, regexp_replace({_plain("part")}, '^neither the name of .* nor the names of its contributors ', 'neither the name of the copyright holder nor the names of its contributors ') as sentence
+  select doc_id, way, pos, part, regexp_replace(regexp_replace({_plain("part")}, '^neither the name of .* nor the names of its contributors ', 'neither the name of the copyright holder nor the names of its contributors '),
+    ' see (the )?((license|copying|notice)( (md|txt|rst))? ){{1,2}}(file )?for (more |further )?(details|information)$', '') as sentence
   from each
 ), expression as (
   select doc_id, way, pos, string_split_regex(regexp_replace(lower(part), '(?s)^.*spdx-license-identifier\s*', ''), '[^a-z0-9.+-]+') as words

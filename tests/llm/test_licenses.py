@@ -192,3 +192,22 @@ def test_no_two_identifiers_share_a_sentence(monkeypatch):
 def test_rules_name_known_identifiers():
     names = set(license_scan.sentences())
     assert all(set(ids) <= names for _, ids in license_scan.RULES) and len(license_scan.RULES) >= 45
+
+
+TAILED = [
+    "This project is licensed under the MIT License - see the LICENSE file for details.",
+    "This project is licensed under the MIT License - see the [LICENSE](LICENSE) file for details",
+    "This project is licensed under the MIT License - see the [LICENSE.md](LICENSE.md) file for details.",
+    "Released under the MIT License, see LICENSE for more information.",
+    "dnl Released under the MIT License.",
+    "REM Released under the MIT License.",
+    ".. Released under the MIT License.",
+    "' Released under the MIT License.",
+]
+
+
+def test_tails_and_marks(spark):
+    want = [(["mit-statement"], ["mit-named"])] * len(TAILED)
+    assert scanned(spark, TAILED) == want
+    assert by_sql(TAILED) == want
+    assert scanned(spark, ["Released under the MIT License and see the license of the others for details."]) == [([], [])]
