@@ -6,17 +6,21 @@ cluster its absence is an error, as executors do not share local folders. A tabl
 written here cuts the lineage: a lost executor only costs the tasks that read it.
 
 ``Tables`` writes the steps of one job and drops them once they are no longer read;
-a lazy result keeps the tables that it reads itself.
+a lazy result keeps the tables that it reads itself. A caller that has written such a
+result drops them too by working inside ``scope``.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,7 +39,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a table in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Everything that is written to the shared folder inside is dropped at the end; results are to be written elsewhere, or collected, by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            drop_path(spark, path)
 
 
 def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
