@@ -29,3 +29,15 @@ def test_columns_and_rows(spark, sf_dir, name):
     assert CONTRACT[name].items() <= dict(done.dtypes).items()
     table = "pages" if name == "op8_html_extraction" else "documents"
     assert done.count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
+
+
+MORE = {
+    "op11_merkle": {"doc_id": "bigint", "leaf": "string", "subroot": "string", "root": "string", "proof_sha256": "string", "folded_root": "string", "verified": "boolean"},
+    "op12_packing": {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"},
+    "op13_whitening": {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double", "explained": "double", "identity_error": "double"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(MORE))
+def test_columns_of_operators_with_their_own_rows(spark, sf_dir, name):
+    assert dict(QUERIES[name](spark, sf_dir).dtypes) == MORE[name]
