@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.operators import ordered
 from framewright.operators.mixing import literals
-from framewright.operators.ordered import last_known, neighbours, running_sum
+from framewright.operators.ordered import BLOCK, neighbours
 
 
 def fir_terms(value: str, taps: list[int], window) -> Column:
@@ -18,18 +19,15 @@ def fir_terms(value: str, taps: list[int], window) -> Column:
     return total
 
 
-def absolute_delta(df: DataFrame, key: list[str], order: str, tracks: list[tuple[str, str, str]]) -> DataFrame:
+def absolute_delta(df: DataFrame, key: list[str], order: str, tracks: list[tuple[str, str, str]], block: int = BLOCK) -> DataFrame:
     """key, order and, per track (absolute, delta, name), the value: the last absolute plus the deltas since.
 
-    With a running sum S of the deltas, the value is S minus S at the last absolute
-    row plus that absolute: both carries go by blocks. Null before the first absolute.
+    All tracks are carried together, in one pass. With a running sum S of the deltas, the value
+    is S minus S at the last absolute row plus that absolute; both begin anew in each block, and
+    what a block takes from those before it comes from block summaries, in two levels. Null
+    before the first absolute.
     """
-    out = df
-    for absolute, delta, name in tracks:
-        out = running_sum(out, key, order, F.coalesce(delta, F.lit(0)), f"_s_{name}")
-        base = F.when(F.col(absolute).isNotNull(), F.col(absolute) - F.col(f"_s_{name}"))
-        out = last_known(out, key, order, {f"_b_{name}": base})
-    return out.select(*key, order, *[(F.col(f"_b_{n}") + F.col(f"_s_{n}")).alias(n) for _, _, n in tracks])
+    return ordered.restarted_sums(df, key, order, {n: (F.col(a), F.col(d)) for a, d, n in tracks}, block)
 
 
 def upsample(df: DataFrame, key: list[str], order: str, value: str, taps: list[int], factor: int) -> DataFrame:

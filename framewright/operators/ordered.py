@@ -105,6 +105,41 @@ def last_known(df: DataFrame, key: list[str], order: str, columns: dict[str, Col
     return made.drop("_key", "_blk", *[f"{p}{n}" for n in columns for p in ("_k_", "_i_", "_e_")])
 
 
+def restarted_sums(df: DataFrame, key: list[str], order: str, columns: dict[str, tuple[Column, Column]], block: int = BLOCK) -> DataFrame:
+    """key, order and, per name (start, step), the last non-null start at or before the row plus the steps since; null before the first.
+
+    The step of a row with a start does not count. The columns are carried together: df is shuffled
+    once, by block, and the summaries of all columns are one row a block.
+    """
+    ks = range(len(columns))
+    cut = _keyed(df, key, order, block).select(
+        "_key", "_blk", order, *[c.alias(f"_{p}{k}") for k, (start, step) in enumerate(columns.values()) for p, c in (("a", start), ("d", F.coalesce(step, F.lit(0))))]
+    )
+    w = Window.partitionBy("_key", "_blk").orderBy(order)
+    summed = cut.select("*", *[F.sum(f"_d{k}").over(w).alias(f"_s{k}") for k in ks])
+    base = lambda k: F.when(F.col(f"_a{k}").isNotNull(), F.col(f"_a{k}") - F.col(f"_s{k}"))
+    inside = summed.select("_key", "_blk", order, *[f"_s{k}" for k in ks], *[F.last(base(k), True).over(w).alias(f"_b{k}") for k in ks])
+
+    # a block's end: its sum, and its last start less the sum up to there; the same for a chain, counted from where it begins
+    ends = inside.groupBy("_key", "_blk").agg(F.max_by(F.struct(*[f"_{p}{k}" for k in ks for p in "sb"]), order).alias("_end"))
+    ends = ends.select("_key", "_blk", F.floor(F.col("_blk") / CHAIN).alias("_chain"), "_end.*")
+    near = _carried(ends, Window.partitionBy("_key", "_chain").orderBy("_blk"), ks)
+    last = lambda k: F.max_by(f"_e{k}", F.when(F.col(f"_e{k}").isNotNull(), F.col("_blk")))
+    chains = near.groupBy("_key", "_chain").agg(*[c for k in ks for c in (F.sum(f"_s{k}").alias(f"_s{k}"), last(k).alias(f"_b{k}"))])
+    far = _carried(chains, Window.partitionBy("_key").orderBy("_chain"), ks)
+    far = far.select("_key", "_chain", *[(F.col(f"_c{k}") + F.col(f"_p{k}")).alias(f"_f{k}") for k in ks])
+    before = near.join(far, ["_key", "_chain"]).select("_key", "_blk", *[(F.coalesce(f"_c{k}", f"_f{k}") + F.col(f"_p{k}")).alias(f"_v{k}") for k in ks])
+    met = inside.join(before, ["_key", "_blk"])
+    return met.select(*[F.col(f"_key.{c}") for c in key], order, *[(F.coalesce(f"_b{k}", f"_v{k}") + F.col(f"_s{k}")).alias(n) for k, n in enumerate(columns)])
+
+
+def _carried(rows: DataFrame, w: WindowSpec, ks: range) -> DataFrame:
+    """rows of sums _s and bases _b with _p, the sum of the rows before, _e, the base counted from the window's first row, and _c, the last _e before."""
+    summed = rows.select("*", *[(F.sum(f"_s{k}").over(w) - F.col(f"_s{k}")).alias(f"_p{k}") for k in ks])
+    based = summed.select("*", *[(F.col(f"_b{k}") - F.col(f"_p{k}")).alias(f"_e{k}") for k in ks])
+    return based.select("*", *[F.last(f"_e{k}", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_c{k}") for k in ks])
+
+
 def asof(left: DataFrame, right: DataFrame, on: str, key: list[str] | None = None, columns: list[str] | None = None, forward: bool = False, block: int = BLOCK) -> DataFrame:
     """left with the right row of the greatest on at or before it (forward: the least at or after); nulls if none.
 
