@@ -23,7 +23,7 @@ A unit that ends before its last symbol, or whose run is longer than what is lef
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -129,8 +129,8 @@ def read_units(cursor: Cursor, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def cut_units(streams: DataFrame, key: list[str], data: str, index: str) -> DataFrame:
-    """key, unit, _bytes, _first, _end and _count of every unit that the index (array of structs with start, and count if it has one) names."""
+def cut_units(streams: DataFrame, key: list[str], data: str, index: str, carried: Sequence[str] = ()) -> DataFrame:
+    """key, unit, _bytes, _first, _end, _count and the carried fields of every unit that the index (array of structs with start, count if it has one, and the carried fields) names."""
     stream = F.coalesce(data, F.lit(b""))
     whole = F.octet_length(stream).cast("long") * 8
     each = streams.select(*key, stream.alias("_data"), F.col(index).alias("_index"), whole.alias("_whole"), F.posexplode(index).alias("_unit", "_at"))
@@ -140,7 +140,7 @@ def cut_units(streams: DataFrame, key: list[str], data: str, index: str) -> Data
     length = F.greatest(F.lit(0), F.shiftright(end + 7, 3) - start)
     counted = "count" in streams.schema[index].dataType.elementType.fieldNames()
     count = F.col("_at.count").cast("long") if counted else F.lit(0).cast("long")
-    return each.select(*key, F.col("_unit").cast("long").alias("unit"), F.substring("_data", (start + 1).cast("int"), length.cast("int")).alias("_bytes"), first.alias("_first"), end.alias("_end"), count.alias("_count"))
+    return each.select(*key, F.col("_unit").cast("long").alias("unit"), F.substring("_data", (start + 1).cast("int"), length.cast("int")).alias("_bytes"), first.alias("_first"), end.alias("_end"), count.alias("_count"), *[F.col(f"_at.{c}").alias(c) for c in carried])
 
 
 def laid_out(batch: pa.RecordBatch) -> tuple[Cursor, np.ndarray]:
@@ -221,5 +221,7 @@ def unit_code(values: Column, kind: int, size, runs: tuple[int, object] | None =
 
 def packed(bits: Column) -> Column:
     """Bits as text to bytes, the first bit lowest; the last byte is filled with zeros."""
-    octets = F.regexp_extract_all(bits, F.lit(".{1,8}"), F.lit(0))  # one pass: a substring by place would start anew for each byte
-    return F.unhex(F.array_join(F.transform(octets, lambda o: F.lpad(F.hex(F.conv(F.reverse(F.rpad(o, 8, "0")), 2, 10).cast("long")), 2, "0")), ""))
+    words = F.regexp_extract_all(bits, F.lit(".{1,64}"), F.lit(0))  # one pass: a substring by place would start anew for each word
+    text = F.array_join(F.transform(words, lambda w: F.lpad(F.conv(F.reverse(F.rpad(w, 64, "0")), 2, 16), 16, "0")), "")
+    text = F.regexp_replace(text, "(..)" * 8, "$8$7$6$5$4$3$2$1")  # words have their last byte first
+    return F.substring(F.unhex(text), 1, F.shiftright(F.length(bits) + 7, 3))

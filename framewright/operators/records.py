@@ -77,13 +77,15 @@ def read_blocks(cursor: Cursor, n: int, grammar: Mapping[int, tuple[int, ...]])
     return tags, [x[order] for x in flat]
 
 
-def parse(streams: DataFrame, key: list[str], data: str, index: str, grammar: Mapping[int, tuple[int, ...]] = METADATA) -> DataFrame:
-    """key, unit, start_bit, end_bit, ok, tag and records (array of opcode, value, second) of every block.
+def parse(streams: DataFrame, key: list[str], data: str, index: str, grammar: Mapping[int, tuple[int, ...]] = METADATA, carried: Sequence[str] = ()) -> DataFrame:
+    """key, unit, start_bit, end_bit, ok, tag, records (array of opcode, value, second) and the carried fields of every block.
 
-    data is a column of bytes, index one of arrays of structs with start, the first bit of a block, ascending.
+    data is a column of bytes, index one of arrays of structs with start, the first bit of a block, ascending; further
+    fields of it that carried names go with their block, so what is known of a block need not be joined to it.
     """
-    kinds = dict(streams.dtypes)
-    names = [*key, "unit", "start_bit", "end_bit", "ok", "tag", "records"]
+    cut = cut_units(streams, key, data, index, carried)
+    kinds = dict(cut.dtypes)
+    names = [*key, "unit", "start_bit", "end_bit", "ok", "tag", "records", *carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,10 +95,11 @@ def parse(streams: DataFrame, key: list[str], data: str, index: str, grammar: Ma
             absent = lambda x: pa.array(x, mask=x < 0)
             rows = pa.StructArray.from_arrays([pa.array(op), absent(value), absent(second)], ["opcode", "value", "second"])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), rows, mask=pa.array(~cursor.ok))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in (*key, "unit")), batch.column("_first"), pa.array(cursor.at - shift), pa.array(cursor.ok), pa.array(tags, mask=~cursor.ok), lists], names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in (*key, "unit")), batch.column("_first"), pa.array(cursor.at - shift), pa.array(cursor.ok), pa.array(tags, mask=~cursor.ok), lists, *(batch.column(n) for n in carried)], names)
 
-    fields = ", ".join(f"`{k}` {kinds[k]}" for k in key)
-    return cut_units(streams, key, data, index).mapInArrow(run, f"{fields}, unit long, start_bit long, end_bit long, ok boolean, tag long, records array<struct<opcode: long, value: long, second: long>>")
+    typed = lambda columns: [f"`{c}` {kinds[c]}" for c in columns]
+    own = "unit long, start_bit long, end_bit long, ok boolean, tag long, records array<struct<opcode: long, value: long, second: long>>"
+    return cut.mapInArrow(run, ", ".join([*typed(key), own, *typed(carried)]))
 
 
 def block_code(tag: Column, records: Column, grammar: Mapping[int, tuple[int, ...]] = METADATA) -> Column:

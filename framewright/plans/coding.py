@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from framewright.functions import bits
+from framewright.functions import bits, fixed
 from framewright.operators import bitstream, mixing, prediction, records, recursions
 from framewright.plans.registry import query
 from framewright.plans.views import Views
@@ -184,7 +184,8 @@ def _(v: Views):
     coded = units.select("channel", F.floor(_c("unit") / 16).cast("long").alias("stream"), "unit", code.alias("code"), F.size("vs").alias("n"))
     rows = coded.groupBy("channel", "stream").agg(F.sort_array(F.collect_list(F.struct("unit", "code", "n"))).alias("us"))
     starts = F.transform("us", lambda u, k: F.struct(F.aggregate(F.slice("us", 1, k), F.lit(0).cast("long"), lambda s, e: s + F.length(e["code"])).alias("start"), u["n"].alias("count")))
-    streams = rows.select("channel", "stream", bitstream.packed(F.array_join(F.transform("us", lambda u: u["code"]), "")).alias("bytes"), starts.alias("index"))
+    whole = rows.withColumn("bits", F.array_join(F.transform("us", lambda u: u["code"]), ""))
+    streams = whole.select("channel", "stream", bitstream.packed(_c("bits")).alias("bytes"), starts.alias("index"))
     told = streams.withColumn("stream_sha256", F.sha2("bytes", 256))
     done = bitstream.decode(told, ["channel", "stream", "stream_sha256"], "bytes", "index")
     return done.select("channel", (_c("stream") * 16 + _c("unit")).alias("unit"), "start_bit", "end_bit", "ok", F.array_join("values", ",").alias("values"), "stream_sha256")
@@ -213,14 +214,16 @@ def _(v: Views):
     number = _c("l_partkey") * 7919 + _c("l_suppkey")
     low = lambda x, w: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), w) - 1)
     second = pick([w[1] if len(w) > 1 else 0 for w in _WIDTHS])
-    line = v.lineitem.select("l_orderkey", "l_linenumber", F.struct(pick(_OPCODES).cast("long").alias("opcode"), low(number, pick([w[0] for w in _WIDTHS])).alias("value"), F.when(second > 0, low(F.shiftright(number, 3), second)).alias("second")).alias("r"))
-    blocks = line.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "r"))), lambda x: x["r"]).alias("rs"))
-    coded = blocks.select("l_orderkey", F.floor(_c("l_orderkey") / 64).alias("stream"), records.block_code(F.lit(1).cast("long"), _c("rs")).alias("code"))
-    rows = coded.groupBy("stream").agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "code"))).alias("bs"))
-    starts = F.transform("bs", lambda b, k: F.struct(F.aggregate(F.slice("bs", 1, k), F.lit(0).cast("long"), lambda s, e: s + F.length(e["code"])).alias("start")))
-    streams = rows.select("stream", bitstream.packed(F.array_join(F.transform("bs", lambda b: b["code"]), "")).alias("bytes"), starts.alias("index"))
-    named = rows.select("stream", F.posexplode("bs").alias("unit", "b")).select("stream", _c("unit").cast("long").alias("unit"), "b.*")
-    done = records.parse(streams, ["stream"], "bytes", "index").join(named, ["stream", "unit"])
+    r = F.struct(pick(_OPCODES).cast("long").alias("opcode"), low(number, pick([w[0] for w in _WIDTHS])).alias("value"), F.when(second > 0, low(F.shiftright(number, 3), second)).alias("second"))
+    stream = fixed.trunc_div("l_orderkey", F.lit(64).cast("long"))
+    # dealt by stream once: lines meet in orders, and orders in streams, where they are
+    line = v.lineitem.filter("l_orderkey is not null").select(stream.alias("stream"), "l_orderkey", "l_linenumber", r.alias("r")).repartition("stream")
+    blocks = line.groupBy("stream", "l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "r"))), lambda x: x["r"]).alias("rs"))
+    coded = blocks.select("stream", "l_orderkey", records.block_code(F.lit(1).cast("long"), _c("rs")).alias("code"))
+    start = F.coalesce(F.sum(F.length("code")).over(Window.partitionBy("stream").orderBy("l_orderkey").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    rows = coded.withColumn("start", start).groupBy("stream").agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "start", "code"))).alias("bs"))
+    streams = rows.withColumn("bits", F.array_join(F.transform("bs", lambda b: b["code"]), "")).select("stream", bitstream.packed(_c("bits")).alias("bytes"), "bs")
+    done = records.parse(streams, ["stream"], "bytes", "bs", carried=["l_orderkey", "code"])
     told = F.array_join(F.transform("records", lambda r: F.concat_ws(":", r["opcode"], r["value"], r["second"])), ",")
     return done.select("l_orderkey", "start_bit", "end_bit", "ok", "tag", told.alias("records"), "code")
 

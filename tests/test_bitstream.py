@@ -116,3 +116,12 @@ def test_written_by_spark(spark):
         df = spark.createDataFrame([(values,)], "v array<long>")
         told = df.select(bitstream.unit_code(F.col("v"), kind, size, runs).alias("c")).withColumn("b", bitstream.packed(F.col("c"))).first()
         assert told["c"] == code(values, kind, size, runs) and bytes(told["b"]) == pack(told["c"])
+
+
+def test_packed_lengths(spark):
+    """Bits of every length around a word's and a byte's ends, packed and absent."""
+    draw = np.random.default_rng(3)
+    texts = ["".join(map(str, draw.integers(0, 2, n))) for n in range(140)] + ["1" * n for n in (63, 64, 65, 128, 5000)] + [None]
+    done = spark.createDataFrame(list(enumerate(texts)), "k long, c string").withColumn("b", bitstream.packed(F.col("c"))).collect()
+    for r in done:
+        assert r["b"] is None if r["c"] is None else bytes(r["b"]) == pack(r["c"])

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.operators import records
+from framewright.plans.registry import ORACLES, QUERIES
+from tests.compare import connect, differences
 from tests.test_bitstream import pack
 
 
@@ -87,3 +89,31 @@ def test_turned():
     for n in range(33):
         for x in {0, 1, (1 << n) - 1 if n else 0, (1 << n) // 3}:
             assert records.turned(np.array([x]), np.array([n]))[0] == int(high(x, n)[::-1] or "0", 2)
+
+
+def test_carried_fields(spark):
+    """Fields of the index go with their block, damaged or not."""
+    texts = [high(5, 8) + high(2, 8) + high(200, 8) + "0" * 8, high(6, 8) + high(0xFF, 8), high(7, 8) + "0" * 8]
+    starts = [sum(map(len, texts[:k])) for k in range(3)]
+    df = spark.createDataFrame([(1, pack("".join(texts)), list(zip(starts, "abc", strict=True)))], "s int, data binary, at array<struct<start: long, name: string>>")
+    done = records.parse(df, ["s"], "data", "at", carried=["name"])
+    assert done.columns[-1] == "name"
+    assert sorted((r["name"], r["ok"], r["tag"]) for r in done.collect()) == [("a", True, 5), ("b", False, None), ("c", True, 7)]
+
+
+def _lines(spark, path):
+    rows = [(o, 10 * n + 1, 7 * n, n) for o in (-130, -65, -64, -1, 0, 1, 63, 64, 200, None) for n in range(1, 8) if (o or 3) % (n + 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{path}/lineitem.parquet")
+
+
+def test_query_of_odd_orders(spark, tmp_path):
+    """Orders below zero share a stream as in SQL, and lines without an order are in none."""
+    _lines(spark, tmp_path)
+    assert differences(QUERIES["tagged_records"](spark, str(tmp_path)), connect(str(tmp_path)), ORACLES["tagged_records"]) == []
+
+
+def test_query_deals_lines_once(spark, tmp_path):
+    """No join of what was parsed with what was written, and one shuffle for lines, orders and streams."""
+    _lines(spark, tmp_path)
+    plan = QUERIES["tagged_records"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("Join"), plan.count("Exchange")) == (0, 1)
